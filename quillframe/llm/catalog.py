@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import bpe, chat, hmm, language, near_dup, packing, quality, sharding
+from quillframe.llm import bpe, chat, fingerprint, hmm, language, near_dup, packing, quality, sharding
 from quillframe.llm.common import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -31,6 +31,10 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op2_quality_rules": op2_quality_rules,
         "op4_lm_scoring": op4_lm_scoring,
+        "op5_document_fingerprints": op5_document_fingerprints,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_best_fit_packing": op8_best_fit_packing,
