@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import bpe, chat, fingerprint, hmm, language, near_dup, packing, quality, sharding
+from quillframe.llm import bpe, chat, fingerprint, hmm, language, near_dup, packing, quality, repeats, sharding
 from quillframe.llm.common import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -20,13 +20,19 @@ def tokenizer() -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer())
+    rows = bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer())
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("__row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
@@ -62,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_quality_rules": op2_quality_rules,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_lm_scoring": op4_lm_scoring,
         "op5_document_fingerprints": op5_document_fingerprints,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,

@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Words are runs of bytes other than these six (space, \t, \n, \v, \f, \r).
 SPACES = b" \t\n\x0b\x0c\r"
@@ -58,6 +59,20 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def wrap(docs: DataFrame, *also: str) -> DataFrame:
+    """``docs`` as a struct ``__row`` of all columns but text, the text, and columns given by name.
+
+    Operators that carry whole rows add columns of their own beside these, so
+    names in ``docs`` can't clash with them.
+    """
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("__row"), "text", *also)
+
+
+def unwrap(rows: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """Undo ``wrap``: the columns in their order, the text from the named column."""
+    return rows.select(*(F.col(text).alias("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in columns))
+
+
 def fmix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of MurmurHash3, on a uint64 array."""
     x = x ^ (x >> _U64(33))

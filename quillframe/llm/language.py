@@ -26,8 +26,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quillframe.llm.common import word_bounds, word_hashes
+from quillframe.llm.common import unwrap, word_bounds, word_hashes, wrap
 
 UNKNOWN = "und"
 PER_LANGUAGE = 300  # labelled documents of each language that training reads at most
@@ -218,8 +219,9 @@ def pooled(net: Network, texts: list[str]) -> np.ndarray:
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
-    """doc_id, lang_pred and score of every document."""
+    """All columns of ``docs``, then lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some 10,000 weights
+    names = [*docs.columns, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -237,13 +239,19 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
                     p /= p.sum(1, keepdims=True)
                     for i, q in zip(can, p, strict=True):
                         lang[i], score[i] = model.languages[int(q.argmax())], float(q.max())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Train on the rows that are not held out; predict all."""
+    """doc_id, held_out, lang_pred and score: train on the rows that are not held out, predict all."""
     net = fit(docs.filter(training_row()))
-    return predict(docs, net).select("doc_id", (~training_row()).alias("held_out"), "lang_pred", "score")
+    return predict(docs.select("doc_id", "text"), net).select("doc_id", (~training_row()).alias("held_out"), "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is found with a score of ``least``."""
+    net = fit(docs.filter(training_row()))
+    rows = predict(wrap(docs), net)
+    return unwrap(rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), docs.columns)

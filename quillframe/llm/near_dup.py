@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import fmix, materialise, shingle_set, word_hashes
+from quillframe.llm.bitmap import bitmap, maybe_in
+from quillframe.llm.common import fmix, materialise, shingle_set, unwrap, word_hashes, wrap
 from quillframe.llm.components import components
 
 COORDINATES, BANDS = 128, 32
@@ -209,3 +210,18 @@ def classes(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, class_id and kept; one document of each class is kept."""
     return classes(docs).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those whose class has another document that stays.
+
+    What goes is found by doc_id.  A bounded bitmap tells which rows may be
+    meant; only these move to be joined, all others stay where they are.
+    """
+    found = classes(docs).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("rows"))
+    named = materialise(found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id")) | (F.col("rows") > 1)).withColumn("h", F.xxhash64("doc_id")))
+    probed = wrap(docs, "doc_id").withColumn("named", maybe_in(docs.sparkSession, bitmap(named, "h"), F.xxhash64("doc_id")))
+    gone = named.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone_id"))
+    # Rows that repeat a doc_id and text are one document.
+    moved = probed.filter("named").join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti").dropDuplicates(["doc_id", "text"])
+    return unwrap(probed.filter(~F.col("named")).unionByName(moved), docs.columns)

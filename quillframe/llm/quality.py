@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from quillframe.llm.common import SPACES, materialise
+from quillframe.llm.common import SPACES, materialise, unwrap, wrap
 
 SYMBOLS = "#*$%&|<>"
 _ASCII_LETTERS_AND_SPACES = bytes(b for b in range(256) if b >= 128 or chr(b).isalpha() or b in SPACES)
@@ -58,15 +59,16 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of every document."""
+    """All columns of ``docs``, and in a struct ``counted`` the counts of its text."""
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = np.array([measure(x.as_py()) for x in b.column("text")], dtype=np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c) for c in rows.T)], ["doc_id", *COUNTS])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays([pa.array(c) for c in rows.T], COUNTS)], [*names, "counted"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    counted = StructType([StructField(c, LongType()) for c in COUNTS])
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("counted", counted)]))
 
 
 def base_failed() -> Column:
@@ -127,15 +129,35 @@ def fit(patterns: np.ndarray, n: np.ndarray, rounds: int = 200, prior: float = 0
     return post, theta, share
 
 
-def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Counts, base_failed, quality (posterior) and kept of every document."""
-    votes = rules()
-    measured = materialise(counts(docs)).withColumns({f"vote_{k}": v.cast("int") for k, v in votes.items()})
-    names = [f"vote_{k}" for k in votes]
-    seen = measured.filter(~base_failed()).groupBy(*names).count().orderBy(*names).collect()  # at most 3 ** rules rows
+def _votes() -> list[Column]:
+    return [v.cast("int").alias(f"vote_{k}") for k, v in rules().items()]
+
+
+def verdicts(counted: DataFrame) -> DataFrame:
+    """Each vote pattern among documents that pass the base rule, and its posterior; ``counted`` has the counts as columns."""
+    names = [f"vote_{k}" for k in rules()]
+    seen = counted.filter(~base_failed()).select(*_votes()).groupBy(*names).count().orderBy(*names).collect()  # at most 3 ** rules rows
     patterns = np.array([r[:-1] for r in seen], dtype=np.int64).reshape(-1, len(names))
     post, _, _ = fit(patterns, np.array([r[-1] for r in seen], dtype=np.float64))
     rows = [(*map(int, p), float(q)) for p, q in zip(patterns, post, strict=True)]
-    verdicts = docs.sparkSession.createDataFrame(rows, ", ".join(f"{c} int" for c in names) + ", quality double")
-    out = measured.join(F.broadcast(verdicts), names, "left")
-    return out.select("doc_id", *COUNTS[:5], base_failed().alias("base_failed"), (~base_failed() & (F.coalesce("quality", F.lit(0.0)) >= threshold)).alias("kept"), F.when(~base_failed(), F.col("quality")).alias("quality"), *names)
+    return counted.sparkSession.createDataFrame(rows, ", ".join(f"{c} int" for c in names) + ", quality double")
+
+
+def _decide(counted: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    names = [f"vote_{k}" for k in rules()]
+    out = counted.select("*", *_votes()).join(F.broadcast(found), names, "left")
+    return out.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & (F.coalesce("quality", F.lit(0.0)) >= threshold), "quality": F.when(~base_failed(), F.col("quality"))})
+
+
+def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """doc_id, counts, base_failed, kept, quality (the posterior) and votes of every document."""
+    measured = materialise(counts(docs.select("doc_id", "text")).select("doc_id", "counted.*"))
+    out = _decide(measured, verdicts(measured), threshold)
+    return out.select("doc_id", *COUNTS[:5], "base_failed", "kept", "quality", *(f"vote_{k}" for k in rules()))
+
+
+def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that are kept.  Texts are measured twice and not moved."""
+    found = verdicts(counts(docs.select("text")).select("counted.*"))
+    rows = counts(wrap(docs)).select("__row", "text", "counted.*")
+    return unwrap(_decide(rows, found, threshold).filter("kept"), docs.columns)
