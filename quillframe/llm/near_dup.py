@@ -202,9 +202,11 @@ def classes(docs: DataFrame) -> DataFrame:
     second = materialise(verified(apart.join(best.select("x.a", "x.b"), ["a", "b"], "left_anti"), shingles))
     if not second.isEmpty():
         labels = components(first.union(second))
-    labelled = marks.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return labelled.join(least, "label").select("doc_id", "node", "class_id")
+    labelled = materialise(nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label")))
+    # Stored, so that the join below reads plain exchanges and a class of any size can be split.
+    least = materialise(labelled.groupBy("label").agg(F.min("doc_id").alias("class_id")))
+    of_node = materialise(labelled.join(least, "label").select("node", "class_id"))
+    return marks.select("doc_id", "node").join(of_node, "node").select("doc_id", "node", "class_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
