@@ -24,9 +24,9 @@ def join(left: Frame, right: Frame, left_on: str, right_on: str, how: str) -> Fr
     """``how``: inner, left, right or full_outer."""
     for side, frame, key in (("left", left, left_on), ("right", right, right_on)):
         found = frame.dtype(key)
-        wrong = found != String if frame.strict else found != left.dtype(left_on)
+        wrong = found != String if left.strict else found != left.dtype(left_on)
         if wrong:
-            raise JoinKeyTypeError(side, key, String if frame.strict else left.dtype(left_on), found)
+            raise JoinKeyTypeError(side, key, String if left.strict else left.dtype(left_on), found)
     first, second, drop, suffix = (right, left, left_on, "_left") if how == "right" else (left, right, right_on, "_right")
     names = first.columns_names()
     a, b = ("r", "l") if how == "right" else ("l", "r")
