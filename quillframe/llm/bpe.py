@@ -21,9 +21,10 @@ the token that ends where it begins.  Decoding emits the arcs' labels.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,12 @@ from pyspark.sql import DataFrame
 #: The byte-level pre-split of this family of vocabularies.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of the word table of one Python worker; it is emptied when full.
-WORD_TABLE = 800_000
+WORD_TABLE = 500_000
+STOPS = ".,;:!?"  # each is a pre-split word of its own after letters
+#: Bytes by which the reach of a search is looked up.
+REACH = 4
+#: Entries of its transition table, likewise.
+ARC_TABLE = 1_000_000
 LONGEST_KEPT = 48
 #: Text without any of these can be cut at every space.
 ROUGH = ["  ", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
@@ -70,7 +76,11 @@ class MergeAutomaton:
         for k, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self._gadget(k, vocab[a], vocab[b], vocab[a + b])
-        self.longest = max((len(x) for x in self.ids), default=1)
+        # The longest token that begins with some REACH bytes: how far a search for the next token need look.
+        self.reach: dict[bytes, int] = {}
+        for x in self.ids:
+            if len(x) >= REACH:
+                self.reach[x[:REACH]] = max(len(x), self.reach.get(x[:REACH], 0))
 
     def _gadget(self, k: int, a: int, b: int, c: int) -> None:
         self.cut[a * self.width + b] = k
@@ -82,6 +92,8 @@ class MergeAutomaton:
         key = state * self.width + token
         known = self.arcs.get(key)
         if known is None:
+            if len(self.arcs) >= ARC_TABLE:
+                self.arcs.clear()
             known = self.arcs[key] = self._walk(state, token)
         return known
 
@@ -109,14 +121,14 @@ class MergeAutomaton:
         A path that reaches a byte is the encoding of all before it, so a byte
         that was left once need not be tried again.
         """
-        ids, arcs, width, n = self.ids, self.arcs, self.width, len(word)
+        ids, arcs, width, n, reach = self.ids.get, self.arcs, self.width, len(word), self.reach.get
         path: list[int] = []
         starts: list[int] = []
         dead = bytearray(n + 1)
-        begin, end = 0, min(n, self.longest)
+        begin, end = 0, min(n, reach(word[:REACH], REACH - 1))
         while begin < n:
             while end > begin:
-                if not dead[end] and (token := ids.get(word[begin:end])) is not None:
+                if not dead[end] and (token := ids(word[begin:end])) is not None:
                     if begin:
                         known = arcs.get(path[-1] * width + token)
                         if known is None:
@@ -129,7 +141,9 @@ class MergeAutomaton:
             if end > begin:
                 path.append(token)
                 starts.append(begin)
-                begin, end = end, min(n, end + self.longest)
+                begin, end = end, end + reach(word[end : end + REACH], REACH - 1)
+                if end > n:
+                    end = n
             else:
                 dead[begin] = 1
                 path.pop()
@@ -181,13 +195,17 @@ class Codec:
         self.added = self.automaton.added
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.smooth = re.compile(r"(?<=\S) (?=\S)").split
-        self.words = _Table(lambda w: np.array(self.automaton.encode_word(w.encode()), "<u4").tobytes())
-        self.table = _Table(self._spaced)
+        self.words = _Table(lambda w: _pack(self.automaton.encode_word(w.encode())), WORD_TABLE // 5)
+        self.table = _Table(self._spaced, WORD_TABLE)
 
     def _fresh(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.split(text)))
 
     def _spaced(self, piece: str) -> bytes:
+        if piece.isalpha():
+            return _pack(self.automaton.encode_word((" " + piece).encode()))
+        if piece[-1] in STOPS and piece[:-1].isalpha():
+            return self.table[piece[:-1]] + self.words[piece[-1]]
         return self._fresh(" " + piece)
 
     def _plain(self, text: str) -> bytes:
@@ -199,39 +217,50 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         if self.special and any(s in text for s in self.added):
-            return b"".join(np.array([self.added[x]], "<u4").tobytes() if x in self.added else self._plain(x) for x in self.special.split(text))
+            return b"".join(_pack([self.added[x]]) if x in self.added else self._plain(x) for x in self.special.split(text))
         return self._plain(text)
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.automaton.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+def _pack(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class _Table(dict):
-    """Ids by piece of text; fills itself, keeps short pieces only, and is emptied when full."""
+    """Ids by piece of text.  Fills itself, keeps short pieces only, and when full keeps what is used again."""
 
-    def __init__(self, make) -> None:
+    def __init__(self, make, most: int) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.make(piece)
-        if len(piece) <= LONGEST_KEPT:
-            if len(self) >= WORD_TABLE:
-                self.clear()
-            self[piece] = ids
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+            if len(piece) > LONGEST_KEPT:
+                return ids
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
 def codec_of(spec_json: str) -> Codec:
     """The worker's codec for a tokenizer; compiled once per process."""
-    key = hash(spec_json)
-    if key not in _codecs:
+    if spec_json not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(json.loads(spec_json))
-    return _codecs[key]
+        _codecs[spec_json] = Codec(json.loads(spec_json))
+    return _codecs[spec_json]
 
 
 def read_spec(path: str) -> str:
@@ -254,23 +283,3 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
-
-
-def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Length and hashes of the ids and of the text decoded from them, computed where the ids are."""
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(spec.value)
-        sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
-            n, of_ids, of_text = [], [], []
-            for x in b.column("text"):
-                ids = codec.encode(x.as_py() or "")
-                n.append(len(ids) // 4)
-                of_ids.append(sha(ids))
-                of_text.append(sha(codec.decode(ids).encode()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
