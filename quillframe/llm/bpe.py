@@ -30,17 +30,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
 #: The byte-level pre-split of this family of vocabularies.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of the word table of one Python worker; it is emptied when full.
-WORD_TABLE = 500_000
+WORD_TABLE = 300_000
 STOPS = ".,;:!?"  # each is a pre-split word of its own after letters
 #: Bytes by which the reach of a search is looked up.
 REACH = 4
 #: Entries of its transition table, likewise.
-ARC_TABLE = 1_000_000
+ARC_TABLE = 400_000
 LONGEST_KEPT = 48
 #: Text without any of these can be cut at every space.
 ROUGH = ["  ", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
@@ -63,7 +64,6 @@ class MergeAutomaton:
         self.labels: list[bytes] = [b""] * (1 + max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]))
         for s, i in vocab.items():
             self.labels[i] = raw(s)
-        self.ids = {raw(s): i for s, i in vocab.items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for s, i in self.added.items():
             self.labels[i] = s.encode()
@@ -73,6 +73,7 @@ class MergeAutomaton:
         self.cut: dict[int, int] = {}  # deleted arcs, and the gadget that deleted them
         self.width = n
         self.arcs: dict[int, bool] = {}
+        self.ids = {raw(s): i for s, i in vocab.items() if len(s) == 1}  # of tokens that some text has
         for k, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self._gadget(k, vocab[a], vocab[b], vocab[a + b])
@@ -83,9 +84,13 @@ class MergeAutomaton:
                 self.reach[x[:REACH]] = max(len(x), self.reach.get(x[:REACH], 0))
 
     def _gadget(self, k: int, a: int, b: int, c: int) -> None:
-        self.cut[a * self.width + b] = k
-        if self.born[c] < 0:  # a token that two merges make keeps its first gadget
+        """Add the token c, unless no sequence has a and b side by side by now."""
+        if self.born[c] >= 0:
+            raise ValueError(f"two merges make the token {c}")
+        if self.labels[a] in self.ids and self.labels[b] in self.ids and self._walk(a, b):
+            self.cut[a * self.width + b] = k
             self.born[c], self.first[c], self.last[c] = k, a, b
+            self.ids[self.labels[c]] = c
 
     def arc(self, state: int, token: int) -> bool:
         """Whether ``token`` may follow ``state`` in the final automaton."""
@@ -134,7 +139,7 @@ class MergeAutomaton:
                         if known is None:
                             known = self.arc(path[-1], token)
                     else:
-                        known = self._reachable(token)
+                        known = True
                     if known:
                         break
                 end -= 1
@@ -152,35 +157,6 @@ class MergeAutomaton:
                 end -= 1
         return path
 
-    def _reachable(self, token: int) -> bool:
-        """Whether the token is the encoding of its own bytes: its parts are, and no arc cut earlier joins them."""
-        key = -1 - token
-        known = self.arcs.get(key)
-        if known is None:
-            if self.born[token] < 0:
-                known = True
-            else:
-                a, b = self.first[token], self.last[token]
-                known = self._reachable(a) and self._reachable(b) and self._joined(a, b, self.born[token])
-            self.arcs[key] = known
-        return known
-
-    def _joined(self, s: int, t: int, when: int) -> bool:
-        """Whether the arc from s on t exists just before gadget ``when``."""
-        if self.cut.get(s * self.width + t, when) < when:
-            return False
-        if max(self.born[s], self.born[t]) < 0:
-            return True
-        return self._walk_before(s, t)
-
-    def _walk_before(self, s: int, t: int) -> bool:
-        saved = self.cut.pop(s * self.width + t, None)
-        try:
-            return self._walk(s, t)
-        finally:
-            if saved is not None:
-                self.cut[s * self.width + t] = saved
-
 
 class Codec:
     """Whole texts to ids (little-endian unsigned 32-bit) and back.
@@ -263,6 +239,38 @@ def codec_of(spec_json: str) -> Codec:
     return _codecs[spec_json]
 
 
+def merges_by_rank(spec_json: str) -> bool:
+    """Whether merging the adjacent pair that makes the smallest id gives the same ids.
+
+    It does if ids rise with merges and every token is the encoding of its own
+    bytes.  When a pair that makes a token is next, all smaller merges are done
+    within its bytes, as they would be for the bytes alone; so the pair is the
+    one that the token's merge names.
+    """
+    spec = json.loads(spec_json)
+    made = MergeAutomaton(spec)
+    by_merge = sorted((i for i in made.ids.values() if made.born[i] >= 0), key=made.born.__getitem__)
+    return by_merge == sorted(by_merge) and len(by_merge) == len(spec["model"]["merges"]) and len(made.ids) == len(spec["model"]["vocab"])
+
+
+_encoders: dict[str, object] = {}
+
+
+def encoder_of(spec_json: str, by_rank: bool):
+    """Text to ids (little-endian unsigned 32-bit) where nothing else is needed: by rank in a compiled library, if that gives the same ids."""
+    if not by_rank:
+        return codec_of(spec_json).encode
+    if spec_json not in _encoders:
+        spec = json.loads(spec_json)
+        letters = byte_letters()
+        ranks = {bytes(letters[c] for c in s): i for s, i in spec["model"]["vocab"].items()}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        _encoders.clear()
+        _encoders[spec_json] = tiktoken.Encoding("by_rank", pat_str=PRE_SPLIT, mergeable_ranks=ranks, special_tokens=special)
+    made = _encoders[spec_json]
+    return lambda text: made.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+
+
 def read_spec(path: str) -> str:
     """A tokenizer file on the driver, as text; vocabulary files are a few MB."""
     with open(path, encoding="utf-8") as f:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.bpe import codec_of, read_spec
+from quillframe.llm.bpe import encoder_of, merges_by_rank, read_spec
 from quillframe.llm.common import materialise
 
 CAPACITY = 2048
@@ -41,15 +41,16 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int
 
     Only a document longer than ``capacity`` is cut; its first piece takes the remainder.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
+    text = read_spec(tokenizer_path)
+    spec = docs.sparkSession.sparkContext.broadcast((text, merges_by_rank(text)))
     tail = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(spec.value)
+        encode = encoder_of(*spec.value)
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for k, x in enumerate(b.column("text")):
-                ids = codec.encode(x.as_py() or "") + tail
+                ids = encode(x.as_py() or "") + tail
                 n = len(ids) // 4
                 at, number = 0, 0
                 while at < n:
