@@ -226,8 +226,8 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 can = [i for i, x in enumerate(texts) if model and _letter(x)]

@@ -97,7 +97,7 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fit(patterns: np.ndarray, n: np.ndarray, rounds: int = 200, prior: float = 0.8, accuracy: float = 0.85) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(patterns: np.ndarray, n: np.ndarray, rounds: int = 200, prior: float = 0.7, accuracy: float = 0.8) -> tuple[np.ndarray, np.ndarray, float]:
     """EM over vote patterns (rows of -1, 0, 1) with counts ``n``.
 
     Starts from rules that are right ``accuracy`` of the time.  Returns each
