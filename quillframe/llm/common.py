@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +62,38 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def small(run, rows: int = 1000):
+    """``run``, a function for mapInArrow, over batches of at most ``rows`` rows; afterwards unused memory is given back.
+
+    Python workers live on between tasks, and two or more share an executor's memory.
+    """
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+        give_back()
+
+    return over
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    c = ctypes.CDLL(None)
+    if hasattr(c, "malloc_trim"):
+        c.malloc_trim(0)
+
+
+_held: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """What ``make`` gives, kept by this worker under a name until another is asked for."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def wrap(docs: DataFrame, *also: str) -> DataFrame:
     """``docs`` as a struct ``__row`` of all columns but text, the text, and columns given by name.
 

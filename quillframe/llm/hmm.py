@@ -29,10 +29,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import materialise
+from quillframe.llm.common import materialise, small
 
 FREQUENT, SYMBOLS = 150_000, 8_000
 STATES, PASSES, STRETCH = 8, 4, 128
@@ -88,18 +89,28 @@ def count_words(docs: DataFrame) -> DataFrame:
     """word (binary) and n over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[bytes] = Counter()
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64()), pa.array(list(map(form, seen)), pa.int32())], ["word", "n", "form"])
         for b in batches:
-            seen: Counter[bytes] = Counter()
             for x in b.column("text"):
                 seen.update(tokens(x.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64()), pa.array([form(w) for w in seen], pa.int32())], ["word", "n", "form"])
+            if len(seen) > 200_000:
+                yield told()
+                seen.clear()
+        yield told()
 
-    return docs.select("text").mapInArrow(run, "word binary, n long, form int").groupBy("word", "form").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(small(run), "word binary, n long, form int").groupBy("word", "form").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """``counts`` is a stored table.  The driver gets FREQUENT rows and one for each class."""
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    """``counts`` is a stored table.  The driver gets FREQUENT rows at most, one for each class, and a histogram of bounded size."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    least, held = None, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect():  # 16 steps for each doubling of counts
+        if held + r.words > FREQUENT:
+            break
+        least, held = r.step, held + r.words
+    top = [] if least is None else sorted(counts.filter(step >= least).collect(), key=lambda r: (-r.n, bytes(r.word)))
     own = top[:SYMBOLS]
     sums = counts.groupBy("form").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
     n, words = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -144,59 +155,65 @@ def _stack(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
 def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """log10 likelihood of each sequence, by the scaled forward recursion."""
     out = np.zeros(len(sequences))
+    ones = np.ones(len(model.start))
     # Neighbours in length go together, so the table of a batch stays small however long one text is.
     by_size = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
     for at in range(0, len(by_size), 512):
         part = by_size[at : at + 512]
         x, rows, order = _stack([sequences[i] for i in part])
         log = np.zeros(len(part))
+        scales = np.ones((min(256, len(x)), len(part)))
         alpha = np.broadcast_to(model.start, (len(part), len(model.start)))
         for t in range(len(x)):
             n = rows[t]
             alpha = (alpha[:n] if t == 0 else alpha[:n] @ model.move) * model.emit[x[t, :n]]
-            scale = alpha.sum(1)
-            log[:n] += np.log10(scale)
+            scale = alpha @ ones
             alpha = alpha / scale[:, None]
+            k = t % len(scales)
+            scales[k, :n] = scale
+            scales[k, n:] = 1
+            if k == len(scales) - 1 or t == len(x) - 1:
+                log += np.log10(scales[: k + 1]).sum(0)
         for row, i in enumerate(order):
             out[part[i]] = log[row]
     return out
 
 
 def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of starts, moves and emissions, and the log10 likelihood."""
-    s = len(model.start)
-    start, move, emit = np.zeros(s), np.zeros((s, s)), np.zeros((len(model.emit), s))
+    """Expected counts of starts, moves and emissions, and the log10 likelihood.
+
+    Only the two recursions go step by step, in single precision; what needs
+    both is computed for all steps at once.
+    """
+    s, single = len(model.start), np.float32
+    move_, ones = model.move.astype(single), np.ones(s, single)
+    back = np.ascontiguousarray(move_.T)
     x, rows, _ = _stack(sequences)
-    t_end, log = len(x), 0.0
-    alphas, scales = [], []
-    alpha = np.broadcast_to(model.start, (len(sequences), s))
-    for t in range(t_end):
+    steps, width = x.shape
+    given = model.emit.astype(single)[x]
+    alpha, beta = np.zeros((steps, width, s), single), np.zeros((steps, width, s), single)
+    scale = np.ones((steps, width), single)
+    now = np.broadcast_to(model.start.astype(single), (width, s))
+    for t in range(steps):
         n = rows[t]
-        alpha = (alpha[:n] if t == 0 else alpha[:n] @ model.move) * model.emit[x[t, :n]]
-        scale = alpha.sum(1, keepdims=True)
-        alpha = alpha / scale
-        log += float(np.log10(scale).sum())
-        alphas.append(alpha)
-        scales.append(scale)
-    beta = np.zeros((0, s))
-    symbols, weights = [], []
-    for t in range(t_end - 1, -1, -1):
+        now = (now[:n] if t == 0 else now[:n] @ move_) * given[t, :n]
+        scale[t, :n] = c = now @ ones
+        now = alpha[t, :n] = now / c[:, None]
+    # ``given`` becomes what a step passes back: emission, times what follows, over its scale.
+    given /= scale[:, :, None]
+    for t in range(steps - 1, -1, -1):
         n = rows[t]
-        full = np.ones((n, s))
-        if len(beta):
-            ahead = beta * model.emit[x[t + 1, : len(beta)]] / scales[t + 1]
-            move += alphas[t][: len(beta)].T @ ahead * model.move
-            full[: len(beta)] = ahead @ model.move.T
-        gamma = alphas[t] * full
-        symbols.append(x[t, :n])
-        weights.append(gamma)
-        beta = full
-        if t == 0:
-            start += gamma.sum(0)
-    symbol, weight = np.concatenate(symbols), np.concatenate(weights)
-    for k in range(s):
-        emit[:, k] = np.bincount(symbol, weight[:, k], len(model.emit))
-    return start, move, emit, log
+        beta[t, :n] = 1
+        if t + 1 < steps and (m := rows[t + 1]):
+            given[t + 1, :m] *= beta[t + 1, :m]
+            beta[t, :m] = given[t + 1, :m] @ back
+    live = np.arange(width)[None, :] < rows[:, None]
+    follows = live[1:]
+    move = alpha[:-1][follows].T.astype(np.float64) @ given[1:][follows].astype(np.float64) * model.move if steps > 1 else np.zeros((s, s))
+    gamma = (alpha * beta)[live]
+    symbol = x[live]
+    emit = np.stack([np.bincount(symbol, gamma[:, k], len(model.emit)) for k in range(s)], axis=1)
+    return (alpha[0] * beta[0]).sum(0, dtype=np.float64), move, emit, float(np.log10(scale).sum(dtype=np.float64))
 
 
 class _Numbers(dict):
@@ -210,8 +227,8 @@ def _symbols(vocab: Vocabulary, numbers: np.ndarray) -> np.ndarray:
     return np.where(numbers >= 0, vocab.symbol[np.maximum(numbers, 0)] if len(vocab.symbol) else 0, -1 - numbers)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int = PASSES) -> Model:
-    """Baum-Welch: ``passes`` readings of ``docs``."""
+def train(rows: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int = PASSES) -> Model:
+    """Baum-Welch: ``passes`` readings of ``symbols`` (binary, unsigned 16-bit) of the training texts."""
     prior = np.ones(vocab.symbols) * 0.1
     prior[:CLASSES] += vocab.class_tokens
     prior[CLASSES:] += vocab.count[: vocab.symbols - CLASSES]
@@ -219,32 +236,29 @@ def train(docs: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int
     model = Model.first(prior, states)
     if not vocab.tokens:
         return model
-    context = docs.sparkSession.sparkContext
-    words = context.broadcast(vocab)  # FREQUENT words at most
     for _ in range(passes):
-        now = context.broadcast(model)
+        now = rows.sparkSession.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch], words=words, now=now) -> Iterator[pa.RecordBatch]:
-            v, m = words.value, now.value
-            get = _Numbers(v.number).__getitem__
-            start, move, emit, log = np.zeros(states), np.zeros((states, states)), np.zeros_like(m.emit), 0.0
+        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            m = now.value
+            total = [np.zeros(states), np.zeros((states, states)), np.zeros_like(m.emit), 0.0]
             waiting: list[np.ndarray] = []
             for b in batches:
-                for x in b.column("text"):
-                    s = _symbols(v, np.array(list(map(get, tokens(x.as_py()))), np.int64))
+                for x in b.column("symbols"):
+                    s = np.frombuffer(x.as_buffer(), "<u2")
                     waiting += [s[i : i + STRETCH] for i in range(0, len(s), STRETCH)]
-                    if len(waiting) >= 1024:
-                        start, move, emit, log = (p + q for p, q in zip((start, move, emit, log), expected(m, waiting), strict=True))
-                        waiting = []
+                    while len(waiting) >= 1024:
+                        total = [p + q for p, q in zip(total, expected(m, waiting[:1024]), strict=True)]
+                        del waiting[:1024]
             if waiting:
-                start, move, emit, log = (p + q for p, q in zip((start, move, emit, log), expected(m, waiting), strict=True))
-            rows = np.concatenate([start[None], move, emit])
-            some = np.flatnonzero(rows.sum(1))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(rows[some, k]) for k in range(states))], ["row", *(f"s{k}" for k in range(states))])
+                total = [p + q for p, q in zip(total, expected(m, waiting), strict=True)]
+            table = np.concatenate([total[0][None], total[1], total[2]])
+            some = np.flatnonzero(table.sum(1))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(table[some, k]) for k in range(states))], ["row", *(f"s{k}" for k in range(states))])
 
-        counts = docs.select("text").mapInArrow(run, "row int, " + ", ".join(f"s{k} double" for k in range(states)))
+        counts = rows.select("symbols").mapInArrow(small(run), "row int, " + ", ".join(f"s{k} double" for k in range(states)))
         total = np.zeros((1 + states + len(model.emit), states))
-        for r in counts.groupBy("row").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(states))).collect():
+        for r in counts.groupBy("row").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(states))).collect():  # one row for each symbol
             total[r["row"]] = r[1:]
         start, move, emit = total[0] + 0.1, total[1 : 1 + states] + 0.1, total[1 + states :] + prior[:, None]
         model = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
@@ -252,56 +266,69 @@ def train(docs: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int
     return model
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """Train on what is not held out; score every document with the model and with the unigram base."""
-    rows = docs.select("doc_id", "text", held_out().alias("held_out"))
-    learn = rows.filter(~F.coalesce("held_out", F.lit(False)))
-    counts = materialise(count_words(learn))
-    vocab = vocabulary(counts)
-    model = train(learn, vocab)
-    context = docs.sparkSession.sparkContext
-    words, made = context.broadcast(vocab), context.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Each text as symbols, with what frequent words add to its scores; and a row for each of its other words."""
+    words = docs.sparkSession.sparkContext.broadcast(vocab)  # FREQUENT words at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, m = words.value, made.value
+        v = words.value
         get = _Numbers(v.number).__getitem__
-        floor = v.tokens + v.distinct + 1
+        floor = np.log10(v.tokens + v.distinct + 1)
         log_count, share = np.log10(v.count + 1), v.share
-        for at, b in enumerate(batches):
+        row = TaskContext.get().partitionId() << 33  # tells rows apart where doc_ids repeat
+        for b in batches:
             symbols, base, known, n, extra, rare = [], [], [], [], [], []
             for i, x in enumerate(b.column("text")):
-                words_ = tokens(x.as_py())
-                number = np.array(list(map(get, words_)), np.int64)
+                told = tokens(x.as_py())
+                number = np.array(list(map(get, told)), np.int64)
                 often = number[number >= 0]
-                symbols.append(_symbols(v, number))
-                n.append(len(words_))
+                symbols.append(_symbols(v, number).astype("<u2").tobytes())
+                n.append(len(told))
                 known.append(len(often))
-                base.append(float(log_count[often].sum() - len(words_) * np.log10(floor)))
+                base.append(float(log_count[often].sum() - len(told) * floor))
                 extra.append(float(share[often].sum()))
-                rare += [(i, w, -1 - k, c) for (w, k), c in Counter((words_[j], int(number[j])) for j in np.flatnonzero(number < 0)).items()]
-            value = forward(m, symbols) + np.array(extra)
-            ids = b.column("doc_id")
-            # One row for a text and one for each of its other words; ``row`` tells repeated doc_ids apart.
-            i = np.array([r[0] for r in rare], np.int64)
-            none = len(rare)
-            row = [f"{at}:{k}" for k in range(b.num_rows)]
+                others = np.flatnonzero(number < 0).tolist()
+                if others:
+                    rare += [(i, w, c) for w, c in Counter(map(told.__getitem__, others)).items()]
+            rows = np.arange(row, row + b.num_rows)
+            row += b.num_rows
+            nothing = [None] * len(rare)
+            at = np.array([r[0] for r in rare], np.int64)
             yield pa.RecordBatch.from_arrays([
-                pa.concat_arrays([ids, ids.take(pa.array(i))]), pa.array(row + [row[k] for k in i], pa.string()),
-                pa.array([None] * b.num_rows + [r[1] for r in rare], pa.binary()), pa.array([None] * b.num_rows + [r[2] for r in rare], pa.int32()),
-                pa.array([0] * b.num_rows + [r[3] for r in rare], pa.int64()),
-                pa.array(n + [None] * none, pa.int64()), pa.array(known + [None] * none, pa.int64()),
-                pa.array(base + [None] * none, pa.float64()), pa.array(list(value) + [None] * none, pa.float64()),
-            ], ["doc_id", "row", "word", "form", "times", "n_tokens", "n_known", "base", "value"])
-
-    schema = f"doc_id {kind}, row string, word binary, form int, times long, n_tokens long, n_known long, base double, value double"
-    parts = materialise(rows.select("doc_id", "text").mapInArrow(run, schema).withColumn("row", F.concat_ws(":", F.spark_partition_id(), "row")))
-    rare = parts.filter(F.col("word").isNotNull()).join(counts.select("word", F.col("n").alias("c")), "word", "left")
-    per_class = docs.sparkSession.createDataFrame([(k, float(np.log10(vocab.class_tokens[k] + vocab.class_words[k] + 1))) for k in range(CLASSES)], "form int, whole double")
+                pa.array(np.concatenate([rows, rows[at]])), pa.array([*symbols, *nothing], pa.binary()), pa.concat_arrays([b.column("doc_id"), pa.nulls(len(rare), b.column("doc_id").type)]),
+                *(pa.array([*c, *nothing], t) for c, t in ((n, pa.int64()), (known, pa.int64()), (base, pa.float64()), (extra, pa.float64()))),
+                pa.array([*([None] * b.num_rows), *(r[1] for r in rare)], pa.binary()), pa.array([*([None] * b.num_rows), *(form(r[1]) for r in rare)], pa.int32()), pa.array([*([None] * b.num_rows), *(r[2] for r in rare)], pa.int64()),
+            ], ["row", "symbols", "doc_id", "n_tokens", "n_known", "base", "extra", "word", "form", "times"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(small(run), f"row long, symbols binary, doc_id {kind}, n_tokens long, n_known long, base double, extra double, word binary, form int, times long")
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """Train on what is not held out; score every document with the model and with the unigram base."""
+    counts = materialise(count_words(docs.select("doc_id", "text").filter(~F.coalesce(held_out(), F.lit(False)))))
+    vocab = vocabulary(counts)
+    parts = materialise(encoded(docs, vocab))
+    texts = parts.filter(F.col("symbols").isNotNull()).withColumn("held_out", held_out())
+    model = train(texts.filter(~F.coalesce("held_out", F.lit(False))), vocab)
+    made = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            value = forward(made.value, [np.frombuffer(x.as_buffer(), "<u2") for x in b.column("symbols")])
+            keep = b.select(["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "extra"])
+            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(value)], [*keep.schema.names, "value"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    valued = texts.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "extra", "symbols").mapInArrow(small(run), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, extra double, value double")
+    rare = parts.filter(F.col("word").isNotNull()).select("row", "word", "form", "times").join(counts.select("word", F.col("n").alias("c")), "word", "left")
+    whole = F.lit(0.0)
+    for k in range(CLASSES):
+        whole = F.when(F.col("form") == k, F.lit(float(np.log10(vocab.class_tokens[k] + vocab.class_words[k] + 1)))).otherwise(whole)
     c = F.coalesce("c", F.lit(0))
-    adds = rare.join(F.broadcast(per_class), "form").groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(c + 1)).alias("add_base"), F.sum(F.col("times") * (F.log10(c + 1) - F.col("whole"))).alias("add_value"))
+    adds = rare.groupBy("row").agg(
+        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(c + 1)).alias("add_base"), F.sum(F.col("times") * (F.log10(c + 1) - whole)).alias("add_value"))
     zero = F.lit(0.0)
-    return parts.filter(F.col("word").isNull()).join(adds, "row", "left").select(
-        "doc_id", held_out().alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("add_base", zero)).alias("base_score"), (F.col("value") + F.coalesce("add_value", zero)).alias("score"))
+    return valued.join(adds, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("add_base", zero)).alias("base_score"), (F.col("value") + F.col("extra") + F.coalesce("add_value", zero)).alias("score"))
