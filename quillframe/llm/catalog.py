@@ -100,5 +100,36 @@ FROM placed GROUP BY conv_id
 """
 
 
+_WORDS = r"SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents"
+
+_REPEATS_SQL = f"""
+WITH docs AS (SELECT doc_id, ws, len(ws) AS n FROM ({_WORDS})),
+windows AS (SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS told FROM (SELECT doc_id, ws, unnest(range(1, n - 18)) AS s FROM docs)),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY told ORDER BY doc_id, s) AS k FROM windows) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, s + k AS p FROM later CROSS JOIN range(20) AS r(k)),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM docs),
+kept AS (
+    SELECT words.doc_id, count(gone.p) AS n_removed, string_agg(CASE WHEN gone.p IS NULL THEN word END, ' ' ORDER BY words.p) AS told
+    FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p GROUP BY 1
+)
+SELECT docs.doc_id, n::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(told, '')) AS kept_sha256
+FROM docs LEFT JOIN kept ON docs.doc_id = kept.doc_id
+"""
+
+_NEAR_SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, ws, len(ws) AS n FROM ({_WORDS})),
+shingles AS (
+    SELECT DISTINCT doc_id, told FROM (
+        SELECT doc_id, array_to_string(ws[s:s + 4], ' ') AS told FROM (SELECT doc_id, ws, unnest(range(1, n - 3)) AS s FROM docs)
+        UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM docs WHERE n < 5)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+edges AS (
+    SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM shingles x JOIN shingles y ON x.told = y.told AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+    JOIN sizes i ON p.a = i.doc_id JOIN sizes j ON p.b = j.doc_id WHERE p.both >= 0.8 * (i.n + j.n - p.both)
+), reached(a, b) AS (SELECT doc_id, doc_id FROM docs UNION SELECT r.a, e.b FROM reached r JOIN edges e ON r.b = e.a)
+SELECT a AS doc_id, min(b) AS class_id, a = min(b) AS kept FROM reached GROUP BY a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_formatting": _CHAT_SQL}
+    return {"op3_substring_dedup": _REPEATS_SQL, "op6_minhash_near_dedup": _NEAR_SQL, "op7_chat_formatting": _CHAT_SQL}

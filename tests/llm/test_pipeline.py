@@ -38,3 +38,14 @@ def test_run(spark, sf):
     rows = corpus_pipeline.run(spark, sf)
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert np.isin([r.length for r in rows.collect()], np.arange(1, 2049)).all()
+
+
+def test_edges(spark, docs, no_docs, sf):
+    for table in (docs, no_docs):
+        now = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, sf).cache()
+            assert now.columns == table.columns, name
+        left = {r.doc_id for r in now.collect()}
+        assert left <= {1, 2, 7, 8}
+        corpus_pipeline.STAGES[-1][1](spark, now, sf).collect()
