@@ -4,6 +4,10 @@ Every stage but the last returns the columns of ``documents``.  Texts that
 quality rules or language identification reject go; one document of each
 near-duplicate class stays; words of passages that occurred before are removed
 (a document that loses all of them goes); what is left is packed.
+
+Columns beyond those of ``documents`` are carried along, whatever their names.
+A null or wordless text fails the quality rules; of rows that repeat a doc_id
+and text one stays; an empty table gives no rows at any stage.
 """
 
 from __future__ import annotations
@@ -30,8 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = repeats.remove_repeats(docs, layout=True).filter(F.col("n_words") > F.col("n_removed"))
-    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return unwrap(rows, docs.columns, text="kept_text").withColumn("n_chars", n_chars)
+    left = unwrap(rows, docs.columns, text="kept_text")
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
