@@ -24,6 +24,7 @@ class Frame:
         names = [c for c in df.columns if c != ROW]
         _unique(names)
         self.df, self.strict = df, strict
+        self._keys: list[tuple[str, bool]] = []  # of a sort that nothing followed: top rows then need no full sort
         self._types = {f.name: D.of_field(f) for f in df.schema.fields if f.name != ROW}
 
     # -- construction -------------------------------------------------------------------------
@@ -202,15 +203,22 @@ class Frame:
     par_filter = filter
 
     def head(self, n: int = 5) -> Frame:
+        if self._keys:
+            return self._with(self.df.limit(n))
         rows = self.with_rows()
         return rows._with(rows.df.orderBy(ROW).limit(n))
 
     def tail(self, n: int = 5) -> Frame:
+        if self._keys:
+            last = self.df.orderBy(*(_key(name, not down) for name, down in self._keys)).limit(n)
+            return self._with(last.orderBy(*(_key(name, down) for name, down in self._keys)))
         rows = self.with_rows()
         return rows._with(rows.df.orderBy(F.desc(ROW)).limit(n).orderBy(ROW))
 
     def slice(self, offset: int, length: int) -> Frame:
         """``length`` rows from ``offset`` on, as far as there are any."""
+        if self._keys:
+            return self._with(self.df.offset(offset).limit(length))
         rows = self.with_rows()
         return rows._with(rows.df.orderBy(ROW).offset(offset).limit(length))
 
@@ -236,15 +244,16 @@ class Frame:
         """By several columns.  Rising order has nulls last, falling order first; NaN is above all numbers."""
         if len(by) != len(descending):
             raise InvalidArgument(f"{len(by)} columns, but {len(descending)} directions")
-        keys = []
-        for name, down in zip(by, descending, strict=True):
+        for name in by:
             if self.dtype(name).inner:
                 raise UnsupportedOperation(f"'{name}' is a list column and has no order")
-            keys.append(F.col(f"`{name}`").desc_nulls_first() if down else F.col(f"`{name}`").asc_nulls_last())
         if not by:
             return self
         # Sorting leaves rows in place; a row number is taken from there only if an operation asks for one.
-        return self._with(self.df.drop(ROW).orderBy(*keys))
+        keys = list(zip(by, descending, strict=True))
+        out = self._with(self.df.drop(ROW).orderBy(*(_key(name, down) for name, down in keys)))
+        out._keys = keys
+        return out
 
     # -- groups, joins, output (see operators/ and sources/) --------------------------------------
 
@@ -311,6 +320,11 @@ class Frame:
         return "\n".join(out + [f"... {n - 10} more rows"] * (n > 10))
 
 
+def _key(name: str, down: bool) -> Column:
+    c = F.col(f"`{name}`")
+    return c.desc_nulls_first() if down else c.asc_nulls_last()
+
+
 def _checkpointed(df: DataFrame) -> DataFrame:
     from quillframe.sources.scratch import shared_folder
 

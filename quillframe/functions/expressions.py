@@ -17,8 +17,9 @@ def compare(kind: str, a: Column, b: Column, dtype: DType) -> Column:
     plain = COMPARE[kind](a, b)
     if not dtype.is_float:
         return plain
-    nan = F.isnan(a) | F.isnan(b)
-    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(nan, F.lit(kind == "neq")).otherwise(plain)
+    nan = (F.isnan(a) & b.isNotNull()) | (F.isnan(b) & a.isNotNull())  # isnan of a null is false
+    # A conjunction, so that a filter's plain comparison still reaches the scan.
+    return plain | nan if kind == "neq" else plain & ~nan
 
 
 def arithmetic(kind: str, a: Column, b: Column, dtype: DType, zero: str = "null") -> Column:
@@ -63,7 +64,8 @@ def group_aggregate(kind: str, c: Column, dtype: DType) -> Column:
         if dtype.is_integer:
             low, high = dtype.bounds
             wide = v.cast("decimal(38,0)") if dtype.name in ("Int64", "UInt64") else v
-            return F.greatest(F.least(F.sum(wide), F.lit(high)), F.lit(low)).cast(dtype.spark)
+            total = F.sum(wide)  # greatest and least pass over nulls, so a null sum is kept apart
+            return F.when(total.isNotNull(), F.greatest(F.least(total, F.lit(high)), F.lit(low))).cast(dtype.spark)
         return F.sum(v.cast("double")).cast(dtype.spark)
     return getattr(F, kind)(v)
 

@@ -32,7 +32,9 @@ class GroupBy:
         for i, n in enumerate(names):
             if n in names[:i]:
                 raise DuplicateColumnName(n)
-        rows = self.frame.df.dropna(subset=self.keys) if self.keys else self.frame.df
+        rows = self.frame.df
+        for k in self.keys:
+            rows = rows.filter(F.col(f"`{k}`").isNotNull())
         out = rows.groupBy(*(F.col(f"`{k}`") for k in self.keys)).agg(*(c.alias(n) for n, c in made.items()), F.count(F.lit(1)).alias("__rows"))
         # Without keys Spark gives a row even where there is none to group.
         if not self.keys:
