@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.llm.common import small
+
 SEGMENT_BITS = 16
 LEAST_BITS, MOST_BITS = 17, 28  # 16 KB to 32 MB
 SPARSE = 6  # 2 ** SPARSE bits for each value, within these bounds
@@ -51,7 +53,7 @@ def bitmap(values: DataFrame, column: str) -> Bitmap:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(f, bitorder="little").tobytes() for f in held.values()], pa.binary())], ["segment", "flags"])
 
     dealt = values.select(F.col(column).alias("h")).repartition(F.shiftrightunsigned("h", 64 - bits + SEGMENT_BITS))
-    rows = dealt.mapInArrow(run, "segment int, flags binary").collect()  # the whole bitmap: MOST_BITS bits at most
+    rows = dealt.mapInArrow(small(run), "segment int, flags binary").collect()  # the whole bitmap: MOST_BITS bits at most
     return Bitmap(bits, {r.segment: bytes(r.flags) for r in rows})
 
 
@@ -59,10 +61,8 @@ def maybe_in(spark, found: Bitmap, hashes: Column) -> Column:
     """A boolean column: whether each long hash may be in the bitmap."""
     shared = spark.sparkContext.broadcast(found)
 
-    @F.pandas_udf("boolean")
-    def probe(h):
-        import pandas as pd
-
-        return pd.Series(shared.value.has(h.to_numpy().view(np.uint64)))
+    @F.arrow_udf("boolean")
+    def probe(h: pa.Array) -> pa.Array:
+        return pa.array(shared.value.has(h.to_numpy(zero_copy_only=False).view(np.uint64)))
 
     return probe(hashes)

@@ -33,6 +33,8 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
+from quillframe.llm.common import held, small
+
 #: The byte-level pre-split of this family of vocabularies.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of the word table of one Python worker; it is emptied when full.
@@ -228,15 +230,9 @@ class _Table(dict):
         return ids
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec_of(spec_json: str) -> Codec:
     """The worker's codec for a tokenizer; compiled once per process."""
-    if spec_json not in _codecs:
-        _codecs.clear()
-        _codecs[spec_json] = Codec(json.loads(spec_json))
-    return _codecs[spec_json]
+    return held("codec " + spec_json, lambda: Codec(json.loads(spec_json)))
 
 
 def merges_by_rank(spec_json: str) -> bool:
@@ -253,21 +249,18 @@ def merges_by_rank(spec_json: str) -> bool:
     return by_merge == sorted(by_merge) and len(by_merge) == len(spec["model"]["merges"]) and len(made.ids) == len(spec["model"]["vocab"])
 
 
-_encoders: dict[str, object] = {}
-
-
 def encoder_of(spec_json: str, by_rank: bool):
     """Text to ids (little-endian unsigned 32-bit) where nothing else is needed: by rank in a compiled library, if that gives the same ids."""
     if not by_rank:
         return codec_of(spec_json).encode
-    if spec_json not in _encoders:
+
+    def make():
         spec = json.loads(spec_json)
         letters = byte_letters()
         ranks = {bytes(letters[c] for c in s): i for s, i in spec["model"]["vocab"].items()}
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        _encoders.clear()
-        _encoders[spec_json] = tiktoken.Encoding("by_rank", pat_str=PRE_SPLIT, mergeable_ranks=ranks, special_tokens=special)
-    made = _encoders[spec_json]
+        return tiktoken.Encoding("by_rank", pat_str=PRE_SPLIT, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in spec["added_tokens"]})
+
+    made = held("by rank " + spec_json, make)
     return lambda text: made.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
 
@@ -284,10 +277,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(spec.value)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                ids = [codec.encode(x or "") for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([codec.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+            ids = [codec.encode(x or "") for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([codec.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(small(run), f"doc_id {kind}, ids binary, decoded string")

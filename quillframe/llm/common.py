@@ -18,6 +18,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACES)] = True
 
+BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
+
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -66,7 +68,16 @@ def small(run, rows: int = 1000):
     """``run``, a function for mapInArrow, over batches of at most ``rows`` rows; afterwards unused memory is given back.
 
     Python workers live on between tasks, and two or more share an executor's memory.
+    Spark's own batches hold up to 10,000 texts, in buffers outside of the heap;
+    the session's limits are lowered to BATCH_ROWS and BATCH_BYTES where they are higher.
     """
+    spark = SparkSession.getActiveSession()
+    if spark:
+        for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+            key = f"spark.sql.execution.arrow.{key}"
+            now = spark.conf.get(key).lower().rstrip("b")
+            if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+                spark.conf.set(key, str(most))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))

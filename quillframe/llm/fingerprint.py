@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import shingle_set, word_hashes
+from quillframe.llm.common import shingle_set, small, word_hashes
 
 K = 128
 SHINGLE = 5
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([to_string(sketch(x.as_py() or "")) for x in b.column("text")], pa.string())], ["doc_id", "fingerprint"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fingerprint string")
+    return docs.select("doc_id", "text").mapInArrow(small(run), f"doc_id {kind}, fingerprint string")
 
 
 def merged(prints: DataFrame, key: str, k: int = K) -> DataFrame:
@@ -108,10 +108,10 @@ def merged(prints: DataFrame, key: str, k: int = K) -> DataFrame:
             yield flush()
 
     schema = f"`{key}` {kind}, fingerprint string"
-    once = prints.select(key, "fingerprint").mapInArrow(run, schema)
+    once = prints.select(key, "fingerprint").mapInArrow(small(run), schema)
     spread = once.withColumn("__salt", F.pmod(F.xxhash64("fingerprint"), F.lit(64)))
-    again = spread.repartition(key, "__salt").select(key, "fingerprint").mapInArrow(run, schema)
-    return again.repartition(key).mapInArrow(run, schema)
+    again = spread.repartition(key, "__salt").select(key, "fingerprint").mapInArrow(small(run), schema)
+    return again.repartition(key).mapInArrow(small(run), schema)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -172,4 +172,4 @@ def edited(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_next(docs).select("doc_id", "text", "bucket", "guest").mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, edited_contained double")
+    return with_next(docs).select("doc_id", "text", "bucket", "guest").mapInArrow(small(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, edited_contained double")

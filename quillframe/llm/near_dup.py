@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.bitmap import bitmap, maybe_in
-from quillframe.llm.common import fmix, materialise, shingle_set, unwrap, word_hashes, wrap
+from quillframe.llm.common import fmix, materialise, shingle_set, small, unwrap, word_hashes, wrap
 from quillframe.llm.components import components
 
 COORDINATES, BANDS = 128, 32
@@ -144,7 +144,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([nodes[i] for i in index], pa.binary()), pa.array([bands[i] for i in index], pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node binary, bands array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(small(run), f"doc_id {kind}, node binary, bands array<bigint>")
 
 
 def candidate_pairs(nodes: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
     rows = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id")
-    made = rows.mapInArrow(run, "node binary, shingles binary")
+    made = rows.mapInArrow(small(run), "node binary, shingles binary")
     return made.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
@@ -183,7 +183,7 @@ def verified(pairs: DataFrame, shingles: DataFrame, similarity: float = SIMILARI
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     of_a, of_b = (shingles.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}")) for k in "ab")
-    return pairs.select("a", "b").join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b").join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b").mapInArrow(small(run), "a binary, b binary")
 
 
 def classes(docs: DataFrame) -> DataFrame:

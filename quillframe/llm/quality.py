@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quillframe.llm.common import SPACES, materialise, unwrap, wrap
+from quillframe.llm.common import SPACES, materialise, small, unwrap, wrap
 
 SYMBOLS = "#*$%&|<>"
 _ASCII_LETTERS_AND_SPACES = bytes(b for b in range(256) if b >= 128 or chr(b).isalpha() or b in SPACES)
@@ -68,7 +68,7 @@ def counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays([pa.array(c) for c in rows.T], COUNTS)], [*names, "counted"])
 
     counted = StructType([StructField(c, LongType()) for c in COUNTS])
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("counted", counted)]))
+    return docs.mapInArrow(small(run), StructType([*docs.schema.fields, StructField("counted", counted)]))
 
 
 def base_failed() -> Column:

@@ -31,6 +31,7 @@ document, and each gets its result; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quillframe.llm.bitmap import bitmap, maybe_in
-from quillframe.llm.common import gram_hashes, materialise, word_hashes, wrap
+from quillframe.llm.common import fmix, gram_hashes, held, materialise, small, word_hashes, wrap
 
 WINDOW, RUN = 20, 5
 PASSAGES, SHARD = 6000, 2000
@@ -59,7 +60,7 @@ def anchors(words: np.ndarray, window: int = WINDOW) -> np.ndarray:
         step = min(have, width - have)
         g = np.minimum(g[: len(g) - step], g[step:])
         have += step
-    return g
+    return fmix(g)  # minima crowd together; a filter by leading bits needs them spread
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -92,16 +93,9 @@ class Passages:
         return np.searchsorted(begin, hits).tolist()
 
 
-_compiled: dict[int, Passages] = {}
-
-
-def _passages(shared) -> Passages:
-    """The worker's automata, compiled once for each broadcast."""
-    key = id(shared.value)
-    if key not in _compiled:
-        _compiled.clear()
-        _compiled[key] = Passages(*shared.value)
-    return _compiled[key]
+def _passages(named: tuple[str, list[str], list[int]]) -> Passages:
+    """The worker's automata for passages given under a unique name; compiled once."""
+    return held(named[0], lambda: Passages(*named[1:]))
 
 
 def repeated_inside(hashes: np.ndarray) -> np.ndarray:
@@ -118,7 +112,8 @@ def _split(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = wrap(docs, "doc_id").select("__row", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"))
     named = keyed.select("key", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.length("text").alias("n"))
     named = materialise(named)
-    groups = named.groupBy("h1", "h2", "n").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least != most").drop("most")
+    # Stored, so that the join with it reads plain exchanges and a group of any size can be split.
+    groups = materialise(named.groupBy("h1", "h2", "n").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least != most").drop("most"))
     copies = materialise(named.join(groups, ["h1", "h2", "n"]).filter(F.col("key") != F.col("least")).select("key", "h1", "h2").distinct().withColumn("h", F.xxhash64("key")))
     near = maybe_in(spark, bitmap(copies, "h"), F.xxhash64("key"))
     probed = keyed.withColumn("suspect", near)
@@ -139,7 +134,7 @@ def _count_anchors(single: DataFrame, window: int) -> DataFrame:
                 values, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([_long(values), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    counted = single.select("text").mapInArrow(run, "h long, n long")
+    counted = single.select("text").mapInArrow(small(run), "h long, n long")
     return counted.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
 
 
@@ -167,7 +162,7 @@ def _windows(single: DataFrame, recurring, window: int) -> DataFrame:
                 if h:
                     yield pa.RecordBatch.from_arrays([_long(np.concatenate(h)), pa.array(np.concatenate(key)), pa.array(np.concatenate(start).astype(np.int32))], ["h", "key", "start"])
 
-    return single.select("key", "text").mapInArrow(run, "h long, key long, start int")
+    return single.select("key", "text").mapInArrow(small(run), "h long, key long, start int")
 
 
 def _fetch(single: DataFrame, wanted: DataFrame, window: int) -> tuple[list[str], list[int], list[int]]:
@@ -188,7 +183,7 @@ def _fetch(single: DataFrame, wanted: DataFrame, window: int) -> tuple[list[str]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())], ["passage", "key", "h"])
 
     by_doc = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "start")).alias("at"))
-    rows = single.select("key", "text").join(F.broadcast(by_doc), "key").mapInArrow(run, "passage string, key long, h long").distinct().orderBy("h", "passage").collect()
+    rows = single.select("key", "text").join(F.broadcast(by_doc), "key").mapInArrow(small(run), "passage string, key long, h long").distinct().orderBy("h", "passage").collect()
     return [r.passage for r in rows], [r.key for r in rows], [r.h for r in rows]
 
 
@@ -197,7 +192,7 @@ def _finish(rows: DataFrame, passages, window: int, layout: bool) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(passages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = _passages(shared)
+        automata = _passages(shared.value)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
@@ -224,7 +219,7 @@ def _finish(rows: DataFrame, passages, window: int, layout: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("__row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["__row", "n_words", "n_removed", "kept_text"])
 
     fields = [rows.schema["__row"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())]
-    return rows.select("__row", "key", "text", "starts").mapInArrow(run, StructType(fields))
+    return rows.select("__row", "key", "text", "starts").mapInArrow(small(run), StructType(fields))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, layout: bool = False) -> DataFrame:
@@ -255,4 +250,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, layout: bool = False)
     # A copy's windows all start earlier elsewhere: it is as if its first one were removed, and each after it.
     n = F.size(F.split(F.regexp_replace("text", r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", ""), r"[ \t\n\x0B\f\r]+"))
     all_ = F.when(n >= window, F.sequence(F.lit(0), n - window)).cast("array<int>").alias("starts")
-    return _finish(parts.unionByName(copies.select("__row", "key", "text", all_)), (texts, first), window, layout)
+    return _finish(parts.unionByName(copies.select("__row", "key", "text", all_)), (uuid.uuid4().hex, texts, first), window, layout)
