@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quillframe.llm.common import unwrap, word_bounds, word_hashes, wrap
+from quillframe.llm.common import small, unwrap, word_bounds, word_hashes, wrap
 
 UNKNOWN = "und"
 PER_LANGUAGE = 300  # labelled documents of each language that training reads at most
@@ -159,7 +159,7 @@ def train(words: list[bytes], label: np.ndarray, languages: list[str], steps: in
 
 def fit(docs: DataFrame) -> Network | None:
     """Train on the bounded sample of ``docs`` (doc_id, text, lang)."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"))
+    known = docs.filter(F.col("lang").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"))
     # Candidates by hash alone: the threshold keeps a few times the bound, from counts per language.
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
@@ -168,12 +168,19 @@ def fit(docs: DataFrame) -> Network | None:
     share = {k: min(1.0, 3 * PER_LANGUAGE / n + 30 / n) for k, n in sizes.items()}
     limit = F.create_map(*[F.lit(x) for k, s in share.items() for x in (k, int(-(2**63) + s * (2**64 - 1)) if s < 1 else 2**63 - 1)])
     few = known.filter(F.col("h") <= limit[F.col("lang")]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("rank") <= PER_LANGUAGE).select("doc_id")
-    rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(few.distinct()), "doc_id").rdd.map(lambda r: (r.doc_id, str(r.lang), _draw(r.text))).collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array([_draw(x.as_py() or "") for x in b.column("text")], pa.list_(pa.binary()))], ["doc_id", "lang", "words"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    chosen = docs.filter(F.col("lang").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text").join(F.broadcast(few.distinct()), "doc_id")  # PER_LANGUAGE ids of each language
+    rows = chosen.mapInArrow(small(run), f"doc_id {kind}, lang string, words array<binary>").collect()
     languages = sorted(sizes)
     words, label = [], []
-    for _, lang, drawn in sorted(rows, key=lambda r: (r[1], r[0])):
-        words += drawn
-        label += [languages.index(lang)] * len(drawn)
+    for r in sorted(rows, key=lambda r: (r.lang, r.doc_id)):
+        words += map(bytes, r.words)
+        label += [languages.index(r.lang)] * len(r.words)
     return train(words, np.array(label, np.int64), languages) if words else None
 
 
@@ -226,22 +233,20 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                texts = [x or "" for x in part.column("text").to_pylist()]
-                lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                can = [i for i, x in enumerate(texts) if model and _letter(x)]
-                if can:
-                    found = pooled(model, [texts[i] for i in can])
-                    # The geometric mean over positions, sharpened by the evidence there is.
-                    mean = found[:, :-1] / np.sqrt(np.maximum(found[:, -1:], 1))
-                    p = np.exp(mean - mean.max(1, keepdims=True))
-                    p /= p.sum(1, keepdims=True)
-                    for i, q in zip(can, p, strict=True):
-                        lang[i], score[i] = model.languages[int(q.argmax())], float(q.max())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names)
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+            texts = [x or "" for x in b.column("text").to_pylist()]
+            lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            can = [i for i, x in enumerate(texts) if model and _letter(x)]
+            if can:
+                found = pooled(model, [texts[i] for i in can])
+                # The geometric mean over positions, sharpened by the evidence there is.
+                mean = found[:, :-1] / np.sqrt(np.maximum(found[:, -1:], 1))
+                p = np.exp(mean - mean.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                for i, q in zip(can, p, strict=True):
+                    lang[i], score[i] = model.languages[int(q.argmax())], float(q.max())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names)
+
+    return docs.mapInArrow(small(run, 1024), StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def identify(docs: DataFrame) -> DataFrame:
