@@ -20,6 +20,14 @@ it shares most bands with; then only pairs that are still in different
 components are.  Buckets are aggregated and joined, so one that a third of all
 documents share is split like any skewed join.
 
+Completion.  A bucket's hubs may be below 0.8 to two members that are at 0.8
+to each other, as where many texts share a passage.  So all nodes that met any
+other are joined once more, exactly: with shingles in one order, the rarest
+first, two sets at 0.8 share one among the first fifth of each, at places that
+leave enough behind it.  Every such pair of different components is verified;
+what a text alone holds stands first, so a passage that many share in part
+brings few of them together.
+
 Defined cases: a null text is empty; texts without words are one class;
 repeated rows share a class; class_id is the smallest doc_id of the class (null
 only if it has no other); an empty table gives no rows.
@@ -43,6 +51,7 @@ COORDINATES, BANDS = 128, 32
 SIMILARITY = 0.8
 SHINGLE = 5
 NARROW, WIDE = 2.0**-4, 16.0
+RANKED = 200_000  # shingles at most whose counts order all sets
 _U64 = np.uint64
 _EMPTY = _U64(0xFFFFFFFFFFFFFFFF)
 
@@ -186,6 +195,82 @@ def verified(pairs: DataFrame, shingles: DataFrame, similarity: float = SIMILARI
     return pairs.select("a", "b").join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b").mapInArrow(small(run), "a binary, b binary")
 
 
+def _counted(shingles: DataFrame) -> DataFrame:
+    """h and n of the shingles of at least two nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("shingles")]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    return shingles.select("shingles").mapInArrow(small(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
+
+
+def _ranked(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the most frequent shingles: RANKED at most, found by a histogram of bounded size."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    least, held = None, 0
+    for r in counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("shingles")).orderBy(F.desc("step")).collect():
+        if held + r.shingles > RANKED:
+            break
+        least, held = r.step, held + r.shingles
+    rows = [] if least is None else counted.filter(step >= least).collect()
+    h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _leading(sets: DataFrame, counted: DataFrame, similarity: float) -> DataFrame:
+    """h, node, label, size and place of the shingles that two sets at ``similarity`` can't all differ in.
+
+    Any order serves that is the same for all sets; shingles without a rank
+    count as the rarest.  Those of one node alone keep their place, but meet none.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast((bitmap(counted, "h"), *_ranked(counted)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, known, count = shared.value
+        for b in batches:
+            h, size, place = [], [], []
+            for x in b.column("shingles"):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                n = np.zeros(len(s), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    n = np.where(known[at] == s, count[at], 0)
+                lead = np.lexsort((s, n))[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]
+                some = np.flatnonzero(seen.has(s[lead]))
+                h.append(s[lead[some]])
+                size.append(len(s))
+                place.append(some)
+            of = np.repeat(np.arange(b.num_rows), [len(p) for p in place])
+            row = pa.array(of)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(h).view(np.int64)), b.column("node").take(row), b.column("label").take(row),
+                pa.array(np.array(size, np.int32)[of]), pa.array(np.concatenate(place).astype(np.int32)),
+            ], ["h", "node", "label", "size", "place"])
+
+    return sets.select("node", "label", "shingles").mapInArrow(small(run), "h long, node binary, label binary, size int, place int")
+
+
+def missed_pairs(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a and b: a superset of the pairs of ``sets`` (node, label, shingles) at ``similarity`` whose labels differ."""
+    rows = materialise(_leading(sets, materialise(_counted(sets)), similarity))
+    # Pairs within the largest label of a shingle are never looked at, so a large class costs no square of its size.
+    each = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = materialise(each.groupBy("h").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("h", F.col("most.label").alias("main")))
+    met = materialise(rows.join(mixed, "h").withColumn("main", F.col("label") == F.col("main")))
+    x, y = (met.select("h", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "size", "place", "main"))) for k in "xy")
+    both = F.col("size_x") + F.col("size_y")
+    fits = (
+        (F.col("label_x") != F.col("label_y")) & (F.col("main_y") | (F.col("node_x") < F.col("node_y")))
+        & (F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y") - 1e-6)
+        & (F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) >= similarity / (1 + similarity) * both - 1e-6)
+    )
+    pairs = x.filter(~F.col("main_x")).withColumnRenamed("h", "h_x").join(y, (F.col("h_x") == F.col("h")) & fits)
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, node and class_id of every document."""
     marks = materialise(signed(docs))
@@ -200,8 +285,13 @@ def classes(docs: DataFrame) -> DataFrame:
     of = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
     second = materialise(verified(apart.join(best.select("x.a", "x.b"), ["a", "b"], "left_anti"), shingles))
+    edges = first.union(second)
     if not second.isEmpty():
-        labels = components(first.union(second))
+        labels = components(edges)
+    sets = materialise(shingles.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "shingles"))
+    third = materialise(verified(materialise(missed_pairs(sets)), shingles))
+    if not third.isEmpty():
+        labels = components(edges.union(third))
     labelled = materialise(nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label")))
     # Stored, so that the join below reads plain exchanges and a class of any size can be split.
     least = materialise(labelled.groupBy("label").agg(F.min("doc_id").alias("class_id")))

@@ -217,6 +217,17 @@ def test_near_duplicate_chains(spark):
     assert found == {r[0]: rows[k][0] for r, k in zip(rows, expected, strict=True)}
 
 
+def test_near_duplicates_among_hubs_that_are_none(spark):
+    """A passage that hundreds of longer texts share: these are hubs, but near to nothing."""
+    rows = []
+    for p in range(3):
+        passage = [f"p{p}-{i}" for i in range(300)]
+        rows += [(1000 * p + k, " ".join(passage + [f"o{p}-{k}-{i}" for i in range(30 if k < 2 else 90)])) for k in range(400)]
+    found = {r.doc_id: r.class_id for r in near_dup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert jaccard(shingles(rows[0][1]), shingles(rows[1][1])) >= 0.8 > jaccard(shingles(rows[0][1]), shingles(rows[2][1])) > 0.7
+    assert found == {i: i - 1 if i % 1000 == 1 else i for i, _ in rows}
+
+
 def test_near_duplicate_edges(docs, no_docs):
     rows = near_dup.deduplicate(docs).collect()
     assert len(rows) == 13
