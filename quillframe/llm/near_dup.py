@@ -30,7 +30,8 @@ brings few of them together.
 
 Defined cases: a null text is empty; texts without words are one class;
 repeated rows share a class; class_id is the smallest doc_id of the class (null
-only if it has no other); an empty table gives no rows.
+only if it has no other); of rows that share this doc_id, or have none, the one
+with the smallest digest of its text is kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.bitmap import bitmap, maybe_in
@@ -56,6 +57,11 @@ _U64 = np.uint64
 _EMPTY = _U64(0xFFFFFFFFFFFFFFFF)
 
 
+def _told() -> Column:
+    """A digest that tells apart texts, null among them, where doc_ids do not."""
+    return F.coalesce(F.md5("text"), F.lit("")).alias("told")
+
+
 def _uniform(h: np.ndarray) -> np.ndarray:
     return (h >> _U64(11)).astype(np.float64) * 2.0**-53
 
@@ -136,7 +142,7 @@ def _node(shingles: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node (of its shingle set) and the band keys; no bands where there is no word."""
+    """doc_id, told, node (of its shingle set) and the band keys; no bands where there is no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,10 +156,10 @@ def signed(docs: DataFrame) -> DataFrame:
                 keys = band_keys(dart_signatures(element, np.ones(len(element)), owner, len(sets))).view(np.int64)
                 nodes = [_node(x) for x in sets]
                 bands = [k if len(x) else k[:0] for k, x in zip(keys, sets, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([nodes[i] for i in index], pa.binary()), pa.array([bands[i] for i in index], pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("told"), pa.array([nodes[i] for i in index], pa.binary()), pa.array([bands[i] for i in index], pa.list_(pa.int64()))], ["doc_id", "told", "node", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(small(run), f"doc_id {kind}, node binary, bands array<bigint>")
+    return docs.select("doc_id", _told(), "text").mapInArrow(small(run), f"doc_id {kind}, told string, node binary, bands array<bigint>")
 
 
 def candidate_pairs(nodes: DataFrame) -> DataFrame:
@@ -165,14 +171,15 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and shingles (binary, sorted unsigned 64-bit) of the documents in ``wanted`` (doc_id, node)."""
+    """node and shingles (binary, sorted unsigned 64-bit) of the documents in ``wanted`` (doc_id, told)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(word_hashes((x.as_py() or "").encode()), SHINGLE) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
-    rows = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id")
+    ids = wanted.select(F.col("doc_id").alias("id"), F.col("told").alias("as_told"))
+    rows = docs.select("doc_id", _told(), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("told") == F.col("as_told"))).select("text")
     made = rows.mapInArrow(small(run), "node binary, shingles binary")
     return made.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
@@ -272,12 +279,12 @@ def missed_pairs(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, node and class_id of every document."""
+    """doc_id, told, class_id and stays (whether it is the one of its class) of every document."""
     marks = materialise(signed(docs))
-    nodes = materialise(marks.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
+    nodes = materialise(marks.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "told")).alias("best"), F.first("bands").alias("bands")))
     pairs = materialise(candidate_pairs(nodes))
     in_pairs = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    shingles = materialise(shingles_of(docs, nodes.join(in_pairs, "node").select("doc_id")).join(in_pairs, "node"))
+    shingles = materialise(shingles_of(docs, nodes.join(in_pairs, "node").select("best.doc_id", "best.told")).join(in_pairs, "node"))
     # The hub that a node shares most bands with; a struct's maximum needs no window over a hub's pairs.
     best = pairs.select(F.col("a").alias("node"), "a", "b", "shared").union(pairs.select("b", "a", "b", "shared")).groupBy("node").agg(F.max(F.struct("shared", "a", "b")).alias("x"))
     first = materialise(verified(best.select("x.a", "x.b").distinct(), shingles))
@@ -292,28 +299,29 @@ def classes(docs: DataFrame) -> DataFrame:
     third = materialise(verified(materialise(missed_pairs(sets)), shingles))
     if not third.isEmpty():
         labels = components(edges.union(third))
-    labelled = materialise(nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label")))
+    labelled = materialise(nodes.select("node", "best").join(labels, "node", "left").select("node", "best", F.coalesce("label", "node").alias("label")))
     # Stored, so that the join below reads plain exchanges and a class of any size can be split.
-    least = materialise(labelled.groupBy("label").agg(F.min("doc_id").alias("class_id")))
-    of_node = materialise(labelled.join(least, "label").select("node", "class_id"))
-    return marks.select("doc_id", "node").join(of_node, "node").select("doc_id", "node", "class_id")
+    least = materialise(labelled.groupBy("label").agg(F.min("best").alias("best")))
+    of_node = materialise(labelled.select("node", "label").join(least, "label").select("node", "best"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("told") == F.col("best.told"))
+    return marks.select("doc_id", "told", "node").join(of_node, "node").select("doc_id", "told", F.col("best.doc_id").alias("class_id"), stays.alias("stays"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, class_id and kept; one document of each class is kept."""
-    return classes(docs).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return classes(docs).select("doc_id", "class_id", F.col("stays").alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those whose class has another document that stays.
 
-    What goes is found by doc_id.  A bounded bitmap tells which rows may be
+    What goes is found by doc_id and digest of the text.  A bounded bitmap tells which rows may be
     meant; only these move to be joined, all others stay where they are.
     """
-    found = classes(docs).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("rows"))
-    named = materialise(found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id")) | (F.col("rows") > 1)).withColumn("h", F.xxhash64("doc_id")))
-    probed = wrap(docs, "doc_id").withColumn("named", maybe_in(docs.sparkSession, bitmap(named, "h"), F.xxhash64("doc_id")))
-    gone = named.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone_id"))
+    found = classes(docs).groupBy("doc_id", "told").agg(F.min("stays").alias("stays"), F.count(F.lit(1)).alias("rows"))
+    named = materialise(found.filter(~F.col("stays") | (F.col("rows") > 1)).withColumn("h", F.xxhash64("doc_id", "told")))
+    probed = wrap(docs, "doc_id").withColumn("told", _told()).withColumn("named", maybe_in(docs.sparkSession, bitmap(named, "h"), F.xxhash64("doc_id", "told")))
+    gone = named.filter(~F.col("stays")).select(F.col("doc_id").alias("gone_id"), F.col("told").alias("gone_told"))
     # Rows that repeat a doc_id and text are one document.
-    moved = probed.filter("named").join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti").dropDuplicates(["doc_id", "text"])
+    moved = probed.filter("named").join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("told") == F.col("gone_told")), "left_anti").dropDuplicates(["doc_id", "text"])
     return unwrap(probed.filter(~F.col("named")).unionByName(moved), docs.columns)

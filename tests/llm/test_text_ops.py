@@ -238,6 +238,13 @@ def test_near_duplicate_edges(docs, no_docs):
     assert kept.columns == docs.columns and sorted(r.doc_id or 99 for r in kept.collect()) == [1, 2, 3, 6, 8, 9, 10, 11, 99]
 
 
+def test_one_of_each_class_stays_where_ids_are_null_or_equal(spark):
+    near = lambda w, end: " ".join([f"{w}{i}" for i in range(100)] + [end])
+    rows = [(3, near("a", "x")), (None, near("a", "y")), (None, near("b", "x")), (None, near("c", "x")), (None, near("c", "y")), (4, near("d", "x")), (4, near("d", "y")), (4, near("e", "x")), (2, near("e", "y")), (None, None), (None, "")]
+    kept = [(r.doc_id, (r.text or "-")[0]) for r in near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=lambda r: r[1]) == [(None, "-"), (3, "a"), (None, "b"), (None, "c"), (4, "d"), (2, "e")]
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     e, w = rng.integers(0, 2**63, 60, dtype=np.uint64), rng.uniform(0.1, 9, 60)
