@@ -32,7 +32,7 @@ from quillframe.llm.common import small, unwrap, word_bounds, word_hashes, wrap
 
 UNKNOWN = "und"
 PER_LANGUAGE = 300  # labelled documents of each language that training reads at most
-WORDS_PER_DOCUMENT = 120  # words of each that it draws, spread over the whole text
+WORDS_PER_DOCUMENT = 120  # words, or pieces of long ones, of each that it draws, spread over the whole text
 HIDDEN, EMBED, STEPS, BATCH, LONGEST = 16, 12, 900, 256, 24
 _letter = regex.compile(r"\p{L}").search
 
@@ -185,9 +185,9 @@ def fit(docs: DataFrame) -> Network | None:
 
 
 def _draw(text: str) -> list[bytes]:
-    words = [w[:LONGEST] for w in text.encode().split() if _letter(w.decode())]
-    step = max(1, len(words) // WORDS_PER_DOCUMENT)
-    return words[::step][:WORDS_PER_DOCUMENT]
+    pieces = [w[at : at + LONGEST] for w in text.encode().split() if _letter(w.decode()) for at in range(0, len(w), LONGEST)]
+    n = min(len(pieces), WORDS_PER_DOCUMENT)
+    return [pieces[i * len(pieces) // n] for i in range(n)]
 
 
 def pooled(net: Network, texts: list[str]) -> np.ndarray:

@@ -270,6 +270,14 @@ def test_language(spark, sf, table, docs, no_docs):
     assert language.keep_known(docs).columns == docs.columns
 
 
+def test_training_words_are_spread_over_the_whole_text():
+    for n in (1, 119, 120, 121, 239, 359, 1000):
+        at = [int(w[1:]) for w in language._draw(" ".join(f"w{i}" for i in range(n)))]
+        assert len(at) == min(n, 120) and at[0] == 0 and at[-1] >= n - 1 - n // 120 and max(np.diff(at), default=1) <= -(-n // 120)
+    run = "日本語" * 40
+    assert b"".join(language._draw(run)).decode() == run and language._draw("1 2") == []
+
+
 def test_pooling_reads_every_occurrence():
     net = language.Network.fresh(["x", "y"])
     words = [b"one", b"two", "thrée".encode(), b"one"]
