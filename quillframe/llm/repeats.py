@@ -4,58 +4,71 @@ Words are runs of non-space bytes, unchanged.  A window's occurrence is removed
 if the same words also start earlier: in a smaller doc_id, or earlier in the
 same document.
 
-1. Exact copies of whole texts are recognised by hashes first; all but the one
-   with the smallest doc_id are removed as a whole, and take no further part.
-2. Every window has an anchor, the smallest hash among its five-word runs, so
-   equal windows have equal anchors.  Anchors are counted; those of two or more
-   documents go into a bounded bitmap.
-3. Windows whose anchor may recur are emitted by hash, once for each document,
-   and confirmed by count; the smallest doc_id of each is its first occurrence.
-4. The most frequent passages, ``PASSAGES`` windows at most whatever the input,
-   are fetched as text and compiled into sharded Aho-Corasick automata.  All
-   documents stream through them, and every occurrence is located where the
-   document is read: what a third of all documents share is never shuffled.
-5. All rarer windows, which have a bounded number of occurrences each, are
-   joined with their first occurrences and brought to their documents.
-
-Automata for all recurring windows would have to be streamed past as many times
-as they have shards, and both grow with the input; that is why only the most
-frequent ones are compiled and the rest is joined.
-
-Windows are compared by 64-bit hashes (those of the automata by their text).
-
-Defined cases: a null text has no words; a text of fewer than 20 words is kept;
-a null doc_id counts as the largest; rows that repeat a doc_id and text are one
-document, and each gets its result; an empty table gives no rows.
+1. Every window has an anchor, the smallest hash among its ten-word runs, so
+   equal windows have equal anchors.  Anchors are counted; those that occur
+   again go into a bounded bitmap.
+2. Windows whose anchor may recur, or that recur within their document, are
+   counted by two hashes.  Those found twice recur; the least (document, start)
+   of each is its first occurrence.
+3. Documents are read again.  Neighbouring first occurrences are merged into
+   passages, whose words are told; neighbouring windows that may recur but are
+   not first ones are merged into stretches.  Both are dealt to shards by a
+   leading gram, the smallest hash among a window's five-word runs, so a
+   stretch meets only the shard that may know it.
+4. Each shard compiles the windows of all its passages into one Aho-Corasick
+   automaton and streams its stretches through it.  Words are symbols of the
+   automaton, so what it finds is equal as text; hashes only choose what it
+   reads.  Every occurrence of a passage's windows is located here, and only
+   these are removed.
+5. The spans found are brought to their documents.
+
+No passage is left out, however rare.  A shard of many passages is split into
+automata of ``SHARD`` windows at most; one with many stretches is salted, with
+its automaton compiled once for each salt.  So a passage that a third of all
+documents hold is streamed by many tasks.
+
+Defined cases: a null text has no words and counts as empty; a text of fewer
+than 20 words is kept; a null doc_id is larger than any other (below 2 ** 62),
+and rows without one go by hashes of their texts, as rows that share a doc_id
+do; rows that repeat a doc_id and text are one document, and each gets its
+result; a very long text is read as a whole, its stretches go one by one; a
+word of any length is one symbol; an empty table gives no rows; columns of
+``docs`` may have any name, as they travel within one struct.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quillframe.llm.bitmap import bitmap, maybe_in
-from quillframe.llm.common import fmix, gram_hashes, held, materialise, small, word_hashes, wrap
+from quillframe.llm.common import fmix, gram_hashes, materialise, small, word_hashes
 
-WINDOW, RUN = 20, 5
-PASSAGES, SHARD = 6000, 2000
-LEAST_FREQUENT = 64
-_LAST = 2**63 - 1
+WINDOW, RUN, LEAD = 20, 10, 5
+#: Windows of one automaton at most (some 20 nodes each), windows of a passage at most, bytes of stretches for each salt.
+SHARD, PASSAGE, SALT_BYTES = 6000, 256, 16 << 20
+_NULLS = 1 << 62
 
 
-def anchors(words: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """The anchor of the window that starts at each word."""
+def identity() -> list[Column]:
+    """``key`` and ``told``: what tells documents apart, in their order."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    other = F.lit(_NULLS).bitwiseOR(F.xxhash64(F.lit(1), text).bitwiseAND(_NULLS - 1))
+    return [F.coalesce(F.col("doc_id").cast("long"), other).alias("key"), F.xxhash64(text).alias("told")]
+
+
+def anchors(words: np.ndarray, window: int = WINDOW, run: int = RUN) -> np.ndarray:
+    """The smallest hash among the runs of ``run`` words of the window that starts at each word."""
     if len(words) < window:
         return words[:0]
-    g = gram_hashes(words, min(RUN, window))
-    width, have = window - min(RUN, window) + 1, 1
+    g = gram_hashes(words, min(run, window))
+    width, have = window - min(run, window) + 1, 1
     while have < width:
         step = min(have, width - have)
         g = np.minimum(g[: len(g) - step], g[step:])
@@ -67,159 +80,229 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-class Passages:
-    """Sharded Aho-Corasick automata over windows' words, one space around each word."""
-
-    def __init__(self, texts: list[str], first: list[int], shard: int = SHARD) -> None:
-        self.first = first
-        self.size = [len(t) for t in texts]
-        self.shards = []
-        for at in range(0, len(texts), shard):
-            a = ahocorasick.Automaton()
-            for i in range(at, min(at + shard, len(texts))):
-                a.add_word(texts[i], i)
-            a.make_automaton()
-            self.shards.append(a)
-
-    def later(self, words: list[bytes], key: int) -> list[int]:
-        """Starts, by word, of passages whose first occurrence is in another document."""
-        if not self.shards:
-            return []
-        text = " " + b" ".join(words).decode() + " "
-        hits = [end - self.size[i] + 1 for a in self.shards for end, i in a.iter(text) if self.first[i] != key]
-        if not hits:
-            return []
-        begin = np.cumsum([0, *(len(w) + 1 for w in text[1:-1].split(" "))])
-        return np.searchsorted(begin, hits).tolist()
-
-
-def _passages(named: tuple[str, list[str], list[int]]) -> Passages:
-    """The worker's automata for passages given under a unique name; compiled once."""
-    return held(named[0], lambda: Passages(*named[1:]))
+def _runs(flag: np.ndarray, by: np.ndarray, most: int = 1 << 40) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run of flagged places with one value of ``by``, ``most`` places long at most."""
+    at = np.flatnonzero(flag)
+    if not len(at):
+        return
+    cut = np.flatnonzero((np.diff(at) != 1) | (by[at[1:]] != by[at[:-1]])) + 1
+    for begin, end in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True):
+        first, last = int(at[begin]), int(at[end - 1]) + 1
+        for s in range(first, last, most):
+            yield s, min(last, s + most)
 
 
-def repeated_inside(hashes: np.ndarray) -> np.ndarray:
-    """Starts of windows that occur earlier in the same document."""
-    order = np.argsort(hashes, kind="stable")
-    same = np.concatenate([[False], hashes[order][1:] == hashes[order][:-1]]) if len(order) else np.zeros(0, bool)
-    return order[same]
-
-
-def _split(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents that are no copy of an earlier one, and those that are: __row, text and key."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = wrap(docs, "doc_id").select("__row", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"))
-    named = keyed.select("key", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.length("text").alias("n"))
-    named = materialise(named)
-    # Stored, so that the join with it reads plain exchanges and a group of any size can be split.
-    groups = materialise(named.groupBy("h1", "h2", "n").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least != most").drop("most"))
-    copies = materialise(named.join(groups, ["h1", "h2", "n"]).filter(F.col("key") != F.col("least")).select("key", "h1", "h2").distinct().withColumn("h", F.xxhash64("key")))
-    near = maybe_in(spark, bitmap(copies, "h"), F.xxhash64("key"))
-    probed = keyed.withColumn("suspect", near)
-    marked = copies.select("key", "h1", "h2", F.lit(True).alias("copy"))
-    suspects = probed.filter("suspect").drop("suspect").withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}).join(marked, ["key", "h1", "h2"], "left").drop("h1", "h2")
-    suspects = materialise(suspects)
-    single = probed.filter(~F.col("suspect")).drop("suspect").unionByName(suspects.filter("copy IS NULL").drop("copy"))
-    return single, suspects.filter("copy").drop("copy")
-
-
-def _count_anchors(single: DataFrame, window: int) -> DataFrame:
-    """Anchors of at least two documents."""
+def _count_anchors(docs: DataFrame, window: int) -> DataFrame:
+    """Anchors that at least two documents have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                found = [np.unique(anchors(word_hashes((x.as_py() or "").encode()), window)) for x in b.column("text").slice(at, 500)]
+                found = [np.unique(anchors(word_hashes(x.as_py().encode()), window)) for x in b.column("text").slice(at, 500)]
                 values, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([_long(values), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    counted = single.select("text").mapInArrow(small(run), "h long, n long")
+    counted = docs.select("text").mapInArrow(small(run), "h long, n long")
     return counted.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
 
 
-def _windows(single: DataFrame, recurring, window: int) -> DataFrame:
-    """h, key, start of each document's windows with an anchor that may recur; the first start of each."""
-    shared = single.sparkSession.sparkContext.broadcast(recurring)
+def _windows(docs: DataFrame, shared, window: int) -> DataFrame:
+    """h and a (two hashes of a window), n, and its first occurrence among a few hundred documents.
+
+    Of windows whose anchor may recur, and of those that recur within a document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                keys = part.column("key").to_numpy()
-                h, key, start = [], [], []
-                for k, x in zip(keys, part.column("text"), strict=True):
-                    words = word_hashes(x.as_py().encode())
+                keys, told = part.column("key").to_numpy(), part.column("told").to_numpy()
+                order = np.lexsort((told, keys))
+                h, a, n, start, size, who = [], [], [], [], [], []
+                for i in order.tolist():
+                    words = word_hashes(part.column("text")[i].as_py().encode())
                     if len(words) < window:
                         continue
-                    mine = np.flatnonzero(seen.has(anchors(words, window)))
-                    if len(mine):
-                        value, first = np.unique(gram_hashes(words, window)[mine], return_index=True)
-                        h.append(value)
-                        start.append(mine[first])
-                        key.append(np.full(len(value), k))
-                if h:
-                    yield pa.RecordBatch.from_arrays([_long(np.concatenate(h)), pa.array(np.concatenate(key)), pa.array(np.concatenate(start).astype(np.int32))], ["h", "key", "start"])
+                    value, first, times = np.unique(gram_hashes(words, window), return_index=True, return_counts=True)
+                    anchor = anchors(words, window)[first]
+                    some = np.flatnonzero(seen.has(anchor) | (times > 1))
+                    if len(some):
+                        h.append(value[some])
+                        a.append(anchor[some])
+                        n.append(times[some])
+                        start.append(first[some])
+                        size.append(len(some))
+                        who.append(i)
+                if not h:
+                    continue
+                h, a, n, start, who = *map(np.concatenate, (h, a, n, start)), np.repeat(who, size)
+                # Documents come in order, so the first place of a window is that of its first document.
+                by = np.lexsort((np.arange(len(h)), a, h))
+                new = np.ones(len(h), bool)
+                new[1:] = (h[by][1:] != h[by][:-1]) | (a[by][1:] != a[by][:-1])
+                one = by[new]
+                yield pa.RecordBatch.from_arrays(
+                    [_long(h[one]), _long(a[one]), pa.array(np.add.reduceat(n[by], np.flatnonzero(new))), pa.array(keys[who[one]]), pa.array(told[who[one]]), pa.array(start[one])],
+                    ["h", "a", "n", "key", "told", "start"])
+
+    return docs.select("key", "told", "text").mapInArrow(small(run), "h long, a long, n long, key long, told long, start long")
+
+
+def _pieces(docs: DataFrame, shared, shards: int, window: int) -> DataFrame:
+    """Passages (kind 0) and stretches (kind 1) of documents with ``starts`` (of their first occurrences, or null), and their shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recurring = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                rows: list[tuple] = []
+                for key, told, x, given in zip(part.column("key").to_pylist(), part.column("told").to_pylist(), part.column("text"), part.column("starts"), strict=True):
+                    raw = x.as_py().encode()
+                    hashes = word_hashes(raw)
+                    if len(hashes) < window:
+                        continue
+                    later = recurring.has(gram_hashes(hashes, window))
+                    first = np.zeros(len(later), bool)
+                    if given.is_valid:
+                        first[given.values.to_numpy()] = True
+                        later &= ~first
+                    if not (given.is_valid or later.any()):
+                        continue
+                    words, lead = raw.split(), anchors(hashes, window, LEAD)
+                    shard = (lead % np.uint64(shards)).astype(np.int64)
+                    for kind, flag, most in ((0, first, PASSAGE), (1, later, 1 << 40)):
+                        rows += [(int(shard[s]), kind, key, told, s, e - s, b" ".join(words[s : e + window - 1]).decode()) for s, e in _runs(flag, lead, most)]
+                if rows:
+                    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["shard", "kind", "key", "told", "start", "windows", "words"])
+
+    return docs.select("key", "told", "text", "starts").mapInArrow(small(run), "shard long, kind int, key long, told long, start long, windows long, words string")
 
-    return single.select("key", "text").mapInArrow(small(run), "h long, key long, start int")
 
+def _symbol(i: int) -> str:
+    return chr(i + 1 if i < 0xD7FF else i + 0x801)  # no surrogates; \0 is left for words that no passage has
 
-def _fetch(single: DataFrame, wanted: DataFrame, window: int) -> tuple[list[str], list[int], list[int]]:
-    """Text, first document and hash of the windows in ``wanted`` (h, key, start): PASSAGES at most."""
+
+class Passages:
+    """An Aho-Corasick automaton over windows of words, each word one symbol."""
+
+    def __init__(self, passages: list[str], window: int = WINDOW) -> None:
+        self.symbols: dict[str, str] = {}
+        self.window = window
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for p in passages:
+            told = "".join([self.symbols.get(w) or self.symbols.setdefault(w, _symbol(len(self.symbols))) for w in p.split(" ")])
+            for s in range(len(told) - window + 1):
+                self.automaton.add_word(told[s : s + window])
+        self.automaton.make_automaton()
+
+    def starts(self, words: str) -> list[int]:
+        """Where windows of the passages start in words with one space between."""
+        if not len(self.automaton):
+            return []
+        known, back = self.symbols.get, self.window - 1
+        return [end - back for end, _ in self.automaton.iter("".join([known(w, "\0") for w in words.split(" ")]))]
+
+
+def _locate(dealt: DataFrame, window: int) -> DataFrame:
+    """key, told, begin and end (of words) of what the automata find; rows come by shard, salt and part, passages first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, passages, automaton = None, [], None
         for b in batches:
-            texts, keys, hashes = [], [], []
-            for key, x, pairs in zip(b.column("key").to_pylist(), b.column("text"), b.column("at").to_pylist(), strict=True):
-                raw = x.as_py().encode()
-                words, all_ = raw.split(), gram_hashes(word_hashes(raw), window)
-                for p in pairs:
-                    s = p["start"]
-                    if s < len(all_) and int(all_[s].astype(np.int64)) == p["h"]:
-                        texts.append(" " + b" ".join(words[s : s + window]).decode() + " ")
-                        keys.append(key)
-                        hashes.append(p["h"])
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())], ["passage", "key", "h"])
-
-    by_doc = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "start")).alias("at"))
-    rows = single.select("key", "text").join(F.broadcast(by_doc), "key").mapInArrow(small(run), "passage string, key long, h long").distinct().orderBy("h", "passage").collect()
-    return [r.passage for r in rows], [r.key for r in rows], [r.h for r in rows]
-
-
-def _finish(rows: DataFrame, passages, window: int, layout: bool) -> DataFrame:
-    """Kept text and counts of rows with ``key``, ``text`` and ``starts`` (null: none from the join)."""
-    shared = rows.sparkSession.sparkContext.broadcast(passages)
+            rows: list[tuple] = []
+            for *now, kind, key, told, start, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now != group:
+                    group, passages, automaton = now, [], None
+                if kind == 0:
+                    passages.append(words)
+                    continue
+                automaton = automaton or Passages(passages, window)
+                begin = end = -1
+                for s in automaton.starts(words):
+                    if s > end:
+                        if end >= 0:
+                            rows.append((key, told, start + begin, start + end))
+                        begin = s
+                    end = s + window
+                if end >= 0:
+                    rows.append((key, told, start + begin, start + end))
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "told", "begin", "end"])
+
+    return dealt.select("shard", "salt", "part", "kind", "key", "told", "start", "words").mapInArrow(small(run), "key long, told long, begin long, end long")
+
+
+def _with_identity(docs: DataFrame) -> DataFrame:
+    carried = [c for c in docs.columns if c != "text"]
+    row = F.struct(*(F.col(f"`{c}`") for c in carried)).alias("__row")
+    return docs.select(row, F.coalesce(F.col("text"), F.lit("")).alias("text"), *identity())
+
+
+def _touched(rows: DataFrame, given: DataFrame, column: str) -> DataFrame:
+    """``rows`` with a column of ``given`` (key, told, column, all longs or arrays), null where it has none.
+
+    A bounded bitmap tells which rows may be meant; only these move to be joined.
+    """
+    given = materialise(given.withColumn("h", F.xxhash64("key", "told")))
+    probed = rows.withColumn("__meant", maybe_in(rows.sparkSession, bitmap(given, "h"), F.xxhash64("key", "told")))
+    none = F.lit(None).cast(given.schema[column].dataType).alias(column)
+    still = probed.filter(~F.col("__meant")).drop("__meant").select("*", none)
+    moved = probed.filter("__meant").drop("__meant").join(given.drop("h"), ["key", "told"], "left")
+    return still.unionByName(moved)
+
+
+def located(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """key, told, begin, end: spans of words that windows cover which started earlier; ``rows`` has key, told and text."""
+    spark = rows.sparkSession
+    texts = rows.select("key", "told", "text")
+    anchor = spark.sparkContext.broadcast(bitmap(materialise(_count_anchors(texts, window)), "h"))
+    counted = _windows(texts, anchor, window).groupBy("h", "a").agg(F.sum("n").alias("n"), F.min(F.struct("key", "told", "start")).alias("first"))
+    repeated = materialise(counted.filter("n > 1").select("h", "first.*"))
+    windows = repeated.count()
+    recurring = spark.sparkContext.broadcast(bitmap(repeated, "h"))
+    # Half full on average, so that most shards need one automaton.
+    shards = max(1, 2 * windows // SHARD)
+    firsts = repeated.groupBy("key", "told").agg(F.collect_list("start").alias("starts"))  # of one document each
+    pieces = materialise(_pieces(_touched(texts, firsts, "starts"), recurring, shards, window))
+    known = F.col("kind") == 0
+    load = materialise(pieces.groupBy("shard").agg(
+        F.ceil(F.sum(F.when(known, F.col("windows"))) / SHARD).cast("int").alias("parts"),
+        F.greatest(F.lit(1), F.ceil(F.sum(F.when(~known, F.octet_length("words")).otherwise(0)) / SALT_BYTES)).cast("int").alias("salts"),
+        F.max("kind").alias("any")).filter("parts > 0 AND any = 1").drop("any"))
+    each = pieces.join(load, "shard")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    passages = each.filter(known).withColumn("part", F.pmod(F.xxhash64("words"), F.col("parts")).cast("int")).withColumn("salt", numbers("salts"))
+    stretches = each.filter(~known).withColumn("salt", F.pmod(F.xxhash64("key", "told", "start"), F.col("salts")).cast("int")).withColumn("part", numbers("parts"))
+    dealt = passages.unionByName(stretches).repartition("shard", "salt", "part").sortWithinPartitions("shard", "salt", "part", "kind")
+    return _locate(dealt, window)
+
+
+def _finish(rows: DataFrame, layout: bool) -> DataFrame:
+    """Kept text and counts of rows with ``text`` and ``spans`` (null: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = _passages(shared.value)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                n_words, n_removed, kept = [], [], []
-                for key, x, given in zip(part.column("key").to_pylist(), part.column("text"), part.column("starts"), strict=True):
-                    raw = x.as_py().encode()
-                    words = raw.split()
-                    removed = 0
-                    if len(words) >= window:
-                        starts = [repeated_inside(gram_hashes(word_hashes(raw), window)), np.array(automata.later(words, key), np.int64)]
-                        if given.is_valid:
-                            starts.append(given.values.to_numpy().astype(np.int64))
-                        starts = np.concatenate(starts)
-                        if len(starts):
-                            edge = np.zeros(len(words) + 1, np.int64)
-                            np.add.at(edge, starts, 1)
-                            np.add.at(edge, starts + window, -1)
-                            gone = np.cumsum(edge[:-1]) > 0
-                            removed = int(gone.sum())
-                            words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                    n_words.append(len(words) + removed)
-                    n_removed.append(removed)
-                    kept.append(x.as_py() if layout and not removed else b" ".join(words).decode())
-                yield pa.RecordBatch.from_arrays([part.column("__row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["__row", "n_words", "n_removed", "kept_text"])
+            n_words, n_removed, kept = [], [], []
+            for x, spans in zip(b.column("text"), b.column("spans"), strict=True):
+                words = x.as_py().encode().split()
+                removed = 0
+                if spans.is_valid:
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(edge, spans.values.field("begin").to_numpy(), 1)
+                    np.add.at(edge, spans.values.field("end").to_numpy(), -1)
+                    gone = np.cumsum(edge[:-1]) > 0
+                    removed = int(gone.sum())
+                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                n_words.append(len(words) + removed)
+                n_removed.append(removed)
+                kept.append(x.as_py() if layout and not removed else b" ".join(words).decode())
+            yield pa.RecordBatch.from_arrays([b.column("__row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["__row", "n_words", "n_removed", "kept_text"])
 
     fields = [rows.schema["__row"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())]
-    return rows.select("__row", "key", "text", "starts").mapInArrow(small(run), StructType(fields))
+    return rows.select("__row", "text", "spans").mapInArrow(small(run), StructType(fields))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, layout: bool = False) -> DataFrame:
@@ -228,26 +311,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, layout: bool = False)
     kept_text is the kept words with one space between; with ``layout`` a text
     that loses no word is given as it was.
     """
-    spark = docs.sparkSession
-    single, copies = _split(docs)
-    recurring = bitmap(materialise(_count_anchors(single, window)), "h")
-    found = materialise(_windows(single, recurring, window))
-    repeated = materialise(found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).filter("n > 1"))
-    # There can be no more than PASSAGES windows above this count.
-    total = repeated.agg(F.sum("n")).first()[0] or 0
-    often = max(LEAST_FREQUENT, -(-total // PASSAGES))
-    hot = materialise(repeated.filter(F.col("n") > often))
-    wanted = found.join(F.broadcast(hot.select("h", "first")), "h").filter(F.col("key") == F.col("first")).select("h", "key", "start")
-    texts, first, hashes = _fetch(single, materialise(wanted), window)
-    compiled = spark.createDataFrame([(h,) for h in hashes], "h long").distinct() if hashes else hot.select("h").limit(0)
-    rest = repeated.join(F.broadcast(compiled), "h", "left_anti")
-    later = found.join(F.broadcast(compiled), "h", "left_anti").join(rest, "h").filter(F.col("key") != F.col("first"))
-    removed = materialise(later.groupBy("key").agg(F.collect_list("start").alias("starts")).withColumn("h", F.xxhash64("key")))
-    touched = single.withColumn("touched", maybe_in(spark, bitmap(removed, "h"), F.xxhash64("key")))
-    none = F.lit(None).cast("array<int>").alias("starts")
-    parts = touched.filter(~F.col("touched")).select("__row", "key", "text", none).unionByName(
-        touched.filter("touched").join(removed.select("key", "starts"), "key", "left").select("__row", "key", "text", "starts"))
-    # A copy's windows all start earlier elsewhere: it is as if its first one were removed, and each after it.
-    n = F.size(F.split(F.regexp_replace("text", r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", ""), r"[ \t\n\x0B\f\r]+"))
-    all_ = F.when(n >= window, F.sequence(F.lit(0), n - window)).cast("array<int>").alias("starts")
-    return _finish(parts.unionByName(copies.select("__row", "key", "text", all_)), (uuid.uuid4().hex, texts, first), window, layout)
+    rows = _with_identity(docs)
+    # A document's spans: rows that repeat it tell them again, so they are counted once.
+    spans = located(rows, window).distinct().groupBy("key", "told").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    return _finish(_touched(rows, spans, "spans"), layout)

@@ -68,7 +68,7 @@ def test_em_finds_accuracies():
 
 def without_repeats(rows):
     seen, out = set(), []
-    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+    for i, text in rows:  # in the order that decides
         w = WORD.findall(text or "")
         gone = [False] * len(w)
         for s in range(len(w) - 19):
@@ -80,25 +80,66 @@ def without_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("least", [repeats.LEAST_FREQUENT, 1])
-def test_substring_dedup(spark, sf, table, least, monkeypatch):
-    monkeypatch.setattr(repeats, "LEAST_FREQUENT", least)  # 1: more goes through the automata
-    monkeypatch.setattr(repeats, "SHARD", 50)
+@pytest.mark.parametrize("shard", [repeats.SHARD, 50])
+def test_substring_dedup(spark, sf, table, shard, monkeypatch):
+    monkeypatch.setattr(repeats, "SHARD", shard)  # 50: many shards, and shards of several automata
+    monkeypatch.setattr(repeats, "SALT_BYTES", 100 * shard)
     found = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in catalog.op3_substring_dedup(spark, sf).collect())
     assert found == [(i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in without_repeats([r[:2] for r in table])]
     assert sum(r[2] for r in found) > 0
 
 
-def test_substring_edges(docs, no_docs):
+def test_automata_locate_every_occurrence(spark):
+    """All windows that occur before, counted by brute force over sf0.01; each is a hit of an automaton."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    seen, later = set(), collections.Counter()
+    for r in docs.orderBy("doc_id").collect():
+        w = WORD.findall(r.text or "")
+        for s in range(len(w) - 19):
+            told = tuple(w[s : s + 20])
+            later[r.doc_id] += told in seen
+            seen.add(told)
+    spans = repeats.located(docs.select("doc_id", "text", *repeats.identity())).distinct().collect()
+    by_doc = {}
+    for r in spans:
+        by_doc.setdefault(r.key, set()).update(range(r.begin, r.end - 19))
+    assert {i: len(x) for i, x in by_doc.items()} == {i: n for i, n in later.items() if n}
+    assert sum(later.values()) > 10_000
+
+
+def test_passages_are_found_in_words_of_any_form():
+    words = [f"w{i}" for i in range(30)]
+    made = repeats.Passages([" ".join(words), " ".join(["the"] * 25)])
+    assert made.starts(" ".join(["x", *words, "y"])) == list(range(1, 12))
+    assert made.starts(" ".join(["the"] * 22)) == [0, 1, 2] and made.starts(" ".join(words[:19])) == []
+    assert repeats._symbol(0xD7FE) < "\ud800" and "\udfff" < repeats._symbol(0xD7FF) == "\ue000"
+
+
+def in_order(spark, docs):
+    """doc_id and text of distinct rows, in the order that decides where ids are null or equal."""
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text", *repeats.identity()).distinct().orderBy("key", "told").collect()]
+
+
+def test_substring_edges(spark, docs, no_docs):
     rows = repeats.remove_repeats(docs)
     found = sorted((r["__row"]["doc_id"] or 99, r.n_words, r.n_removed, r.kept_text) for r in rows.collect())
-    expected = without_repeats({(r.doc_id, r.text) for r in docs.collect()})
+    expected = without_repeats(in_order(spark, docs))
     expected.append(next(r for r in expected if r[0] == 7))  # a repeated row is one document, and each has its result
     assert found == sorted((i or 99, *x) for i, *x in expected)
     assert set(rows.schema["__row"].dataType.names) == set(docs.columns) - {"text"}
     assert repeats.remove_repeats(no_docs).collect() == []
 
 
+def test_substring_dedup_where_ids_are_null_or_equal(spark):
+    p, q = ([f"{c}{i}" for i in range(40)] for c in "pq")
+    rows = [(None, " ".join(["one", *p])), (None, " ".join([*p, "two"])), (5, " ".join([*q, "a"])), (5, " ".join(["b", *q, *q])), (4, " ".join(q[5:30])), (5, " ".join([*q, "a"])), (None, None), (5, None), (6, "the " * 500), (7, "long" * 100_000 + " " + " ".join(p))]
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sorted((r["__row"]["doc_id"] or 99, r.n_words, r.n_removed, r.kept_text) for r in repeats.remove_repeats(given).collect())
+    expected = without_repeats(in_order(spark, given))
+    expected.append(next(r for r in expected if r[0] == 5 and r[3].endswith("a")))
+    assert found == sorted((i or 99, *x) for i, *x in expected) and sum(r[2] for r in found) > 200
+
+
 # -- language model -------------------------------------------------------------------------------
 
 
