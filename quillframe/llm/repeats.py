@@ -149,14 +149,14 @@ def _windows(docs: DataFrame, shared, window: int) -> DataFrame:
     return docs.select("key", "told", "text").mapInArrow(small(run), "h long, a long, n long, key long, told long, start long")
 
 
-def _pieces(docs: DataFrame, shared, shards: int, window: int) -> DataFrame:
-    """Passages (kind 0) and stretches (kind 1) of documents with ``starts`` (of their first occurrences, or null), and their shards."""
+def _pieces(texts: DataFrame, firsts: DataFrame, shared, shards: int, window: int) -> DataFrame:
+    """Passages (kind 0) and stretches (kind 1) of documents, and their shards; ``firsts`` has the starts of their first occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recurring = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, 100):
+                part = b.slice(at, 100)
                 rows: list[tuple] = []
                 for key, told, x, given in zip(part.column("key").to_pylist(), part.column("told").to_pylist(), part.column("text"), part.column("starts"), strict=True):
                     raw = x.as_py().encode()
@@ -178,7 +178,7 @@ def _pieces(docs: DataFrame, shared, shards: int, window: int) -> DataFrame:
                     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["shard", "kind", "key", "told", "start", "windows", "words"])
 
-    return docs.select("key", "told", "text", "starts").mapInArrow(small(run), "shard long, kind int, key long, told long, start long, windows long, words string")
+    return _with(texts, firsts, "starts", ["key", "told", "text"], run, "shard long, kind int, key long, told long, start long, windows long, words string")
 
 
 def _symbol(i: int) -> str:
@@ -241,16 +241,22 @@ def _with_identity(docs: DataFrame) -> DataFrame:
     return docs.select(row, F.coalesce(F.col("text"), F.lit("")).alias("text"), *identity())
 
 
-def _touched(rows: DataFrame, given: DataFrame, column: str) -> DataFrame:
-    """``rows`` with a column of ``given`` (key, told, column, all longs or arrays), null where it has none.
+def _with(rows: DataFrame, given: DataFrame, column: str, columns: list[str], run, schema) -> DataFrame:
+    """``run`` over the columns of ``rows``, and a column of ``given`` (key, told, column), null where that has none.
 
     A bounded bitmap tells which rows may be meant; only these move to be joined.
+    Those that stay are chosen by the Python worker that runs over them.
     """
     given = materialise(given.withColumn("h", F.xxhash64("key", "told")))
-    probed = rows.withColumn("__meant", maybe_in(rows.sparkSession, bitmap(given, "h"), F.xxhash64("key", "told")))
-    none = F.lit(None).cast(given.schema[column].dataType).alias(column)
-    still = probed.filter(~F.col("__meant")).drop("__meant").select("*", none)
-    moved = probed.filter("__meant").drop("__meant").join(given.drop("h"), ["key", "told"], "left")
+    found = bitmap(given, "h")
+    shared = rows.sparkSession.sparkContext.broadcast(found)
+
+    def over_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(b.filter(pa.array(~shared.value.has(b.column("__h").to_numpy().view(np.uint64)))) for b in batches)
+
+    h, none = F.xxhash64("key", "told"), F.lit(None).cast(given.schema[column].dataType).alias(column)
+    still = rows.select(*columns, none, h.alias("__h")).mapInArrow(small(over_others), schema)
+    moved = rows.filter(maybe_in(rows.sparkSession, found, h)).join(given.drop("h"), ["key", "told"], "left").select(*columns, column).mapInArrow(small(run), schema)
     return still.unionByName(moved)
 
 
@@ -266,7 +272,7 @@ def located(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     # Half full on average, so that most shards need one automaton.
     shards = max(1, 2 * windows // SHARD)
     firsts = repeated.groupBy("key", "told").agg(F.collect_list("start").alias("starts"))  # of one document each
-    pieces = materialise(_pieces(_touched(texts, firsts, "starts"), recurring, shards, window))
+    pieces = materialise(_pieces(texts, firsts, recurring, shards, window))
     known = F.col("kind") == 0
     load = materialise(pieces.groupBy("shard").agg(
         F.ceil(F.sum(F.when(known, F.col("windows"))) / SHARD).cast("int").alias("parts"),
@@ -280,8 +286,8 @@ def located(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     return _locate(dealt, window)
 
 
-def _finish(rows: DataFrame, layout: bool) -> DataFrame:
-    """Kept text and counts of rows with ``text`` and ``spans`` (null: none)."""
+def _finish(rows: DataFrame, spans: DataFrame, layout: bool) -> DataFrame:
+    """Kept text and counts of rows; ``spans`` (key, told, spans) tells what goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -302,7 +308,7 @@ def _finish(rows: DataFrame, layout: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("__row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["__row", "n_words", "n_removed", "kept_text"])
 
     fields = [rows.schema["__row"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())]
-    return rows.select("__row", "text", "spans").mapInArrow(small(run), StructType(fields))
+    return _with(rows, spans, "spans", ["__row", "text"], run, StructType(fields))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, layout: bool = False) -> DataFrame:
@@ -314,4 +320,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, layout: bool = False)
     rows = _with_identity(docs)
     # A document's spans: rows that repeat it tell them again, so they are counted once.
     spans = located(rows, window).distinct().groupBy("key", "told").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    return _finish(_touched(rows, spans, "spans"), layout)
+    return _finish(rows, spans, layout)
