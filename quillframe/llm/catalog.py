@@ -119,12 +119,13 @@ FROM docs LEFT JOIN kept ON docs.doc_id = kept.doc_id
 _NEAR_SQL = f"""
 WITH RECURSIVE docs AS (SELECT doc_id, ws, len(ws) AS n FROM ({_WORDS})),
 shingles AS (
-    SELECT DISTINCT doc_id, told FROM (
+    SELECT doc_id, told, count(*) AS c FROM (
         SELECT doc_id, array_to_string(ws[s:s + 4], ' ') AS told FROM (SELECT doc_id, ws, unnest(range(1, n - 3)) AS s FROM docs)
-        UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM docs WHERE n < 5)
-), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+        UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM docs WHERE n < 5
+    ) GROUP BY 1, 2
+), sizes AS (SELECT doc_id, sum(c) AS n FROM shingles GROUP BY 1),
 edges AS (
-    SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM shingles x JOIN shingles y ON x.told = y.told AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+    SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.c, y.c)) AS both FROM shingles x JOIN shingles y ON x.told = y.told AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
     JOIN sizes i ON p.a = i.doc_id JOIN sizes j ON p.b = j.doc_id WHERE p.both >= 0.8 * (i.n + j.n - p.both)
 ), reached(a, b) AS (SELECT doc_id, doc_id FROM docs UNION SELECT r.a, e.b FROM reached r JOIN edges e ON r.b = e.a)
 SELECT a AS doc_id, min(b) AS class_id, a = min(b) AS kept FROM reached GROUP BY a

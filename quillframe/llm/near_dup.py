@@ -1,8 +1,11 @@
 """Near-duplicate classes: DartMinHash signatures, banded joining, exact verification.
 
-A text is its set of five-word shingles (a text of fewer words is one shingle,
-one without words none).  Two texts are near-duplicates if their sets have a
-Jaccard similarity of 0.8 or more; classes are the connected components.
+A text is its five-word shingles (a text of fewer words is one shingle, one
+without words none), each weighted by how often the text has it.  Two texts are
+near-duplicates if their weighted Jaccard similarity, the sum of the lesser
+weights over that of the greater, is 0.8 or more; classes are the connected
+components.  As weights are whole numbers, this is the similarity of the sets
+of numbered shingles: the first, the second, ... occurrence of each.
 
 Signatures.  An element of weight w owns the region [0, w) x [0, inf) of a
 plane of weight and rank, which holds darts at one per unit of area, placed by
@@ -12,7 +15,7 @@ hashes to one of k coordinates, and a coordinate keeps its earliest dart.  Two
 sets agree in a coordinate with the probability of their weighted Jaccard
 similarity.  Where a coordinate stays empty the threshold doubles.
 
-Joining.  Equal sets are one node.  Nodes that share a band of four
+Joining.  Equal weighted sets are one node, which gets a number.  Nodes that share a band of four
 coordinates are compared, exactly, with the smallest and the largest node of
 that bucket, never all with all; with 32 bands a pair at 0.8 meets in none
 with a probability of 5e-8.  First every node is verified against the one hub
@@ -29,7 +32,9 @@ what a text alone holds stands first, so a passage that many share in part
 brings few of them together.
 
 Defined cases: a null text is empty; texts without words are one class;
-repeated rows share a class; class_id is the smallest doc_id of the class (null
+repeated rows share a class; a row without doc_id is compared like any other;
+a very long text is read as a whole, and its signature takes no longer to
+compare; columns of ``docs`` may have any name; class_id is the smallest doc_id of the class (null
 only if it has no other); of rows that share this doc_id, or have none, the one
 with the smallest digest of its text is kept; an empty table gives no rows.
 """
@@ -45,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.bitmap import bitmap, maybe_in
-from quillframe.llm.common import fmix, materialise, shingle_set, small, unwrap, word_hashes, wrap
+from quillframe.llm.common import fmix, gram_hashes, materialise, small, unwrap, word_hashes, wrap
 from quillframe.llm.components import components
 
 COORDINATES, BANDS = 128, 32
@@ -100,9 +105,10 @@ def dart_signatures(element: np.ndarray, weight: np.ndarray, owner: np.ndarray,
         e, w, o = element[chosen], weight[chosen], owner[chosen]
         hi, lo = upper[o], lower[o]
         weight_start, weight_width, nu = 0.0, 1.0, 0
-        while len(w) and weight_start < w.max():
+        while len(some := np.flatnonzero(w > weight_start)):
+            e, w, o, hi, lo = e[some], w[some], o[some], hi[some], lo[some]
             for j, start, width in _rank_bands(float(hi.max())):
-                cell = np.flatnonzero((hi > start) & (lo < start + width) & (w > weight_start))
+                cell = np.flatnonzero((hi > start) & (lo < start + width))
                 if not len(cell):
                     continue
                 area = width * weight_width
@@ -137,12 +143,29 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key
 
 
-def _node(shingles: np.ndarray) -> bytes:
+def weighted_shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's distinct shingles, sorted, and how often it has each."""
+    words = word_hashes(text.encode())
+    if len(words) < SHINGLE:
+        return gram_hashes(words, len(words)) ^ _U64(len(words)) if len(words) else words, np.ones(min(1, len(words)), np.int64)
+    return np.unique(gram_hashes(words, SHINGLE), return_counts=True)
+
+
+def numbered(element: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The set of numbered shingles, sorted: a shingle's first occurrence has its hash, each further one another."""
+    if (times == 1).all():
+        return element
+    number = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    each = np.repeat(element, times)
+    return np.unique(np.where(number > 0, fmix(each + number.astype(np.uint64) * _U64(0xC2B2AE3D27D4EB4F)), each))
+
+
+def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, told, node (of its shingle set) and the band keys; no bands where there is no word."""
+    """doc_id, told, a digest of its numbered shingles in two numbers, and the band keys; no bands where there is no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,16 +173,15 @@ def signed(docs: DataFrame) -> DataFrame:
                 part = b.slice(at, 1000)
                 known: dict[str, int] = {}
                 index = [known.setdefault(x or "", len(known)) for x in part.column("text").to_pylist()]
-                sets = [shingle_set(word_hashes(x.encode()), SHINGLE) for x in known]
-                element = np.concatenate(sets)
+                sets, times = zip(*map(weighted_shingles, known), strict=True)
                 owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-                keys = band_keys(dart_signatures(element, np.ones(len(element)), owner, len(sets))).view(np.int64)
-                nodes = [_node(x) for x in sets]
+                keys = band_keys(dart_signatures(np.concatenate(sets), np.concatenate(times).astype(np.float64), owner, len(sets))).view(np.int64)
+                digests = np.frombuffer(b"".join(map(_digest, map(numbered, sets, times))), "<i8").reshape(-1, 2)[index]
                 bands = [k if len(x) else k[:0] for k, x in zip(keys, sets, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("told"), pa.array([nodes[i] for i in index], pa.binary()), pa.array([bands[i] for i in index], pa.list_(pa.int64()))], ["doc_id", "told", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("told"), *map(pa.array, digests.T.copy()), pa.array([bands[i] for i in index], pa.list_(pa.int64()))], ["doc_id", "told", "n1", "n2", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", _told(), "text").mapInArrow(small(run), f"doc_id {kind}, told string, node binary, bands array<bigint>")
+    return docs.select("doc_id", _told(), "text").mapInArrow(small(run), f"doc_id {kind}, told string, n1 long, n2 long, bands array<bigint>")
 
 
 def candidate_pairs(nodes: DataFrame) -> DataFrame:
@@ -171,16 +193,16 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and shingles (binary, sorted unsigned 64-bit) of the documents in ``wanted`` (doc_id, told)."""
+    """node and numbered shingles (binary, sorted unsigned 64-bit) of the documents in ``wanted`` (node, doc_id, told)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(word_hashes((x.as_py() or "").encode()), SHINGLE) for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+            sets = [numbered(*weighted_shingles(x.as_py() or "")).tobytes() for x in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    ids = wanted.select(F.col("doc_id").alias("id"), F.col("told").alias("as_told"))
-    rows = docs.select("doc_id", _told(), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("told") == F.col("as_told"))).select("text")
-    made = rows.mapInArrow(small(run), "node binary, shingles binary")
+    ids = wanted.select("node", F.col("doc_id").alias("id"), F.col("told").alias("as_told"))
+    rows = docs.select("doc_id", _told(), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("told") == F.col("as_told"))).select("node", "text")
+    made = rows.mapInArrow(small(run), "node long, shingles binary")
     return made.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
@@ -199,7 +221,7 @@ def verified(pairs: DataFrame, shingles: DataFrame, similarity: float = SIMILARI
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     of_a, of_b = (shingles.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}")) for k in "ab")
-    return pairs.select("a", "b").join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b").mapInArrow(small(run), "a binary, b binary")
+    return pairs.select("a", "b").join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b").mapInArrow(small(run), "a long, b long")
 
 
 def _counted(shingles: DataFrame) -> DataFrame:
@@ -257,7 +279,7 @@ def _leading(sets: DataFrame, counted: DataFrame, similarity: float) -> DataFram
                 pa.array(np.array(size, np.int32)[of]), pa.array(np.concatenate(place).astype(np.int32)),
             ], ["h", "node", "label", "size", "place"])
 
-    return sets.select("node", "label", "shingles").mapInArrow(small(run), "h long, node binary, label binary, size int, place int")
+    return sets.select("node", "label", "shingles").mapInArrow(small(run), "h long, node long, label long, size int, place int")
 
 
 def missed_pairs(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -265,7 +287,7 @@ def missed_pairs(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = materialise(_leading(sets, materialise(_counted(sets)), similarity))
     # Pairs within the largest label of a shingle are never looked at, so a large class costs no square of its size.
     each = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = materialise(each.groupBy("h").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("h", F.col("most.label").alias("main")))
+    mixed = materialise(each.groupBy("h").agg(F.max_by("label", "n").alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("h", "main"))
     met = materialise(rows.join(mixed, "h").withColumn("main", F.col("label") == F.col("main")))
     x, y = (met.select("h", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "size", "place", "main"))) for k in "xy")
     both = F.col("size_x") + F.col("size_y")
@@ -281,17 +303,21 @@ def missed_pairs(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, told, class_id and stays (whether it is the one of its class) of every document."""
     marks = materialise(signed(docs))
-    nodes = materialise(marks.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "told")).alias("best"), F.first("bands").alias("bands")))
+    told = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "told")).alias("best")
+    # The number is fixed once the table is written; all that follows joins and groups by it alone.
+    nodes = materialise(marks.groupBy("n1", "n2").agg(told, F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
     pairs = materialise(candidate_pairs(nodes))
     in_pairs = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    shingles = materialise(shingles_of(docs, nodes.join(in_pairs, "node").select("best.doc_id", "best.told")).join(in_pairs, "node"))
-    # The hub that a node shares most bands with; a struct's maximum needs no window over a hub's pairs.
-    best = pairs.select(F.col("a").alias("node"), "a", "b", "shared").union(pairs.select("b", "a", "b", "shared")).groupBy("node").agg(F.max(F.struct("shared", "a", "b")).alias("x"))
-    first = materialise(verified(best.select("x.a", "x.b").distinct(), shingles))
+    shingles = materialise(shingles_of(docs, nodes.join(in_pairs, "node").select("node", "best.doc_id", "best.told")))
+    # The hub that a node shares most bands with, stored as ties may be settled either way.
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("hub"), "shared").union(pairs.select("b", "a", "shared"))
+    near = both.groupBy("node").agg(F.max_by("hub", "shared").alias("hub"))
+    best = materialise(near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+    first = materialise(verified(best, shingles))
     labels = components(first)
     of = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-    second = materialise(verified(apart.join(best.select("x.a", "x.b"), ["a", "b"], "left_anti"), shingles))
+    second = materialise(verified(apart.join(best, ["a", "b"], "left_anti"), shingles))
     edges = first.union(second)
     if not second.isEmpty():
         labels = components(edges)
@@ -299,12 +325,12 @@ def classes(docs: DataFrame) -> DataFrame:
     third = materialise(verified(materialise(missed_pairs(sets)), shingles))
     if not third.isEmpty():
         labels = components(edges.union(third))
-    labelled = materialise(nodes.select("node", "best").join(labels, "node", "left").select("node", "best", F.coalesce("label", "node").alias("label")))
+    labelled = materialise(nodes.select("n1", "n2", "node", "best").join(labels, "node", "left").select("n1", "n2", "best", F.coalesce("label", "node").alias("label")))
     # Stored, so that the join below reads plain exchanges and a class of any size can be split.
     least = materialise(labelled.groupBy("label").agg(F.min("best").alias("best")))
-    of_node = materialise(labelled.select("node", "label").join(least, "label").select("node", "best"))
+    of_node = materialise(labelled.select("n1", "n2", "label").join(least, "label").select("n1", "n2", "best"))
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("told") == F.col("best.told"))
-    return marks.select("doc_id", "told", "node").join(of_node, "node").select("doc_id", "told", F.col("best.doc_id").alias("class_id"), stays.alias("stays"))
+    return marks.select("doc_id", "told", "n1", "n2").join(of_node, ["n1", "n2"]).select("doc_id", "told", F.col("best.doc_id").alias("class_id"), stays.alias("stays"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

@@ -227,8 +227,28 @@ def test_sketches(spark, docs, no_docs):
 # -- near duplicates ------------------------------------------------------------------------------
 
 
+def weighted(text):
+    w = WORD.findall(text or "")
+    return collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
+
+
+def brute_links(rows):
+    """Places of all pairs at a weighted similarity of 0.8, found through shared shingles."""
+    sets = [weighted(t) for _, t in rows]
+    size = [sum(s.values()) for s in sets]
+    having, links = collections.defaultdict(list), []
+    for i, s in enumerate(sets):
+        both = collections.Counter()
+        for x, c in s.items():
+            for j, d in having[x]:
+                both[j] += min(c, d)
+            having[x].append((i, c))
+        links += [(j, i) for j, n in both.items() if n >= 0.8 * (size[i] + size[j] - n)]
+    without = [i for i, n in enumerate(size) if not n]
+    return links + list(zip(without, without[1:], strict=False))
+
+
 def brute_classes(rows):
-    sets = [shingles(t) for _, t in rows]
     of = list(range(len(rows)))
 
     def find(x):
@@ -236,14 +256,55 @@ def brute_classes(rows):
             x = of[x]
         return x
 
-    for i in range(len(rows)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                a, b = find(i), find(j)
-                of[max(a, b)] = min(a, b)
+    for i, j in brute_links(rows):
+        a, b = find(i), find(j)
+        of[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(rows))]
 
 
+def recall(spark, rows):
+    """Share of the links between different texts whose ends are in one class; and that no class is too large."""
+    found = {r.doc_id: r.class_id for r in near_dup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    links = [(rows[i], rows[j]) for i, j in brute_links(rows) if rows[i][1] != rows[j][1]]
+    of = dict(zip([r[0] for r in rows], brute_classes(rows), strict=True))
+    assert all(of[i] == of[c] for i, c in found.items())
+    return sum(found[a[0]] == found[b[0]] for a, b in links) / len(links), len(links)
+
+
+def test_recall_on_a_large_table(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect()]
+    share, links = recall(spark, rows)
+    print(f"sf0.1: recall {share:.4f} of {links} links")
+    assert share >= 0.9 and links > 100
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_recall_on_dense_sets(spark, seed):
+    """Random edits of a few texts, most pairs close to the threshold on either side."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(400):
+        words = [f"d{k % 4}-{i}" for i in range(200)]
+        for at in rng.choice(200, rng.integers(1, 4), replace=False):
+            words[at] = f"e{k}-{at}"
+        rows.append((k, " ".join(words)))
+    share, links = recall(spark, rows)
+    print(f"dense {seed}: recall {share:.4f} of {links} links")
+    assert share >= 0.9 and links > 1000
+
+
+def test_weights_tell_texts_apart(spark):
+    """The same set of shingles, but one of them five times as often: no near-duplicates, unless weights are left out."""
+    once, often = (" ".join([f"w{i}" for i in range(60)] + ["x y z x y z"] * n) for n in (2, 40))
+    close = once + " x y z"
+    assert jaccard(shingles(once), shingles(often)) == 1
+    found = {r.doc_id: r.class_id for r in near_dup.deduplicate(spark.createDataFrame([(1, once), (2, often), (3, close)], "doc_id long, text string")).collect()}
+    assert found == {1: 1, 2: 2, 3: 1}
+    e, n = near_dup.weighted_shingles(often)
+    both = np.intersect1d(near_dup.numbered(e, n), near_dup.numbered(*near_dup.weighted_shingles(once)))
+    assert len(both) == sum((weighted(once) & weighted(often)).values()) and len(near_dup.numbered(e, n)) == n.sum()
+
+
 def test_near_duplicates(spark, sf, table):
     found = {r.doc_id: r.class_id for r in catalog.op6_minhash_near_dedup(spark, sf).collect()}
     expected = brute_classes([r[:2] for r in table])
