@@ -4,23 +4,26 @@ Words are runs of non-space bytes, unchanged.  A window's occurrence is removed
 if the same words also start earlier: in a smaller doc_id, or earlier in the
 same document.
 
-1. Every window has an anchor, the smallest hash among its ten-word runs, so
+1. Documents with one and the same text (by two hashes and its length) are one
+   text in several places.  All its windows start earlier than in any place but
+   the least, so the steps below read it there alone.
+2. Every window has an anchor, the smallest hash among its ten-word runs, so
    equal windows have equal anchors.  Anchors are counted; those that occur
    again go into a bounded bitmap.
-2. Windows whose anchor may recur, or that recur within their document, are
+3. Windows whose anchor may recur, or that recur within their document, are
    counted by two hashes.  Those found twice recur; the least (document, start)
    of each is its first occurrence.
-3. Documents are read again.  Neighbouring first occurrences are merged into
+4. Texts are read again.  Neighbouring first occurrences are merged into
    passages, whose words are told; neighbouring windows that may recur but are
    not first ones are merged into stretches.  Both are dealt to shards by a
    leading gram, the smallest hash among a window's five-word runs, so a
    stretch meets only the shard that may know it.
-4. Each shard compiles the windows of all its passages into one Aho-Corasick
+5. Each shard compiles the windows of all its passages into one Aho-Corasick
    automaton and streams its stretches through it.  Words are symbols of the
    automaton, so what it finds is equal as text; hashes only choose what it
    reads.  Every occurrence of a passage's windows is located here, and only
    these are removed.
-5. The spans found are brought to their documents.
+6. The spans found are brought to their documents.
 
 No passage is left out, however rare.  A shard of many passages is split into
 automata of ``SHARD`` windows at most; one with many stretches is salted, with
@@ -92,7 +95,43 @@ def _runs(flag: np.ndarray, by: np.ndarray, most: int = 1 << 40) -> Iterator[tup
             yield s, min(last, s + most)
 
 
-def _count_anchors(docs: DataFrame, window: int) -> DataFrame:
+class _Texts:
+    """Every text once: ``rows`` (key, told, text) but for ``copies``, told apart by a bitmap, and few that it takes for copies by chance."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows, spark = rows, rows.sparkSession
+        named = materialise(rows.select("key", "told", F.xxhash64(F.lit(1), "text").alias("other"), F.length("text").alias("n")))
+        # Stored, so that the join with it reads plain exchanges and a group of any size can be split.
+        groups = materialise(named.groupBy("told", "other", "n").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least != most").drop("most"))
+        self.copies = materialise(named.join(groups, ["told", "other", "n"]).filter("key != least").select("key", "told").distinct().withColumn("h", F.xxhash64("key", "told")))
+        found = bitmap(self.copies, "h")
+        self.gone = spark.sparkContext.broadcast(found)
+        self.rest = materialise(rows.filter(maybe_in(spark, found, F.xxhash64("key", "told"))).join(self.copies.drop("h"), ["key", "told"], "left_anti"))
+
+    def read(self, run, schema: str) -> DataFrame:
+        """``run`` over all texts."""
+        return self.rows.select("*", _hash()).mapInArrow(small(_without(self.gone, run)), schema).unionByName(self.rest.mapInArrow(small(run), schema))
+
+    def read_with(self, given: DataFrame, column: str, run, schema: str) -> DataFrame:
+        """``run`` over all texts, each with its ``column`` of ``given``."""
+        few = self.rest.join(given, ["key", "told"], "left").mapInArrow(small(run), schema)
+        return _with(self.rows, given, column, ["key", "told", "text"], _without(self.gone, run), schema).unionByName(few)
+
+
+def _hash() -> Column:
+    return F.xxhash64("key", "told").alias("__h")
+
+
+def _without(shared, run):
+    """``run`` over the rows whose hash ``__h`` is not in a bitmap."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(b.filter(pa.array(~shared.value.has(b.column("__h").to_numpy().view(np.uint64)))) for b in batches)
+
+    return over
+
+
+def _count_anchors(texts: _Texts, window: int) -> DataFrame:
     """Anchors that at least two documents have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,11 +141,10 @@ def _count_anchors(docs: DataFrame, window: int) -> DataFrame:
                 values, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([_long(values), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    counted = docs.select("text").mapInArrow(small(run), "h long, n long")
-    return counted.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
+    return texts.read(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
 
 
-def _windows(docs: DataFrame, shared, window: int) -> DataFrame:
+def _windows(texts: _Texts, shared, window: int) -> DataFrame:
     """h and a (two hashes of a window), n, and its first occurrence among a few hundred documents.
 
     Of windows whose anchor may recur, and of those that recur within a document.
@@ -146,10 +184,10 @@ def _windows(docs: DataFrame, shared, window: int) -> DataFrame:
                     [_long(h[one]), _long(a[one]), pa.array(np.add.reduceat(n[by], np.flatnonzero(new))), pa.array(keys[who[one]]), pa.array(told[who[one]]), pa.array(start[one])],
                     ["h", "a", "n", "key", "told", "start"])
 
-    return docs.select("key", "told", "text").mapInArrow(small(run), "h long, a long, n long, key long, told long, start long")
+    return texts.read(run, "h long, a long, n long, key long, told long, start long")
 
 
-def _pieces(texts: DataFrame, firsts: DataFrame, shared, shards: int, window: int) -> DataFrame:
+def _pieces(texts: _Texts, firsts: DataFrame, shared, shards: int, window: int) -> DataFrame:
     """Passages (kind 0) and stretches (kind 1) of documents, and their shards; ``firsts`` has the starts of their first occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +216,7 @@ def _pieces(texts: DataFrame, firsts: DataFrame, shared, shards: int, window: in
                     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["shard", "kind", "key", "told", "start", "windows", "words"])
 
-    return _with(texts, firsts, "starts", ["key", "told", "text"], run, "shard long, kind int, key long, told long, start long, windows long, words string")
+    return texts.read_with(firsts, "starts", run, "shard long, kind int, key long, told long, start long, windows long, words string")
 
 
 def _symbol(i: int) -> str:
@@ -251,19 +289,15 @@ def _with(rows: DataFrame, given: DataFrame, column: str, columns: list[str], ru
     found = bitmap(given, "h")
     shared = rows.sparkSession.sparkContext.broadcast(found)
 
-    def over_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run(b.filter(pa.array(~shared.value.has(b.column("__h").to_numpy().view(np.uint64)))) for b in batches)
-
-    h, none = F.xxhash64("key", "told"), F.lit(None).cast(given.schema[column].dataType).alias(column)
-    still = rows.select(*columns, none, h.alias("__h")).mapInArrow(small(over_others), schema)
-    moved = rows.filter(maybe_in(rows.sparkSession, found, h)).join(given.drop("h"), ["key", "told"], "left").select(*columns, column).mapInArrow(small(run), schema)
+    none = F.lit(None).cast(given.schema[column].dataType).alias(column)
+    still = rows.select(*columns, none, _hash()).mapInArrow(small(_without(shared, run)), schema)
+    moved = rows.filter(maybe_in(rows.sparkSession, found, F.xxhash64("key", "told"))).join(given.drop("h"), ["key", "told"], "left").select(*columns, column, _hash()).mapInArrow(small(run), schema)
     return still.unionByName(moved)
 
 
-def located(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """key, told, begin, end: spans of words that windows cover which started earlier; ``rows`` has key, told and text."""
-    spark = rows.sparkSession
-    texts = rows.select("key", "told", "text")
+def located(texts: _Texts, window: int = WINDOW) -> DataFrame:
+    """key, told, begin, end: spans of words, in texts read once, that windows cover which started earlier."""
+    spark = texts.rows.sparkSession
     anchor = spark.sparkContext.broadcast(bitmap(materialise(_count_anchors(texts, window)), "h"))
     counted = _windows(texts, anchor, window).groupBy("h", "a").agg(F.sum("n").alias("n"), F.min(F.struct("key", "told", "start")).alias("first"))
     repeated = materialise(counted.filter("n > 1").select("h", "first.*"))
@@ -286,8 +320,8 @@ def located(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     return _locate(dealt, window)
 
 
-def _finish(rows: DataFrame, spans: DataFrame, layout: bool) -> DataFrame:
-    """Kept text and counts of rows; ``spans`` (key, told, spans) tells what goes."""
+def _finish(rows: DataFrame, spans: DataFrame, window: int, layout: bool) -> DataFrame:
+    """Kept text and counts of rows; ``spans`` (key, told, spans) tells what goes: up to an end, or (null) all of ``window`` words or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -295,10 +329,10 @@ def _finish(rows: DataFrame, spans: DataFrame, layout: bool) -> DataFrame:
             for x, spans in zip(b.column("text"), b.column("spans"), strict=True):
                 words = x.as_py().encode().split()
                 removed = 0
-                if spans.is_valid:
+                if spans.is_valid and len(words) >= window:
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, spans.values.field("begin").to_numpy(), 1)
-                    np.add.at(edge, spans.values.field("end").to_numpy(), -1)
+                    np.add.at(edge, spans.values.field("end").fill_null(len(words)).to_numpy(), -1)
                     gone = np.cumsum(edge[:-1]) > 0
                     removed = int(gone.sum())
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
@@ -318,6 +352,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, layout: bool = False)
     that loses no word is given as it was.
     """
     rows = _with_identity(docs)
+    texts = _Texts(rows.select("key", "told", "text"))
+    copies = texts.copies.select("key", "told", F.lit(0).cast("long").alias("begin"), F.lit(None).cast("long").alias("end"))
     # A document's spans: rows that repeat it tell them again, so they are counted once.
-    spans = located(rows, window).distinct().groupBy("key", "told").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    return _finish(rows, spans, layout)
+    spans = located(texts, window).unionByName(copies).distinct().groupBy("key", "told").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    return _finish(rows, spans, window, layout)
