@@ -1,19 +1,22 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network reads a word's bytes, with a border before and after, in both
-directions; at every position the two states together give a distribution over
-languages.  A document's probabilities are pooled from those of all its
-positions.  A word's positions do not depend on its neighbours, so each
-distinct word of a batch is read once and counts as often as it occurs: the
-result is that of reading every occurrence.
-
-Training is backpropagation through time in numpy, on words of a bounded
-sample of labelled documents (``PER_LANGUAGE`` of each language, those with
-the smallest hash of doc_id).  Prediction reads every byte of every text.
-
-Defined cases: a null text, or one without a letter, is ``und`` with score 0;
-repeated rows are predicted alike; an empty table gives no rows; without any
-labelled document every prediction is ``und``.
+A text's bytes are read in windows that span words: ``CORE`` bytes that count,
+and ``CONTEXT`` bytes of what stands before and after them (borders where the
+text ends).  The network reads a window in both directions; at every position
+the two states together give a distribution over languages.  A document's
+probabilities are pooled from those of all its positions, each counted once.
+
+Training is backpropagation through time in numpy, on a bounded sample of
+labelled documents (``PER_LANGUAGE`` of each language, those with the smallest
+hash), whose whole texts are read, every window at least once.  Prediction
+reads every byte of every text.
+
+Defined cases: a null text, or one without a letter, is ``und`` with score 0; a
+null doc_id counts as the empty text where rows are held out; repeated rows are
+predicted alike, and each may be in the sample; a very long text is read in as
+many windows as it needs, a thousand at a time; ties between languages go to
+the first by name; an empty table gives no rows; without any labelled document
+every prediction is ``und``; columns of ``docs`` may have any name.
 """
 
 from __future__ import annotations
@@ -28,17 +31,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quillframe.llm.common import small, unwrap, word_bounds, word_hashes, wrap
+from quillframe.llm.common import small, unwrap, wrap
 
 UNKNOWN = "und"
-PER_LANGUAGE = 300  # labelled documents of each language that training reads at most
-WORDS_PER_DOCUMENT = 120  # words, or pieces of long ones, of each that it draws, spread over the whole text
-HIDDEN, EMBED, STEPS, BATCH, LONGEST = 16, 12, 900, 256, 24
+PER_LANGUAGE = 250  # labelled documents of each language that training reads at most, as a whole
+CORE, CONTEXT = 112, 8  # bytes of a window that count, and those before and after them
+HIDDEN, EMBED, STEPS, BATCH, AT_ONCE = 16, 12, 320, 128, 1024
+BEFORE, AFTER = 256, 257  # borders of a text
 _letter = regex.compile(r"\p{L}").search
 
 
 def training_row(modulus: int = 4, held_out: int = 2) -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus != held_out
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus != held_out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -62,30 +66,28 @@ class Network:
         w |= {"out": draw(2 * HIDDEN, len(languages)), "out_bias": np.zeros(len(languages), np.float32)}
         return cls(languages, w)
 
-    def _read(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
-        """States of one direction, [time, word, hidden].  Gates: update, reset, candidate."""
+    def _read(self, x: np.ndarray, d: str, keep: list | None) -> np.ndarray:
+        """States of one direction, [time, window, hidden].  Gates: update, reset, candidate."""
         w, h = self.w, HIDDEN
         by_byte = w["embed"] @ w[f"{d}_in"] + w[f"{d}_bias"]
-        steps = range(x.shape[0]) if d == "f" else range(x.shape[0] - 1, -1, -1)
-        state = np.zeros((x.shape[1], h), np.float32)
-        out = np.empty((*x.shape, h), np.float32)
-        rec, cand = w[f"{d}_rec"][:, : 2 * h], w[f"{d}_rec"][:, 2 * h :]
+        steps = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
+        state = np.zeros((x.shape[1], h), by_byte.dtype)
+        out = np.empty((*x.shape, h), by_byte.dtype)
+        rec, cand = np.ascontiguousarray(w[f"{d}_rec"][:, : 2 * h]), np.ascontiguousarray(w[f"{d}_rec"][:, 2 * h :])
         for t in steps:
             given = by_byte[x[t]]
             gates = _sigmoid(given[:, : 2 * h] + state @ rec)
             z, r = gates[:, :h], gates[:, h:]
             c = np.tanh(given[:, 2 * h :] + (r * state) @ cand)
-            m = mask[t][:, None]
-            new = state + m * z * (c - state)
             if keep is not None:
-                keep.append((t, state, z, r, c, m))
-            state = out[t] = new
+                keep.append((t, state, z, r, c))
+            state = out[t] = state + z * (c - state)
         return out
 
-    def forward(self, x: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Log probabilities, [time, word, language]."""
+    def forward(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """Log probabilities, [time, window, language]."""
         saved = {d: [] if keep is not None else None for d in "fb"}
-        both = np.concatenate([self._read(x, mask, d, saved[d]) for d in "fb"], axis=2)
+        both = np.concatenate([self._read(x, d, saved[d]) for d in "fb"], axis=2)
         score = both @ self.w["out"] + self.w["out_bias"]
         score -= score.max(2, keepdims=True)
         score -= np.log(np.exp(score).sum(2, keepdims=True))
@@ -94,9 +96,9 @@ class Network:
         return score
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy over positions and its gradients, backwards through time."""
+        """Mean cross-entropy over positions, weighted by ``mask``, and its gradients, backwards through time."""
         w, h, keep = self.w, HIDDEN, {}
-        logp = self.forward(x, mask, keep)
+        logp = self.forward(x, keep)
         total = mask.sum()
         pick = np.take_along_axis(logp, label[None, :, None], 2)[:, :, 0]
         loss = float(-(pick * mask).sum() / total)
@@ -107,48 +109,68 @@ class Network:
         g = {k: np.zeros_like(v) for k, v in w.items()}
         g["out"], g["out_bias"] = both.T @ flat, flat.sum(0)
         up = (flat @ w["out"].T).reshape(*x.shape, 2 * h)
+        order = np.argsort(x, axis=None, kind="stable")
+        bytes_, begin = np.unique(x.ravel()[order], return_index=True)
         for k, d in enumerate("fb"):
             rec = w[f"{d}_rec"]
-            by_byte = np.zeros((258, 3 * h), np.float32)
-            back = np.zeros((x.shape[1], h), np.float32)
-            for t, state, z, r, c, m in reversed(keep["saved"][d]):
+            step_rec, step_cand = np.ascontiguousarray(rec[:, : 2 * h].T), np.ascontiguousarray(rec[:, 2 * h :].T)
+            given = np.empty((*x.shape, 3 * h), up.dtype)
+            back = np.zeros((x.shape[1], h), up.dtype)
+            for t, state, z, r, c in reversed(keep["saved"][d]):
                 back = back + up[t, :, k * h : (k + 1) * h]
-                step = back * m
-                dc = step * z * (1 - c * c)
-                through = dc @ rec[:, 2 * h :].T
-                dz = step * (c - state) * z * (1 - z)
-                dr = through * state * r * (1 - r)
-                gates = np.concatenate([dz, dr], axis=1)
+                dc = back * z * (1 - c * c)
+                through = dc @ step_cand
+                given[t, :, :h] = back * (c - state) * z * (1 - z)
+                given[t, :, h : 2 * h] = through * state * r * (1 - r)
+                given[t, :, 2 * h :] = dc
+                gates = given[t, :, : 2 * h]
                 g[f"{d}_rec"][:, : 2 * h] += state.T @ gates
                 g[f"{d}_rec"][:, 2 * h :] += (r * state).T @ dc
-                np.add.at(by_byte, x[t], np.concatenate([gates, dc], axis=1))
-                back = back - step * z + through * r + gates @ rec[:, : 2 * h].T
+                back = back - back * z + through * r + gates @ step_rec
+            by_byte = np.zeros((258, 3 * h), up.dtype)
+            by_byte[bytes_] = np.add.reduceat(given.reshape(-1, 3 * h)[order], begin)
             g[f"{d}_bias"] = by_byte.sum(0)
             g[f"{d}_in"] = w["embed"].T @ by_byte
             g["embed"] += by_byte @ w[f"{d}_in"].T
         return loss, g
 
 
-def lay_out(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Byte numbers and mask, [time, word]; 256 and 257 are the borders."""
-    t = max(map(len, words)) + 2
-    x, mask = np.full((len(words), t), 257, np.int64), np.zeros((len(words), t), np.float32)
-    for i, b in enumerate(words):
-        x[i, 0] = 256
-        x[i, 1 : len(b) + 1] = np.frombuffer(b, np.uint8)
-        mask[i, : len(b) + 2] = 1
-    return x.T.copy(), mask.T.copy()
+def windows(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Byte numbers of a text's windows, [window, time], and how many bytes of each count; none of an empty text."""
+    n = -(-len(text) // CORE)
+    padded = np.full(n * CORE + 2 * CONTEXT, AFTER, np.uint16)
+    padded[:CONTEXT] = BEFORE
+    padded[CONTEXT : CONTEXT + len(text)] = np.frombuffer(text, np.uint8)
+    if not n:
+        return np.zeros((0, CORE + 2 * CONTEXT), np.uint16), np.zeros(0, np.int64)
+    read = np.lib.stride_tricks.sliding_window_view(padded, CORE + 2 * CONTEXT)[::CORE]
+    return read, np.minimum(CORE, len(text) - CORE * np.arange(n))
 
 
-def train(words: list[bytes], label: np.ndarray, languages: list[str], steps: int = STEPS, seed: int = 7) -> Network:
-    """Adam on batches drawn evenly over languages."""
+def counted(size: np.ndarray) -> np.ndarray:
+    """1 at the positions of windows that count, [time, window]."""
+    at = np.arange(-CONTEXT, CORE + CONTEXT)[:, None]
+    return ((at >= 0) & (at < size)).astype(np.float32)
+
+
+def train(texts: list[bytes], label: np.ndarray, languages: list[str], steps: int = STEPS, seed: int = 7) -> Network | None:
+    """Adam on batches of windows; each is read once before any is read again, and languages weigh the same."""
+    read = [windows(t) for t in texts]
+    of = np.repeat(label, [len(s) for _, s in read])
+    if not len(of):
+        return None
+    x, size = np.concatenate([r for r, _ in read]), np.concatenate([s for _, s in read])
+    del read
     net, rng = Network.fresh(languages, seed), np.random.default_rng(seed)
-    of = [np.flatnonzero(label == k) for k in range(len(languages))]
-    m, v = ({k: np.zeros_like(x) for k, x in net.w.items()} for _ in range(2))
+    there = np.bincount(of, size, len(languages))
+    weight = (there.sum() / np.maximum(there, 1) / (there > 0).sum()).astype(np.float32)
+    m, v = ({k: np.zeros_like(w) for k, w in net.w.items()} for _ in range(2))
+    steps, left = max(steps, -(-len(x) // BATCH)), np.zeros(0, np.int64)
     for step in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(o, BATCH // len(of) + 1) for o in of if len(o)])
-        x, mask = lay_out([words[i] for i in pick])
-        _, g = net.gradients(x, mask, label[pick])
+        while len(left) < BATCH:
+            left = np.concatenate([left, rng.permutation(len(x))])
+        pick, left = left[:BATCH], left[BATCH:]
+        _, g = net.gradients(x[pick].T.astype(np.intp), counted(size[pick]) * weight[of[pick]], of[pick])
         rate = 0.01 * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, d in g.items():
             m[k] = 0.9 * m[k] + 0.1 * d
@@ -158,70 +180,45 @@ def train(words: list[bytes], label: np.ndarray, languages: list[str], steps: in
 
 
 def fit(docs: DataFrame) -> Network | None:
-    """Train on the bounded sample of ``docs`` (doc_id, text, lang)."""
-    known = docs.filter(F.col("lang").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"))
-    # Candidates by hash alone: the threshold keeps a few times the bound, from counts per language.
+    """Train on the bounded sample of ``docs`` (doc_id, text, lang): PER_LANGUAGE rows of each language are brought to the driver."""
+    known = docs.filter(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h"))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
     # xxhash64 is even over all longs, so this share of its range holds about 3 * PER_LANGUAGE rows of a language.
     share = {k: min(1.0, 3 * PER_LANGUAGE / n + 30 / n) for k, n in sizes.items()}
     limit = F.create_map(*[F.lit(x) for k, s in share.items() for x in (k, int(-(2**63) + s * (2**64 - 1)) if s < 1 else 2**63 - 1)])
-    few = known.filter(F.col("h") <= limit[F.col("lang")]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("rank") <= PER_LANGUAGE).select("doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array([_draw(x.as_py() or "") for x in b.column("text")], pa.list_(pa.binary()))], ["doc_id", "lang", "words"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    chosen = docs.filter(F.col("lang").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text").join(F.broadcast(few.distinct()), "doc_id")  # PER_LANGUAGE ids of each language
-    rows = chosen.mapInArrow(small(run), f"doc_id {kind}, lang string, words array<binary>").collect()
+    # Where one doc_id has many rows, or texts none, what passes may be more; each task gives on PER_LANGUAGE rows of a language at most.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))
+    rows = known.filter(F.col("h") <= limit[F.col("lang")]).withColumn("rank", rank).filter(F.col("rank") <= PER_LANGUAGE).collect()
     languages = sorted(sizes)
-    words, label = [], []
-    for r in sorted(rows, key=lambda r: (r.lang, r.doc_id)):
-        words += map(bytes, r.words)
-        label += [languages.index(r.lang)] * len(r.words)
-    return train(words, np.array(label, np.int64), languages) if words else None
-
-
-def _draw(text: str) -> list[bytes]:
-    pieces = [w[at : at + LONGEST] for w in text.encode().split() if _letter(w.decode()) for at in range(0, len(w), LONGEST)]
-    n = min(len(pieces), WORDS_PER_DOCUMENT)
-    return [pieces[i * len(pieces) // n] for i in range(n)]
+    rows.sort(key=lambda r: (r.lang, r["rank"]))
+    return train([r.text.encode() for r in rows], np.array([languages.index(r.lang) for r in rows], np.int64), languages)
 
 
 def pooled(net: Network, texts: list[str]) -> np.ndarray:
     """Sum of log probabilities over all positions of each text, and in a last column the number of positions."""
-    raws = [t.encode() for t in texts]
-    hashes = [word_hashes(r) for r in raws]
-    row = np.repeat(np.arange(len(raws)), [len(h) for h in hashes])
-    total = np.zeros((len(raws), len(net.languages) + 1))
-    if not len(row):
-        return total
-    distinct, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    begin = np.cumsum([0] + [len(h) for h in hashes])
-    words: list[bytes] = []
-    owner: list[int] = []
-    # The words in order of first occurrence, so each text's bounds are found once.
-    order = np.argsort(first, kind="stable")
-    doc = np.searchsorted(begin, first[order], "right") - 1
-    for d in np.unique(doc):
-        _, s, e = word_bounds(raws[d])
-        for k in order[doc == d] if len(order) < 64 else order[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]:
-            at = first[k] - begin[d]
-            w = raws[d][s[at] : e[at]]
-            for cut in range(0, len(w), LONGEST):
-                words.append(w[cut : cut + LONGEST])
-                owner.append(int(k))
-    by_length = sorted(range(len(words)), key=lambda i: len(words[i]))
-    value = np.zeros((len(distinct), len(net.languages) + 1))
-    for at in range(0, len(by_length), 2048):
-        part = by_length[at : at + 2048]
-        x, mask = lay_out([words[i] for i in part])
-        logp = net.forward(x, mask)
-        np.add.at(value, [owner[i] for i in part], np.concatenate([(logp * mask[:, :, None]).sum(0), mask.sum(0)[:, None]], axis=1))
-    for k in range(total.shape[1]):
-        total[:, k] = np.bincount(row, value[which, k], len(raws))
+    total = np.zeros((len(texts), len(net.languages) + 1))
+    waiting, have = [], 0
+
+    def add() -> None:
+        x, size, row = (np.concatenate(c) for c in zip(*waiting, strict=True))
+        for at in range(0, len(x), AT_ONCE):
+            part = slice(at, at + AT_ONCE)
+            mask = counted(size[part])
+            logp = net.forward(x[part].T.astype(np.intp))
+            np.add.at(total, row[part], np.concatenate([(logp * mask[:, :, None]).sum(0), size[part, None]], axis=1))
+        waiting.clear()
+
+    for i, t in enumerate(texts):
+        x, size = windows(t.encode())
+        waiting.append((x, size, np.full(len(size), i)))
+        have += len(size)
+        if have >= AT_ONCE:
+            add()
+            have = 0
+    if have:
+        add()
     return total
 
 
@@ -237,7 +234,8 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             can = [i for i, x in enumerate(texts) if model and _letter(x)]
             if can:
-                found = pooled(model, [texts[i] for i in can])
+                distinct = {t: k for k, t in enumerate(dict.fromkeys(texts[i] for i in can))}
+                found = pooled(model, list(distinct))[[distinct[texts[i]] for i in can]]
                 # The geometric mean over positions, sharpened by the evidence there is.
                 mean = found[:, :-1] / np.sqrt(np.maximum(found[:, -1:], 1))
                 p = np.exp(mean - mean.max(1, keepdims=True))
