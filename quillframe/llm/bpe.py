@@ -1,22 +1,32 @@
-"""Byte-pair encoding through a deterministic automaton over tokens.
-
-States are the last token written; an arc is labelled with the next token.  At
-first only single bytes exist and every arc does.  Merges are then compiled in
-order.  The gadget of merge k, ``a b -> c``, adds the token c: arcs into c are
-those that lead into a at that moment, arcs out of c are those that leave b at
-that moment, and the arc from a on b is deleted (a run ``a a a`` merges from
-its left, so where a = b there is no arc from a on c).  A token sequence is the
-encoding of a word exactly if the final automaton accepts it, and each word
-has one such sequence.
-
-Copying arcs for 50,000 gadgets would need a square table of 2.5 billion bits,
-so each gadget keeps a reference instead: its parts and its number.  Looking an
-arc up walks gadgets from the youngest down, and the answer is put into the
-transition table that encoding reads from.
-
-Encoding a pre-split word runs the automaton over all its segmentations at
-once: at each byte the one token is kept that ends there and has an arc from
-the token that ends where it begins.  Decoding emits the arcs' labels.
+"""Byte-pair encoding through a deterministic automaton over bytes, compiled from merges.
+
+Gadgets.  An automaton over tokens has the last token written as its state; an
+arc is labelled with the next token.  At first only single bytes exist and
+every arc does.  Merges are then compiled in order.  The gadget of merge k,
+``a b -> c``, adds the token c: arcs into c are those that lead into a at that
+moment, arcs out of c are those that leave b at that moment, and the arc from a
+on b is deleted (a run ``a a a`` merges from its left, so where a = b there is
+no arc from a on c).  A token sequence is the encoding of a word exactly if the
+final automaton accepts it, and each word has one such sequence.  Copying arcs
+for 50,000 gadgets would need a square table of 2.5 billion bits, so each
+gadget keeps a reference instead, its parts and its number; looking an arc up
+walks gadgets from the youngest down.
+
+Table.  Encoding runs a deterministic automaton over bytes.  All tokens that
+may still be going on after some bytes begin within the longest suffix of these
+bytes that begins a token; so a state is this suffix and the last token of the
+encoding of every prefix that ends within it.  On a byte, one token alone ends
+there and has an arc from the token that ends where it begins: it is the last
+token of the longer prefix, and the state's label.  States and their rows, which
+hold only bytes that were met, are made when a byte first leads to them, and
+kept in a bounded table.  A word takes one transition for each byte, never
+back; its encoding is then read off the labels from its end.  Decoding emits
+the arcs' labels.
+
+Defined cases: a null text is empty and has no ids; a very long text or word
+takes one step for each byte, and only short pieces are kept in tables;
+repeated rows are encoded as rows of their own; an empty table gives no rows;
+other columns than doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -40,10 +50,9 @@ PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Entries of the word table of one Python worker; it is emptied when full.
 WORD_TABLE = 300_000
 STOPS = ".,;:!?"  # each is a pre-split word of its own after letters
-#: Bytes by which the reach of a search is looked up.
-REACH = 4
-#: Entries of its transition table, likewise.
-ARC_TABLE = 400_000
+#: States of the byte automaton that a worker keeps; it starts anew when they are more.
+STATES = 150_000
+START = -1  # stands for the last token where there is none yet
 LONGEST_KEPT = 48
 #: Text without any of these can be cut at every space.
 ROUGH = ["  ", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
@@ -74,16 +83,17 @@ class MergeAutomaton:
         self.born, self.first, self.last = [-1] * n, [-1] * n, [-1] * n
         self.cut: dict[int, int] = {}  # deleted arcs, and the gadget that deleted them
         self.width = n
-        self.arcs: dict[int, bool] = {}
         self.ids = {raw(s): i for s, i in vocab.items() if len(s) == 1}  # of tokens that some text has
         for k, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self._gadget(k, vocab[a], vocab[b], vocab[a + b])
-        # The longest token that begins with some REACH bytes: how far a search for the next token need look.
-        self.reach: dict[bytes, int] = {}
-        for x in self.ids:
-            if len(x) >= REACH:
-                self.reach[x[:REACH]] = max(len(x), self.reach.get(x[:REACH], 0))
+        self.begins = {x[:k] for x in self.ids for k in range(len(x))}  # what begins a token and is not all of it
+        self.size = [len(x) for x in self.labels]
+        # The byte automaton: its arcs by state and byte, and of each state the label and what tells it apart.
+        self.next: dict[int, int] = {}
+        self.token = [START]
+        self.told: list[tuple[bytes, tuple[int, ...]]] = [(b"", (START,))]
+        self.states = {self.told[0]: 0}
 
     def _gadget(self, k: int, a: int, b: int, c: int) -> None:
         """Add the token c, unless no sequence has a and b side by side by now."""
@@ -95,14 +105,8 @@ class MergeAutomaton:
             self.ids[self.labels[c]] = c
 
     def arc(self, state: int, token: int) -> bool:
-        """Whether ``token`` may follow ``state`` in the final automaton."""
-        key = state * self.width + token
-        known = self.arcs.get(key)
-        if known is None:
-            if len(self.arcs) >= ARC_TABLE:
-                self.arcs.clear()
-            known = self.arcs[key] = self._walk(state, token)
-        return known
+        """Whether ``token`` may follow ``state`` in the automaton over tokens."""
+        return state == START or self._walk(state, token)
 
     def _walk(self, s: int, t: int) -> bool:
         born, when = self.born, 1 << 60
@@ -122,41 +126,40 @@ class MergeAutomaton:
                     return False  # a, then a a: the left pair merges first
                 t = self.first[t]
 
+    def _extend(self, state: int, byte: int) -> int:
+        """The state after ``byte``, from now on in the table."""
+        suffix, last = self.told[state]
+        suffix += bytes((byte,))
+        label = next(t for k in range(len(suffix)) if (t := self.ids.get(suffix[k:])) is not None and self.arc(last[k], t))
+        last += (label,)
+        k = next(k for k in range(len(suffix) + 1) if suffix[k:] in self.begins)
+        told = (suffix[k:], last[k:])
+        if len(self.token) >= STATES:
+            self.next.clear()
+            del self.token[1:], self.told[1:]
+            self.states = {self.told[0]: 0}
+            state = None
+        to = self.states.get(told)
+        if to is None:
+            to = self.states[told] = len(self.token)
+            self.token.append(label)
+            self.told.append(told)
+        if state is not None:
+            self.next[state << 8 | byte] = to
+        return to
+
     def encode_word(self, word: bytes) -> list[int]:
-        """Tokens of one pre-split word.
-
-        A path that reaches a byte is the encoding of all before it, so a byte
-        that was left once need not be tried again.
-        """
-        ids, arcs, width, n, reach = self.ids.get, self.arcs, self.width, len(word), self.reach.get
-        path: list[int] = []
-        starts: list[int] = []
-        dead = bytearray(n + 1)
-        begin, end = 0, min(n, reach(word[:REACH], REACH - 1))
-        while begin < n:
-            while end > begin:
-                if not dead[end] and (token := ids(word[begin:end])) is not None:
-                    if begin:
-                        known = arcs.get(path[-1] * width + token)
-                        if known is None:
-                            known = self.arc(path[-1], token)
-                    else:
-                        known = True
-                    if known:
-                        break
-                end -= 1
-            if end > begin:
-                path.append(token)
-                starts.append(begin)
-                begin, end = end, end + reach(word[end : end + REACH], REACH - 1)
-                if end > n:
-                    end = n
-            else:
-                dead[begin] = 1
-                path.pop()
-                end = begin
-                begin = starts.pop()
-                end -= 1
+        """Tokens of one pre-split word: one transition for each byte, then the labels from the end."""
+        step, token, state, last = self.next.get, self.token, 0, []
+        for byte in word:
+            to = step(state << 8 | byte)
+            state = self._extend(state, byte) if to is None else to
+            last.append(token[state])
+        path, at, size = [], len(word), self.size
+        while at:
+            path.append(last[at - 1])
+            at -= size[path[-1]]
+        path.reverse()
         return path
 
 

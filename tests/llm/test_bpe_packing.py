@@ -87,6 +87,33 @@ def test_automaton_is_that_of_the_gadgets(picks, word):
     assert [made.labels[i] for i in made.encode_word(word.encode())] == naive(merges, word.encode())
 
 
+def test_one_step_of_the_table_for_each_byte(monkeypatch):
+    """Once its states are made, a word of n bytes takes n steps of the table and no other work on its bytes."""
+    made = bpe.MergeAutomaton(json.loads(SPEC))
+    words = [w.encode() for w in CODEC.split("Straight ahead, nevertheless unconstitutionally 1234567 aaaaaaaaaa \u65e5\u672c\u8a9e\u30c6\u30b9\u30c8 " + "xyzzy" * 300)]
+    first = [made.encode_word(w) for w in words]
+
+    class Counted(dict):
+        steps = 0
+
+        def get(self, key):
+            Counted.steps += 1
+            return self[key]
+
+    made.next = Counted(made.next)
+    monkeypatch.setattr(made, "_extend", None)
+    for name in ("ids", "begins", "cut", "born", "first", "last", "told", "states"):
+        monkeypatch.setattr(made, name, None)
+    assert [made.encode_word(w) for w in words] == first and Counted.steps == sum(map(len, words))
+
+
+def test_states_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "STATES", 50)
+    made = bpe.MergeAutomaton(json.loads(SPEC))
+    for w in ("unconstitutionally", "nevertheless" * 30, "\u65e5\u672c\u8a9e", "unconstitutionally"):
+        assert made.encode_word(w.encode()) == CODEC.automaton.encode_word(w.encode()) and len(made.token) <= 51
+
+
 def test_query_and_edges(spark, sf, table, docs, no_docs, library):
     rows = {r.doc_id: r for r in catalog.op1_bpe(spark, sf).collect()}
     for i, text, _ in table:
