@@ -1,24 +1,34 @@
 """A hidden Markov language model, trained by Baum-Welch over all training texts.
 
 Words are lower-cased (A-Z only) runs of non-space bytes; every text ends with
-an end token.  The ``SYMBOLS`` most frequent words of the training texts have
-emission probabilities of their own.  Every other word is emitted as one of a
+an end token.  The ``SYMBOLS`` most frequent words of the training texts, if
+seen ``LEAST_SEEN`` times, have emission probabilities of their own.  Every other word is emitted as one of a
 few classes by its form, and within its class by its add-one count, with one
 share for all words never seen, so the model is a distribution over all texts.
 
 Training.  Each pass reads all training texts: every partition runs scaled
 forward and backward recursions and gives its expected counts, which Spark
-sums; the driver gets one row per symbol.  For training alone texts are read
-in stretches of ``STRETCH`` tokens.  Scoring runs the scaled forward recursion
-over the whole text, so the likelihood is exact.
-
-Counts of all words stay in Spark.  Only the ``FREQUENT`` most frequent are
-sent to executors; the other words of each text are joined with the counts
-table, so no vocabulary needs to fit in memory.
-
-Defined cases: a null text is the end token alone; repeated rows count as
-often as they occur; an empty table gives no rows; without training texts
-N and V are 0 and every symbol is equally likely.
+sums; the driver gets one row per symbol.  Passes end when the likelihood of
+the training texts rises by less than ``LEAST_GAIN`` a token, or after
+``PASSES``; the model keeps the likelihood of each pass.
+
+Texts are sequences from their start to their end.  One that is longer than
+``STRETCH`` tokens is read in stretches that run side by side: the transfer
+matrix of each stretch (forward recursions from every state) carries the scaled
+alpha and beta across its borders, so counts and likelihoods are those of the
+unbroken recursion and memory stays bounded.
+
+Counts of all words stay in Spark.  Only the ``FREQUENT`` most frequent, by
+count and then by word, are sent to executors; the other words of each text are
+joined with the counts table, so no vocabulary needs to fit in memory, and
+scores do not depend on ``FREQUENT`` as long as it is no less than ``SYMBOLS``.
+
+Defined cases: a null text is the end token alone, as an empty one is; a null
+doc_id counts as the empty text where rows are held out; repeated rows count as
+often as they occur; a very long text is read in stretches; an empty table
+gives no rows; without training texts N and V are 0 and every symbol is equally
+likely; words of equal count go by their bytes; other columns than doc_id and
+text play no part.
 """
 
 from __future__ import annotations
@@ -35,15 +45,19 @@ from pyspark.sql import functions as F
 
 from quillframe.llm.common import materialise, small
 
-FREQUENT, SYMBOLS = 150_000, 8_000
-STATES, PASSES, STRETCH = 8, 4, 128
+FREQUENT, SYMBOLS = 150_000, 30_000
+STATES, PASSES, LEAST_GAIN = 8, 5, 0.02
+#: Words seen less often have no symbol of their own, so that classes tell how likely words are that were never seen;
+#: tokens that are added to each symbol, dealt over states as all tokens are.
+LEAST_SEEN, SMOOTH = 3, 0.5
+STRETCH = 1024
 END = b"\n"  # no word holds a line feed
 #: Classes of words without a symbol of their own, by form.
 CLASSES = 8
 
 
 def held_out(modulus: int = 7, remainder: int = 2) -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -82,7 +96,7 @@ class Vocabulary:
 
     @property
     def symbols(self) -> int:
-        return CLASSES + min(SYMBOLS, len(self.number))
+        return CLASSES + int((self.symbol >= CLASSES).sum())
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -105,13 +119,17 @@ def count_words(docs: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """``counts`` is a stored table.  The driver gets FREQUENT rows at most, one for each class, and a histogram of bounded size."""
     step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
-    least, held = None, 0
+    least, held, next_ = None, 0, None
     for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect():  # 16 steps for each doubling of counts
         if held + r.words > FREQUENT:
+            next_ = r.step
             break
         least, held = r.step, held + r.words
-    top = [] if least is None else sorted(counts.filter(step >= least).collect(), key=lambda r: (-r.n, bytes(r.word)))
-    own = top[:SYMBOLS]
+    top = [] if least is None else counts.filter(step >= least).collect()
+    if next_ is not None and held < FREQUENT:  # the rest from the step that is too large, by count and word
+        top += counts.filter(step == next_).orderBy(F.desc("n"), "word").limit(FREQUENT - held).collect()
+    top.sort(key=lambda r: (-r.n, bytes(r.word)))
+    own = [r for r in top[:SYMBOLS] if r.n >= LEAST_SEEN]
     sums = counts.groupBy("form").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
     n, words = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in sums:
@@ -120,17 +138,18 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     for r in own:
         n[r.form] -= r.n
         words[r.form] -= 1
-    symbol = np.array([CLASSES + i if i < SYMBOLS else r.form for i, r in enumerate(top)], np.int64)
+    symbol = np.array([CLASSES + i if i < len(own) else r.form for i, r in enumerate(top)], np.int64)
     return Vocabulary({bytes(r.word): i for i, r in enumerate(top)}, np.array([r.n for r in top], np.float64), symbol, total, distinct, n, words)
 
 
 @dataclass
 class Model:
-    """start[state], move[state, next] and emit[symbol, state]."""
+    """start[state], move[state, next] and emit[symbol, state]; log10 likelihood of the training texts before each pass."""
 
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray
+    likelihood: list[float] = field(default_factory=list)
 
     @classmethod
     def first(cls, prior: np.ndarray, states: int, seed: int = 11) -> Model:
@@ -152,68 +171,159 @@ def _stack(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return x, len(sequences) - np.searchsorted(np.sort(size), np.arange(len(x)), "right"), order
 
 
-def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
+def _groups(sequences: list[np.ndarray], most: int = 1 << 17) -> Iterator[list[int]]:
+    """Sequences of like length, by their places; a group's table holds ``most`` tokens, or one sequence."""
+    by_size = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+    at = 0
+    while at < len(by_size):
+        width = max(1, most // max(1, len(sequences[by_size[at]])))
+        yield by_size[at : at + width]
+        at += width
+
+
+def _transfers(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each sequence, [state at its first token, state at its last], scaled to a sum of one, and log10 of the scale.
+
+    The first token's emission is not in it, the last one's is.
+    """
+    s = len(model.start)
+    out, log = np.zeros((len(sequences), s, s)), np.zeros(len(sequences))
+    for group in _groups(sequences, (1 << 17) // s):
+        x, rows, order = _stack([sequences[i] for i in group])
+        now, scale = np.broadcast_to(np.eye(s), (len(group), s, s)).copy(), np.zeros(len(group))
+        for t in range(1, len(x)):
+            n = rows[t]
+            step = (now[:n].reshape(-1, s) @ model.move).reshape(n, s, s) * model.emit[x[t, :n]][:, None, :]
+            total = step.sum((1, 2))
+            now[:n] = step / total[:, None, None]
+            scale[:n] += np.log10(total)
+        for row, i in enumerate(order):
+            out[group[i]], log[group[i]] = now[row], scale[row]
+    return out, log
+
+
+@dataclass
+class _Stretches:
+    """Texts in stretches that share their border tokens, with what comes in from the left and from the right of each.
+
+    ``alpha`` is the scaled alpha of a stretch's first token, ``beta`` the beta
+    of its last, ``ends`` tells whether it ends its text.
+    """
+
+    parts: list[np.ndarray]
+    alpha: np.ndarray
+    beta: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray  # the number of each text's first stretch
+    log10: np.ndarray  # the likelihood of each text of several stretches; of others, of the first token
+    whole: np.ndarray  # whether a stretch is all of its text
+
+    @classmethod
+    def of(cls, model: Model, sequences: list[np.ndarray], stretch: int = 0) -> _Stretches:
+        stretch = stretch or STRETCH
+        parts, first, ends = [], [], []
+        for q in sequences:
+            first.append(len(parts))
+            cuts = range(0, max(1, len(q) - 1), stretch)
+            parts += [q[c : c + stretch + 1] for c in cuts]
+            ends += [False] * (len(cuts) - 1) + [True]
+        ends, first, s = np.array(ends, bool), np.array(first, np.int64), len(model.start)
+        alpha, beta, log = np.zeros((len(parts), s)), np.ones((len(parts), s)), np.zeros(len(sequences))
+        begin = model.start * model.emit[[q[0] for q in sequences]]
+        alpha[first] = begin / begin.sum(1, keepdims=True)
+        log += np.log10(begin.sum(1))
+        # Only texts of several stretches need the matrices.
+        several = [(k, int(f), int(e)) for k, (f, e) in enumerate(zip(first, [*first[1:], len(parts)], strict=True)) if e - f > 1]
+        where = [i for _, f, e in several for i in range(f, e)]
+        through, scale = _transfers(model, [parts[i] for i in where])
+        at = {i: j for j, i in enumerate(where)}
+        for k, f, e in several:
+            for i in range(f, e):
+                on = alpha[i] @ through[at[i]]
+                log[k] += np.log10(on.sum()) + scale[at[i]]
+                if i + 1 < e:
+                    alpha[i + 1] = on / on.sum()
+            for i in range(e - 1, f, -1):
+                back = through[at[i]] @ beta[i]
+                beta[i - 1] = back / (alpha[i] @ back)
+        whole = ends.copy()
+        whole[where] = False
+        return cls(parts, alpha, beta, ends, first, log, whole)
+
+
+def forward(model: Model, sequences: list[np.ndarray], stretch: int = 0) -> np.ndarray:
     """log10 likelihood of each sequence, by the scaled forward recursion."""
-    out = np.zeros(len(sequences))
+    if not sequences:
+        return np.zeros(0)
+    cut = _Stretches.of(model, sequences, stretch)
+    out = cut.log10.copy()
     ones = np.ones(len(model.start))
-    # Neighbours in length go together, so the table of a batch stays small however long one text is.
-    by_size = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-    for at in range(0, len(by_size), 512):
-        part = by_size[at : at + 512]
-        x, rows, order = _stack([sequences[i] for i in part])
-        log = np.zeros(len(part))
-        scales = np.ones((min(256, len(x)), len(part)))
-        alpha = np.broadcast_to(model.start, (len(part), len(model.start)))
-        for t in range(len(x)):
+    # Texts of several stretches are done; all others run side by side.
+    alone = np.flatnonzero(cut.whole[cut.first])
+    parts = [cut.parts[cut.first[k]] for k in alone]
+    for group in _groups(parts):
+        x, rows, order = _stack([parts[i] for i in group])
+        alpha = cut.alpha[cut.first[alone[[group[i] for i in order]]]]
+        scales = np.ones(x.shape)
+        for t in range(1, len(x)):
             n = rows[t]
-            alpha = (alpha[:n] if t == 0 else alpha[:n] @ model.move) * model.emit[x[t, :n]]
-            scale = alpha @ ones
+            alpha = (alpha[:n] @ model.move) * model.emit[x[t, :n]]
+            scales[t, :n] = scale = alpha @ ones
             alpha = alpha / scale[:, None]
-            k = t % len(scales)
-            scales[k, :n] = scale
-            scales[k, n:] = 1
-            if k == len(scales) - 1 or t == len(x) - 1:
-                log += np.log10(scales[: k + 1]).sum(0)
+        log = np.log10(scales).sum(0)
         for row, i in enumerate(order):
-            out[part[i]] = log[row]
+            out[alone[group[i]]] += log[row]
     return out
 
 
-def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of starts, moves and emissions, and the log10 likelihood.
+def expected(model: Model, sequences: list[np.ndarray], stretch: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of starts, moves and emissions of whole sequences, and the log10 likelihood.
 
     Only the two recursions go step by step, in single precision; what needs
     both is computed for all steps at once.
     """
     s, single = len(model.start), np.float32
     move_, ones = model.move.astype(single), np.ones(s, single)
-    back = np.ascontiguousarray(move_.T)
-    x, rows, _ = _stack(sequences)
-    steps, width = x.shape
-    given = model.emit.astype(single)[x]
-    alpha, beta = np.zeros((steps, width, s), single), np.zeros((steps, width, s), single)
-    scale = np.ones((steps, width), single)
-    now = np.broadcast_to(model.start.astype(single), (width, s))
-    for t in range(steps):
-        n = rows[t]
-        now = (now[:n] if t == 0 else now[:n] @ move_) * given[t, :n]
-        scale[t, :n] = c = now @ ones
-        now = alpha[t, :n] = now / c[:, None]
-    # ``given`` becomes what a step passes back: emission, times what follows, over its scale.
-    given /= scale[:, :, None]
-    for t in range(steps - 1, -1, -1):
-        n = rows[t]
-        beta[t, :n] = 1
-        if t + 1 < steps and (m := rows[t + 1]):
+    back, emit_ = np.ascontiguousarray(move_.T), model.emit.astype(single)
+    cut = _Stretches.of(model, sequences, stretch)
+    move, emit, likelihood = np.zeros((s, s)), np.zeros((len(model.emit), s)), 0.0
+    starts = np.zeros(len(cut.parts), bool)
+    starts[cut.first] = True
+    start = np.zeros(s)
+    for group in _groups(cut.parts):
+        x, rows, order = _stack([cut.parts[i] for i in group])
+        of = np.array(group)[order]
+        steps, width = x.shape
+        given = emit_[x]
+        alpha, beta = np.zeros((steps, width, s), single), np.zeros((steps, width, s), single)
+        scale = np.ones((steps, width), single)
+        now = alpha[0] = cut.alpha[of]
+        for t in range(1, steps):
+            n = rows[t]
+            now = (now[:n] @ move_) * given[t, :n]
+            scale[t, :n] = c = now @ ones
+            now = alpha[t, :n] = now / c[:, None]
+        # ``given`` becomes what a step passes back: emission, times what follows, over its scale.
+        given /= scale[:, :, None]
+        live = np.arange(width)[None, :] < rows[:, None]
+        size = live.sum(0)
+        beta[size - 1, np.arange(width)] = cut.beta[of]
+        for t in range(steps - 2, -1, -1):
+            m = rows[t + 1]
             given[t + 1, :m] *= beta[t + 1, :m]
             beta[t, :m] = given[t + 1, :m] @ back
-    live = np.arange(width)[None, :] < rows[:, None]
-    follows = live[1:]
-    move = alpha[:-1][follows].T.astype(np.float64) @ given[1:][follows].astype(np.float64) * model.move if steps > 1 else np.zeros((s, s))
-    gamma = (alpha * beta)[live]
-    symbol = x[live]
-    emit = np.stack([np.bincount(symbol, gamma[:, k], len(model.emit)) for k in range(s)], axis=1)
-    return (alpha[0] * beta[0]).sum(0, dtype=np.float64), move, emit, float(np.log10(scale).sum(dtype=np.float64))
+        follows = live[1:]
+        if steps > 1:
+            move += alpha[:-1][follows].T.astype(np.float64) @ given[1:][follows].astype(np.float64) * model.move
+        # A border token counts in the stretch that it begins.
+        live[size - 1, np.arange(width)] = cut.ends[of]
+        gamma = (alpha * beta)[live]
+        symbol = x[live]
+        emit += np.stack([np.bincount(symbol, gamma[:, k], len(model.emit)) for k in range(s)], axis=1)
+        start += (alpha[0] * beta[0])[starts[of]].sum(0, dtype=np.float64)
+        likelihood += float(np.log10(scale).sum(dtype=np.float64))
+    likelihood += float(np.log10((model.start * model.emit[[q[0] for q in sequences]]).sum(1)).sum())
+    return start, move, emit, likelihood
 
 
 class _Numbers(dict):
@@ -227,8 +337,8 @@ def _symbols(vocab: Vocabulary, numbers: np.ndarray) -> np.ndarray:
     return np.where(numbers >= 0, vocab.symbol[np.maximum(numbers, 0)] if len(vocab.symbol) else 0, -1 - numbers)
 
 
-def train(rows: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int = PASSES) -> Model:
-    """Baum-Welch: ``passes`` readings of ``symbols`` (binary, unsigned 16-bit) of the training texts."""
+def train(rows: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int = PASSES, least_gain: float = LEAST_GAIN) -> Model:
+    """Baum-Welch: up to ``passes`` readings of ``symbols`` (binary, unsigned 16-bit) of the training texts."""
     prior = np.ones(vocab.symbols) * 0.1
     prior[:CLASSES] += vocab.class_tokens
     prior[CLASSES:] += vocab.count[: vocab.symbols - CLASSES]
@@ -243,26 +353,31 @@ def train(rows: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int
             m = now.value
             total = [np.zeros(states), np.zeros((states, states)), np.zeros_like(m.emit), 0.0]
             waiting: list[np.ndarray] = []
+            have = 0
             for b in batches:
                 for x in b.column("symbols"):
-                    s = np.frombuffer(x.as_buffer(), "<u2")
-                    waiting += [s[i : i + STRETCH] for i in range(0, len(s), STRETCH)]
-                    while len(waiting) >= 1024:
-                        total = [p + q for p, q in zip(total, expected(m, waiting[:1024]), strict=True)]
-                        del waiting[:1024]
+                    waiting.append(np.frombuffer(x.as_py(), "<u2"))
+                    have += len(waiting[-1])
+                    if have >= 1 << 19:
+                        total = [p + q for p, q in zip(total, expected(m, waiting), strict=True)]
+                        waiting, have = [], 0
             if waiting:
                 total = [p + q for p, q in zip(total, expected(m, waiting), strict=True)]
-            table = np.concatenate([total[0][None], total[1], total[2]])
+            table = np.concatenate([total[0][None], total[1], total[2], np.full((1, states), total[3] / states)])
             some = np.flatnonzero(table.sum(1))
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(table[some, k]) for k in range(states))], ["row", *(f"s{k}" for k in range(states))])
 
         counts = rows.select("symbols").mapInArrow(small(run), "row int, " + ", ".join(f"s{k} double" for k in range(states)))
-        total = np.zeros((1 + states + len(model.emit), states))
+        total = np.zeros((2 + states + len(model.emit), states))
         for r in counts.groupBy("row").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(states))).collect():  # one row for each symbol
             total[r["row"]] = r[1:]
-        start, move, emit = total[0] + 0.1, total[1 : 1 + states] + 0.1, total[1 + states :] + prior[:, None]
-        model = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+        start, move, emit = total[0] + 0.1, total[1 : 1 + states] + 0.1, total[1 + states : -1]
+        emit = emit + prior[:, None] + SMOOTH * (emit.sum(1) > 0)[:, None] * emit.sum(0) / max(emit.sum(), 1e-9)
+        told = [*model.likelihood, float(total[-1].sum())]
+        model = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0), told)
         now.unpersist()
+        if len(told) > 1 and told[-1] - told[-2] < least_gain * vocab.tokens:
+            break
     return model
 
 
@@ -306,16 +421,16 @@ def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
 
 def score(docs: DataFrame) -> DataFrame:
     """Train on what is not held out; score every document with the model and with the unigram base."""
-    counts = materialise(count_words(docs.select("doc_id", "text").filter(~F.coalesce(held_out(), F.lit(False)))))
+    counts = materialise(count_words(docs.select("doc_id", "text").filter(~held_out())))
     vocab = vocabulary(counts)
     parts = materialise(encoded(docs, vocab))
     texts = parts.filter(F.col("symbols").isNotNull()).withColumn("held_out", held_out())
-    model = train(texts.filter(~F.coalesce("held_out", F.lit(False))), vocab)
+    model = train(texts.filter("NOT held_out"), vocab)
     made = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            value = forward(made.value, [np.frombuffer(x.as_buffer(), "<u2") for x in b.column("symbols")])
+            value = forward(made.value, [np.frombuffer(x.as_py(), "<u2") for x in b.column("symbols")])
             keep = b.select(["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "extra"])
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(value)], [*keep.schema.names, "value"])
 

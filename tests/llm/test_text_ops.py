@@ -176,18 +176,75 @@ def test_forward_is_the_sum_over_all_paths():
     assert hmm.forward(better, texts).sum() > log
 
 
-def test_language_model_edges(docs, no_docs):
+def test_stretches_do_not_matter():
+    """Counts and likelihoods of whole texts, whatever they are cut into."""
+    rng = np.random.default_rng(9)
+    draw = lambda *s: (x := rng.random(s)) / x.sum(-1, keepdims=True)
+    emit = rng.random((7, 3)) ** 3 + 1e-3
+    m = hmm.Model(draw(3), draw(3, 3), emit / emit.sum(0))
+    texts = [rng.integers(0, 7, n).astype(np.uint16) for n in (1, 2, 3, 4, 5, 8, 9, 50, 333, 17)]
+    whole = hmm.expected(m, texts, 10_000)
+    for stretch in (1, 2, 3, 8, 100):
+        for a, b in zip(hmm.expected(m, texts, stretch), whole, strict=True):
+            assert a == pytest.approx(b, rel=1e-4, abs=1e-4)
+        assert hmm.forward(m, texts, stretch) == pytest.approx(hmm.forward(m, texts, 10_000), rel=1e-9)
+    assert whole[0].sum() == pytest.approx(len(texts), rel=1e-5) and whole[2].sum() == pytest.approx(sum(map(len, texts)), rel=1e-5)
+
+
+def test_likelihood_rises_by_pass(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    vocab = hmm.vocabulary(hmm.materialise(hmm.count_words(docs)))
+    rows = hmm.materialise(hmm.encoded(docs, vocab).filter("symbols IS NOT NULL").select("symbols"))
+    told = hmm.train(rows, vocab, passes=5, least_gain=0).likelihood
+    assert len(told) == 5 and all(a < b for a, b in zip(told, told[1:], strict=False))
+    assert len(hmm.train(rows, vocab, passes=5, least_gain=10.0).likelihood) == 2
+
+
+def test_score_by_brute_force(spark, sf, table, monkeypatch):
+    """A whole text's score, by an unscaled recursion over its words with the trained model."""
+    made = []
+    train = hmm.train
+    monkeypatch.setattr(hmm, "train", lambda rows, vocab: made.append((train(rows, vocab, passes=2), vocab)) or made[-1][0])
+    rows = {r.doc_id: r for r in catalog.op4_lm_scoring(spark, sf).collect()}
+    (m, vocab), = made
+    for i, text, _ in table[:40]:
+        log, alpha = 0.0, m.start
+        for t, w in enumerate(hmm.tokens(text)):
+            k = vocab.number.get(w)
+            symbol = hmm.form(w) if k is None else vocab.symbol[k]
+            alpha = (alpha if t == 0 else alpha @ m.move) * m.emit[symbol]
+            if symbol < hmm.CLASSES:
+                alpha = alpha * ((0 if k is None else vocab.count[k]) + 1) / (vocab.class_tokens[symbol] + vocab.class_words[symbol] + 1)
+            log += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        assert rows[i].score == pytest.approx(log, rel=1e-9), i
+
+
+def test_language_model_edges(spark, docs, no_docs):
     rows = hmm.score(docs).collect()
     assert len(rows) == 13 and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
-    assert {r.n_tokens for r in rows if r.doc_id in (3, 4, 5)} == {1}
+    assert {r.n_tokens for r in rows if r.doc_id in (3, 4, 5)} == {1} and {r.held_out for r in rows if r.doc_id is None} == {False}
     assert hmm.score(no_docs).collect() == []
-
-
-def test_rare_words_are_joined(docs, monkeypatch):
-    whole = sorted((r.doc_id or 0, r.n_known, r.base_score) for r in hmm.score(docs).collect())
-    monkeypatch.setattr(hmm, "FREQUENT", 20)
-    few = sorted((r.doc_id or 0, r.n_known, r.base_score) for r in hmm.score(docs).collect())
-    assert [x[:2] for x in few] == [x[:2] for x in whole] and [x[2] for x in few] == pytest.approx([x[2] for x in whole])
+    untold = spark.createDataFrame([(i, "a b c") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
+    assert {(r.train_tokens, r.n_known) for r in hmm.score(untold).collect()} == {(0, 0)}
+
+
+def test_scores_do_not_depend_on_what_is_broadcast(docs, monkeypatch):
+    monkeypatch.setattr(hmm, "SYMBOLS", 20)
+    whole = sorted((r.doc_id or 0, r.n_known, r.base_score, r.score) for r in hmm.score(docs).collect())
+    for frequent in (50, 20):
+        monkeypatch.setattr(hmm, "FREQUENT", frequent)
+        few = sorted((r.doc_id or 0, r.n_known, r.base_score, r.score) for r in hmm.score(docs).collect())
+        assert [x[:2] for x in few] == [x[:2] for x in whole] and [y for x in few for y in x[2:]] == pytest.approx([y for x in whole for y in x[2:]])
+
+
+def test_vocabulary_is_filled_to_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "FREQUENT", 100)
+    for words in (81, 121):
+        counts = hmm.count_words(spark.createDataFrame([(" ".join(f"w{i:03}" for i in range(words)) + " twice twice",)], "text string"))
+        number = hmm.vocabulary(hmm.materialise(counts)).number
+        assert len(number) == min(100, words + 2) and number[b"twice"] == 0
+        assert sorted(number, key=number.get)[1:] == sorted([hmm.END, *(f"w{i:03}".encode() for i in range(words))])[: len(number) - 1]
 
 
 # -- fingerprints ---------------------------------------------------------------------------------
