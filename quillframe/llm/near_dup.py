@@ -29,7 +29,9 @@ other are joined once more, exactly: with shingles in one order, the rarest
 first, two sets at 0.8 share one among the first fifth of each, at places that
 leave enough behind it.  Every such pair of different components is verified;
 what a text alone holds stands first, so a passage that many share in part
-brings few of them together.
+brings few of them together.  Each set also has ``8 * PARITY`` bytes, in which every
+element turns one bit; two sets differ in no fewer elements than their bits, so
+a pair whose bits differ too much is left out before it is verified.
 
 Defined cases: a null text is empty; texts without words are one class;
 repeated rows share a class; a row without doc_id is compared like any other;
@@ -57,6 +59,7 @@ COORDINATES, BANDS = 128, 32
 SIMILARITY = 0.8
 SHINGLE = 5
 NARROW, WIDE = 2.0**-4, 16.0
+PARITY = 8  # numbers of 64 bits that tell sets apart before they are compared
 RANKED = 200_000  # shingles at most whose counts order all sets
 _U64 = np.uint64
 _EMPTY = _U64(0xFFFFFFFFFFFFFFFF)
@@ -249,18 +252,25 @@ def _ranked(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """PARITY numbers whose bits each element turns."""
+    bits = np.bincount((s >> _U64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(bool)).view(np.int64)
+
+
 def _leading(sets: DataFrame, counted: DataFrame, similarity: float) -> DataFrame:
-    """h, node, label, size and place of the shingles that two sets at ``similarity`` can't all differ in.
+    """h, node, label, size, parity bits and place of the shingles that two sets at ``similarity`` can't all differ in.
 
     Any order serves that is the same for all sets; shingles without a rank
     count as the rarest.  Those of one node alone keep their place, but meet none.
     """
     shared = sets.sparkSession.sparkContext.broadcast((bitmap(counted, "h"), *_ranked(counted)))
+    parity = [f"bits{k}" for k in range(PARITY)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, known, count = shared.value
         for b in batches:
-            h, size, place = [], [], []
+            h, size, place, bits = [], [], [], []
             for x in b.column("shingles"):
                 s = np.frombuffer(x.as_buffer(), np.uint64)
                 n = np.zeros(len(s), np.int64)
@@ -271,15 +281,17 @@ def _leading(sets: DataFrame, counted: DataFrame, similarity: float) -> DataFram
                 some = np.flatnonzero(seen.has(s[lead]))
                 h.append(s[lead[some]])
                 size.append(len(s))
+                bits.append(_parity(s))
                 place.append(some)
             of = np.repeat(np.arange(b.num_rows), [len(p) for p in place])
             row = pa.array(of)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate(h).view(np.int64)), b.column("node").take(row), b.column("label").take(row),
                 pa.array(np.array(size, np.int32)[of]), pa.array(np.concatenate(place).astype(np.int32)),
-            ], ["h", "node", "label", "size", "place"])
+                *map(pa.array, np.array(bits)[of].T.copy()),
+            ], ["h", "node", "label", "size", "place", *parity])
 
-    return sets.select("node", "label", "shingles").mapInArrow(small(run), "h long, node long, label long, size int, place int")
+    return sets.select("node", "label", "shingles").mapInArrow(small(run), "h long, node long, label long, size int, place int, " + ", ".join(f"{k} long" for k in parity))
 
 
 def missed_pairs(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -289,12 +301,16 @@ def missed_pairs(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     each = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = materialise(each.groupBy("h").agg(F.max_by("label", "n").alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("h", "main"))
     met = materialise(rows.join(mixed, "h").withColumn("main", F.col("label") == F.col("main")))
-    x, y = (met.select("h", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "size", "place", "main"))) for k in "xy")
+    x, y = (met.select("h", *(F.col(c).alias(f"{c}_{k}") for c in met.columns if c != "h")) for k in "xy")
     both = F.col("size_x") + F.col("size_y")
+    differ = F.lit(0)
+    for k in range(PARITY):
+        differ += F.bit_count(F.col(f"bits{k}_x").bitwiseXOR(F.col(f"bits{k}_y")))
     fits = (
         (F.col("label_x") != F.col("label_y")) & (F.col("main_y") | (F.col("node_x") < F.col("node_y")))
         & (F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y") - 1e-6)
         & (F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) >= similarity / (1 + similarity) * both - 1e-6)
+        & (differ <= (1 - similarity) / (1 + similarity) * both + 1e-6)
     )
     pairs = x.filter(~F.col("main_x")).withColumnRenamed("h", "h_x").join(y, (F.col("h_x") == F.col("h")) & fits)
     return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
