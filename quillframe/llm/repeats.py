@@ -16,7 +16,7 @@ same document.
 4. Texts are read again.  Neighbouring first occurrences are merged into
    passages, whose words are told; neighbouring windows that may recur but are
    not first ones are merged into stretches.  Both are dealt to shards by a
-   leading gram, the smallest hash among a window's five-word runs, so a
+   leading gram, the smallest hash among a window's pairs of words, so a
    stretch meets only the shard that may know it.
 5. Each shard compiles the windows of all its passages into one Aho-Corasick
    automaton and streams its stretches through it.  Words are symbols of the
@@ -51,9 +51,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quillframe.llm.bitmap import bitmap, maybe_in
-from quillframe.llm.common import fmix, gram_hashes, materialise, small, word_hashes
+from quillframe.llm.common import fmix, gram_hashes, materialise, small, word_bounds, word_hashes
 
-WINDOW, RUN, LEAD = 20, 10, 5
+WINDOW, RUN, LEAD = 20, 10, 2
 #: Windows of one automaton at most (some 20 nodes each), windows of a passage at most, bytes of stretches for each salt.
 SHARD, PASSAGE, SALT_BYTES = 6000, 256, 16 << 20
 _NULLS = 1 << 62
@@ -83,16 +83,23 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _runs(flag: np.ndarray, by: np.ndarray, most: int = 1 << 40) -> Iterator[tuple[int, int]]:
-    """Begin and end of each run of flagged places with one value of ``by``, ``most`` places long at most."""
+def _runs(flag: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each run of flagged places with one value of ``by``."""
     at = np.flatnonzero(flag)
     if not len(at):
-        return
-    cut = np.flatnonzero((np.diff(at) != 1) | (by[at[1:]] != by[at[:-1]])) + 1
-    for begin, end in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True):
-        first, last = int(at[begin]), int(at[end - 1]) + 1
-        for s in range(first, last, most):
-            yield s, min(last, s + most)
+        return at, at
+    cut = np.flatnonzero((np.diff(at) != 1) | (by[at[1:]] != by[at[:-1]]))
+    return at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])] + 1
+
+
+def _cut(begin: np.ndarray, end: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``most`` places at most."""
+    times = -(-(end - begin) // most)
+    if (times <= 1).all():
+        return begin, end
+    number = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    begin, end = np.repeat(begin, times) + number * most, np.repeat(end, times)
+    return begin, np.minimum(end, begin + most)
 
 
 class _Texts:
@@ -195,8 +202,9 @@ def _pieces(texts: _Texts, firsts: DataFrame, shared, shards: int, window: int)
         for b in batches:
             for at in range(0, b.num_rows, 100):
                 part = b.slice(at, 100)
-                rows: list[tuple] = []
-                for key, told, x, given in zip(part.column("key").to_pylist(), part.column("told").to_pylist(), part.column("text"), part.column("starts"), strict=True):
+                keys, told = part.column("key").to_numpy(), part.column("told").to_numpy()
+                whose, kinds, shard, begin, end, words = [], [], [], [], [], []
+                for i, (x, given) in enumerate(zip(part.column("text"), part.column("starts"), strict=True)):
                     raw = x.as_py().encode()
                     hashes = word_hashes(raw)
                     if len(hashes) < window:
@@ -208,15 +216,21 @@ def _pieces(texts: _Texts, firsts: DataFrame, shared, shards: int, window: int)
                         later &= ~first
                     if not (given.is_valid or later.any()):
                         continue
-                    words, lead = raw.split(), anchors(hashes, window, LEAD)
-                    shard = (lead % np.uint64(shards)).astype(np.int64)
-                    for kind, flag, most in ((0, first, PASSAGE), (1, later, 1 << 40)):
-                        rows += [(int(shard[s]), kind, key, told, s, e - s, b" ".join(words[s : e + window - 1]).decode()) for s, e in _runs(flag, lead, most)]
-                if rows:
-                    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["shard", "kind", "key", "told", "start", "windows", "words"])
-
-    return texts.read_with(firsts, "starts", run, "shard long, kind int, key long, told long, start long, windows long, words string")
+                    lead, (_, left, right) = anchors(hashes, window, LEAD), word_bounds(raw)
+                    for kind, (s, e) in ((0, _cut(*_runs(first, lead), PASSAGE)), (1, _runs(later, lead))):
+                        whose.append(np.full(len(s), i))
+                        kinds.append(np.full(len(s), kind, np.int32))
+                        shard.append((lead[s] % np.uint64(shards)).astype(np.int64))
+                        begin.append(s)
+                        end.append(e)
+                        words += [raw[p:q] for p, q in zip(left[s].tolist(), right[e + window - 2].tolist(), strict=True)]
+                if words:
+                    whose, kinds, shard, begin, end = map(np.concatenate, (whose, kinds, shard, begin, end))
+                    yield pa.RecordBatch.from_arrays(
+                        [*map(pa.array, (shard, kinds, keys[whose], told[whose], begin, end - begin)), pa.array([len(w) for w in words], pa.int64()), pa.array(words, pa.binary())],
+                        ["shard", "kind", "key", "told", "start", "windows", "bytes", "words"])
+
+    return texts.read_with(firsts, "starts", run, "shard long, kind int, key long, told long, start long, windows long, bytes long, words binary")
 
 
 def _symbol(i: int) -> str:
@@ -226,22 +240,23 @@ def _symbol(i: int) -> str:
 class Passages:
     """An Aho-Corasick automaton over windows of words, each word one symbol."""
 
-    def __init__(self, passages: list[str], window: int = WINDOW) -> None:
-        self.symbols: dict[str, str] = {}
+    def __init__(self, passages: list[bytes], window: int = WINDOW) -> None:
+        self.symbols: dict[bytes, str] = {}
         self.window = window
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        add = self.automaton.add_word
         for p in passages:
-            told = "".join([self.symbols.get(w) or self.symbols.setdefault(w, _symbol(len(self.symbols))) for w in p.split(" ")])
+            told = "".join([self.symbols.get(w) or self.symbols.setdefault(w, _symbol(len(self.symbols))) for w in p.split()])
             for s in range(len(told) - window + 1):
-                self.automaton.add_word(told[s : s + window])
+                add(told[s : s + window])
         self.automaton.make_automaton()
 
-    def starts(self, words: str) -> list[int]:
-        """Where windows of the passages start in words with one space between."""
+    def starts(self, words: bytes) -> list[int]:
+        """Where windows of the passages start."""
         if not len(self.automaton):
             return []
         known, back = self.symbols.get, self.window - 1
-        return [end - back for end, _ in self.automaton.iter("".join([known(w, "\0") for w in words.split(" ")]))]
+        return [end - back for end, _ in self.automaton.iter("".join([known(w, "\0") for w in words.split()]))]
 
 
 def _locate(dealt: DataFrame, window: int) -> DataFrame:
@@ -250,25 +265,28 @@ def _locate(dealt: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, passages, automaton = None, [], None
         for b in batches:
-            rows: list[tuple] = []
-            for *now, kind, key, told, start, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if now != group:
-                    group, passages, automaton = now, [], None
+            now = np.stack([b.column(c).to_numpy() for c in ("shard", "salt", "part")])
+            new = np.concatenate([[True], (now[:, 1:] != now[:, :-1]).any(0)]).tolist() if b.num_rows else []
+            whose, begin, end = [], [], []
+            for i, (fresh, kind, words) in enumerate(zip(new, b.column("kind").to_pylist(), b.column("words").to_pylist(), strict=True)):
+                if fresh and (told := now[:, i].tolist()) != group:
+                    group, passages, automaton = told, [], None
                 if kind == 0:
                     passages.append(words)
                     continue
                 automaton = automaton or Passages(passages, window)
-                begin = end = -1
+                last = -1
                 for s in automaton.starts(words):
-                    if s > end:
-                        if end >= 0:
-                            rows.append((key, told, start + begin, start + end))
-                        begin = s
-                    end = s + window
-                if end >= 0:
-                    rows.append((key, told, start + begin, start + end))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "told", "begin", "end"])
+                    if s > last:
+                        whose.append(i)
+                        begin.append(s)
+                        end.append(s + window)
+                    else:
+                        end[-1] = s + window
+                    last = s + window
+            whose = np.array(whose, np.int64)
+            key, told, start = (b.column(c).to_numpy()[whose] for c in ("key", "told", "start"))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(told), pa.array(start + np.array(begin, np.int64)), pa.array(start + np.array(end, np.int64))], ["key", "told", "begin", "end"])
 
     return dealt.select("shard", "salt", "part", "kind", "key", "told", "start", "words").mapInArrow(small(run), "key long, told long, begin long, end long")
 
@@ -310,7 +328,7 @@ def located(texts: _Texts, window: int = WINDOW) -> DataFrame:
     known = F.col("kind") == 0
     load = materialise(pieces.groupBy("shard").agg(
         F.ceil(F.sum(F.when(known, F.col("windows"))) / SHARD).cast("int").alias("parts"),
-        F.greatest(F.lit(1), F.ceil(F.sum(F.when(~known, F.octet_length("words")).otherwise(0)) / SALT_BYTES)).cast("int").alias("salts"),
+        F.greatest(F.lit(1), F.ceil(F.sum(F.when(~known, F.col("bytes")).otherwise(0)) / SALT_BYTES)).cast("int").alias("salts"),
         F.max("kind").alias("any")).filter("parts > 0 AND any = 1").drop("any"))
     each = pieces.join(load, "shard")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -108,11 +108,11 @@ def test_automata_locate_every_occurrence(spark):
     assert sum(later.values()) > 5_000
 
 
-def test_passages_are_found_in_words_of_any_form():
-    words = [f"w{i}" for i in range(30)]
-    made = repeats.Passages([" ".join(words), " ".join(["the"] * 25)])
-    assert made.starts(" ".join(["x", *words, "y"])) == list(range(1, 12))
-    assert made.starts(" ".join(["the"] * 22)) == [0, 1, 2] and made.starts(" ".join(words[:19])) == []
+def test_passages_are_found_whatever_stands_between_words():
+    words = [f"w{i}".encode() for i in range(30)]
+    made = repeats.Passages([b" ".join(words), b"\n".join([b"the"] * 25)])
+    assert made.starts(b"\t".join([b"x", *words, b"y"])) == list(range(1, 12))
+    assert made.starts(b" ".join([b"the"] * 22)) == [0, 1, 2] and made.starts(b" ".join(words[:19])) == []
     assert repeats._symbol(0xD7FE) < "\ud800" and "\udfff" < repeats._symbol(0xD7FF) == "\ue000"
 
 
