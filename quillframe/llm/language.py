@@ -84,6 +84,38 @@ class Network:
             state = out[t] = state + z * (c - state)
         return out
 
+    def _states(self, x: np.ndarray, d: str) -> np.ndarray:
+        """What ``_read`` gives, for prediction: gates in place, half of their weights folded in, only positions that count."""
+        w, h, steps = self.w, HIDDEN, len(x)
+        half = np.concatenate([np.full(2 * h, 0.5), np.ones(h)]).astype(np.float32)
+        by_byte, rec = (w["embed"] @ w[f"{d}_in"] + w[f"{d}_bias"]) * half, w[f"{d}_rec"] * half
+        rec, cand = np.ascontiguousarray(rec[:, : 2 * h]), np.ascontiguousarray(rec[:, 2 * h :])
+        out = np.empty((steps - 2 * CONTEXT, x.shape[1], h), np.float32)
+        given, gates, c = (np.empty((x.shape[1], k * h), np.float32) for k in (3, 2, 1))
+        state = np.zeros((x.shape[1], h), np.float32)
+        for t in range(steps - CONTEXT) if d == "f" else range(steps - 1, CONTEXT - 1, -1):
+            np.take(by_byte, x[t], axis=0, out=given, mode="clip")
+            np.matmul(state, rec, out=gates)
+            gates += given[:, : 2 * h]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            np.matmul(gates[:, h:] * state, cand, out=c)
+            c += given[:, 2 * h :]
+            np.tanh(c, out=c)
+            c -= state
+            c *= gates[:, :h]
+            state = np.add(c, state, out=out[t - CONTEXT] if CONTEXT <= t < steps - CONTEXT else None)
+        return out
+
+    def log_probabilities(self, x: np.ndarray) -> np.ndarray:
+        """[language, time, window], of the positions that count; equal to what ``forward`` gives."""
+        both = [self._states(x, d).reshape(-1, HIDDEN) for d in "fb"]
+        score = sum(self.w["out"][k * HIDDEN : (k + 1) * HIDDEN].T @ both[k].T for k in (0, 1)) + self.w["out_bias"][:, None]
+        score -= score.max(0)
+        score -= np.log(np.exp(score).sum(0))
+        return score.reshape(len(score), -1, x.shape[1])
+
     def forward(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """Log probabilities, [time, window, language]."""
         saved = {d: [] if keep is not None else None for d in "fb"}
@@ -205,9 +237,9 @@ def pooled(net: Network, texts: list[str]) -> np.ndarray:
         x, size, row = (np.concatenate(c) for c in zip(*waiting, strict=True))
         for at in range(0, len(x), AT_ONCE):
             part = slice(at, at + AT_ONCE)
-            mask = counted(size[part])
-            logp = net.forward(x[part].T.astype(np.intp))
-            np.add.at(total, row[part], np.concatenate([(logp * mask[:, :, None]).sum(0), size[part, None]], axis=1))
+            logp = net.log_probabilities(x[part].T.astype(np.intp))
+            logp *= counted(size[part])[CONTEXT:-CONTEXT]
+            np.add.at(total, row[part], np.concatenate([logp.sum(1).T, size[part, None]], axis=1))
         waiting.clear()
 
     for i, t in enumerate(texts):
