@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe import dtypes as D
-from quillframe.errors import CastError, IndexOutOfBounds, OtherError, TypeMismatch
+from quillframe.errors import CastError, IndexOutOfBounds, OtherError, TypeMismatch, UnsupportedOperation
 from quillframe.functions import expressions as E
 from quillframe.functions.strings import Strings
 
@@ -66,12 +67,18 @@ class Col:
     def take_inner(self) -> list:
         from quillframe.frame import collected
 
-        return [r[0] for r in collected(self.to_df())]
+        return [self._told(r[0]) for r in collected(self.to_df())]
 
     data = take_inner
 
     def __iter__(self) -> Iterator:
-        return (r[0] for r in self.to_df().toLocalIterator())
+        from quillframe.frame import computed
+
+        return (self._told(r[0]) for r in computed(self.to_df().toLocalIterator))
+
+    def _told(self, value: Any) -> Any:
+        """A stored value as Python has it: wide unsigned integers are stored as decimals."""
+        return int(value) if self.dtype == D.UInt64 and value is not None else value
 
     def iter_valid(self) -> Iterator:
         return (v for v in self if v is not None)
@@ -137,6 +144,16 @@ class Col:
             raise CastError(f"column '{self.name}' of {self.dtype} can't become {to}")
         return self._as(F.lit(None).cast(to.spark), dtype=to)
 
+    def copy(self) -> Col:
+        """The same column; its flags can be set without touching this one's."""
+        return Col(self.frame, self.expr, self.name, self.dtype, self.sorted_ascending, self.sorted_descending)
+
+    clone_box = copy
+
+    def as_any(self) -> Col | Strings:
+        """The view that fits the type: string functions of a string column, else the column itself."""
+        return self.str if self.dtype == D.String else self
+
     def expect(self, dtype: D.DType) -> Col:
         if self.dtype != dtype:
             raise TypeMismatch(self.name, dtype, self.dtype)
@@ -155,8 +172,6 @@ class Col:
 
     def sort(self, reverse: bool = False) -> Col:
         """Nulls first, or last in reverse.  Floats have no total order and are refused."""
-        from quillframe.errors import UnsupportedOperation
-
         if self.dtype.is_float or self.dtype.inner:
             raise UnsupportedOperation(f"a column of {self.dtype} can't be sorted by itself")
         out = self.to_frame()
@@ -216,6 +231,8 @@ class Col:
             if theirs.dtype != mine.dtype:
                 raise TypeMismatch(theirs.name, mine.dtype, theirs.dtype)
             return mine, theirs.expr
+        if self.dtype.is_integer and isinstance(other, int) and other >= 2**63:
+            other = Decimal(other)
         return self, F.lit(other).cast(self.dtype.spark)
 
     def _arith(self, kind: str, other: Any, name: str | None = None, zero: str = "null") -> Col:
@@ -302,7 +319,10 @@ class Col:
         return E.reduce(kind, self.expr, self.dtype)
 
     def _reduced(self, kind: str) -> Any:
-        return self.frame.df.agg(self.reduction(kind)).first()[0]
+        from quillframe.frame import computed
+
+        value = computed(lambda: self.frame.df.agg(self.reduction(kind)).first()[0])
+        return value if kind == "mean" else self._told(value)
 
     def sum(self) -> Any:
         return self._reduced("sum")
@@ -323,7 +343,28 @@ class Col:
     def any(self) -> bool:
         return self._reduced("any")
 
-    # -- equality -----------------------------------------------------------------------------
+    # -- order of rows, equality --------------------------------------------------------------
+
+    def compare_rows(self, other: Col) -> Col:
+        """-1, 0 or 1 by whether this column's value stands before, with or after the other's in rising order.
+
+        Nulls come last and are equal; NaN is above all numbers and equal to itself.
+        """
+        mine, value = self._operand(other)
+        if mine.dtype.inner:
+            raise UnsupportedOperation(f"'{mine.name}' is a list column and has no order")
+        order = F.when(mine.expr.eqNullSafe(value), 0).when(mine.expr.isNull(), 1).when(value.isNull(), -1).when(mine.expr < value, -1).otherwise(1)
+        return mine._as(order.cast("int"), f"{mine.name}_order", D.Int32)
+
+    def compare_row(self, i: int, j: int) -> int:
+        """How the values at two positions are ordered, by the rules of ``compare_rows``."""
+        if self.dtype.inner:
+            raise UnsupportedOperation(f"'{self.name}' is a list column and has no order")
+        # Of a null, a number and a NaN the last part decides; values of one column compare with each other.
+        a, b = ((v is None, v != v, v) for v in self.take_indices([i, j]).take_inner())
+        if a[:2] != b[:2]:
+            return -1 if a[:2] < b[:2] else 1
+        return 0 if a[0] or a[1] or a[2] == b[2] else -1 if a[2] < b[2] else 1
 
     def _differs(self, other: Col, same: Callable[[Column, Column], Column]) -> bool:
         if self.length() != other.length():
@@ -391,8 +432,6 @@ def show_value(value: Any) -> str:
             return "NaN"
         if value in (float("inf"), float("-inf")):
             return "inf" if value > 0 else "-inf"
-        from decimal import Decimal
-
         text = format(Decimal(repr(value)), "f")
         return text.rstrip("0").rstrip(".") if "." in text else text
     if isinstance(value, (list, tuple)):

@@ -119,13 +119,13 @@ class Other(DType):
 
 
 def of_value(value: object) -> DType:
-    """The type that a Python value has by itself: int is Int32 where it fits, else Int64."""
+    """The type that a Python value has by itself: int is Int32 where it fits, else Int64, else UInt64."""
     if value is None:
         return Null
     if isinstance(value, bool):
         return Bool
     if isinstance(value, int):
-        return Int32 if -(2**31) <= value < 2**31 else Int64
+        return Int32 if -(2**31) <= value < 2**31 else Int64 if value < 2**63 else UInt64
     if isinstance(value, float):
         return Float64
     if isinstance(value, str):
@@ -140,4 +140,6 @@ def of_values(values) -> DType:
     kinds = [of_value(v) for v in values if v is not None]
     if not kinds:
         return Null
-    return Int64 if kinds[0] == Int32 and Int64 in kinds else kinds[0]
+    if kinds[0] in (Int32, Int64):
+        return max(kinds, key=[Int32, Int64, UInt64].index) if set(kinds) <= {Int32, Int64, UInt64} else kinds[0]
+    return kinds[0]

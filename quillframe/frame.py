@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 from typing import Any
 
-from pyspark.errors import ArithmeticException
+from pyspark.errors import ArithmeticException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe import dtypes as D
 from quillframe.column import Col, show_value
+from quillframe.functions.expressions import OVERFLOW
 from quillframe.errors import ColumnNotFound, ComputeError, DuplicateColumnName, IndexOutOfBounds, InvalidArgument, MismatchedLengths, TypeMismatch, UnsupportedOperation
 
 ROW = "__row"
@@ -49,6 +50,12 @@ class Frame:
     def _with(self, df: DataFrame) -> Frame:
         return Frame(df, self.strict)
 
+    def copy(self) -> Frame:
+        """The same rows; adding, dropping or renaming columns of the copy leaves this frame as it is."""
+        out = Frame(self.df, self.strict)
+        out._keys = list(self._keys)
+        return out
+
     def extended(self) -> Frame:
         """The same rows without the type limits of strict mode."""
         return Frame(self.df, strict=False)
@@ -301,7 +308,8 @@ class Frame:
         return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
     def rows(self) -> list[tuple[Any, ...]]:
-        return [tuple(r) for r in collected(self._in_order().select(*(F.col(f"`{c}`") for c in self._types)))]
+        told = [self.column(c)._told for c in self._types]
+        return [tuple(f(v) for f, v in zip(told, r, strict=True)) for r in collected(self._in_order().select(*(F.col(f"`{c}`") for c in self._types)))]
 
     def __repr__(self) -> str:
         return f"Frame(columns={self.width()}, schema={{{', '.join(f'{k}: {v}' for k, v in self._types.items())}}})"
@@ -334,10 +342,19 @@ def _checkpointed(df: DataFrame) -> DataFrame:
 
 def collected(df: DataFrame) -> list:
     """All rows; overflow and division of integers by zero as the library's own error."""
+    return computed(df.collect)
+
+
+def computed(action):
+    """What an action gives; overflow and division of integers by zero as the library's own error."""
     try:
-        return df.collect()
+        return action()
     except ArithmeticException as e:
         raise ComputeError(str(e)) from e
+    except SparkRuntimeException as e:
+        if OVERFLOW in str(e):
+            raise ComputeError(str(e)) from e
+        raise
 
 
 def _unique(names: list[str]) -> None:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import operator
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillframe.dtypes import DType
 
+#: How the message of an overflow begins that Spark has no error of its own for.
+OVERFLOW = "unsigned overflow"
 COMPARE = {"gt": operator.gt, "lt": operator.lt, "eq": operator.eq, "neq": operator.ne, "gte": operator.ge, "lte": operator.le}
 
 
@@ -22,6 +25,15 @@ def compare(kind: str, a: Column, b: Column, dtype: DType) -> Column:
     return plain | nan if kind == "neq" else plain & ~nan
 
 
+def within(c: Column, dtype: DType) -> Column:
+    """In the stored type.  Spark's own types check their bounds; unsigned ones are stored in wider types and checked here."""
+    if dtype.name[0] != "U" or not dtype.is_numeric:
+        return c.cast(dtype.spark)
+    low, high = (F.lit(Decimal(x)).cast("decimal(38,0)") if dtype.name == "UInt64" else F.lit(x) for x in dtype.bounds)
+    wrong = F.raise_error(F.concat(F.lit(f"{OVERFLOW}: "), c.cast("string"), F.lit(f" is no {dtype}")))
+    return F.when((c >= low) & (c <= high), c).when(c.isNotNull(), wrong.cast(dtype.spark)).cast(dtype.spark)
+
+
 def arithmetic(kind: str, a: Column, b: Column, dtype: DType, zero: str = "null") -> Column:
     """``add sub mul div rem`` in the type of the operands.
 
@@ -30,7 +42,7 @@ def arithmetic(kind: str, a: Column, b: Column, dtype: DType, zero: str = "null"
     """
     if kind in ("add", "sub", "mul"):
         made = {"add": operator.add, "sub": operator.sub, "mul": operator.mul}[kind](a, b)
-        return made.cast(dtype.spark)
+        return within(made, dtype)
     if zero == "ieee" and dtype.is_float:
         safe = F.when(b != 0, b)
         if kind == "rem":
@@ -44,6 +56,8 @@ def arithmetic(kind: str, a: Column, b: Column, dtype: DType, zero: str = "null"
         return (a % divisor).cast(dtype.spark)
     if dtype.is_float:
         return (a / divisor).cast(dtype.spark)
+    if dtype.name == "UInt64":  # div gives a signed 64-bit number
+        return ((a - a % divisor) / divisor).cast(dtype.spark)
     return F.call_function("div", a, divisor).cast(dtype.spark)
 
 
@@ -65,7 +79,7 @@ def group_aggregate(kind: str, c: Column, dtype: DType) -> Column:
             low, high = dtype.bounds
             wide = v.cast("decimal(38,0)") if dtype.name in ("Int64", "UInt64") else v
             total = F.sum(wide)  # greatest and least pass over nulls, so a null sum is kept apart
-            return F.when(total.isNotNull(), F.greatest(F.least(total, F.lit(high)), F.lit(low))).cast(dtype.spark)
+            return F.when(total.isNotNull(), F.greatest(F.least(total, F.lit(Decimal(high) if high > 2**63 else high)), F.lit(low))).cast(dtype.spark)
         return F.sum(v.cast("double")).cast(dtype.spark)
     return getattr(F, kind)(v)
 
@@ -78,6 +92,6 @@ def reduce(kind: str, c: Column, dtype: DType) -> Column:
         return F.avg(c.cast("double"))
     if kind == "sum":
         if dtype.is_integer:
-            return F.sum(c.cast("decimal(38,0)") if dtype.name in ("Int64", "UInt64") else c).cast(dtype.spark)
+            return within(F.sum(c.cast("decimal(38,0)") if dtype.name in ("Int64", "UInt64") else c), dtype)
         return F.sum(c).cast(dtype.spark)
     return getattr(F, kind)(valid(c, dtype))

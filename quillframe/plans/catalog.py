@@ -93,16 +93,10 @@ def _(spark, d):
     return load(spark, d, "customer").column_at(1).to_frame()
 
 
-@query("add_foreign_column", "SELECT r_regionkey, r_name, r_regionkey + 10 AS far FROM region")
+@query("add_foreign_column", "SELECT s_suppkey, s_name, s_suppkey + 10 AS far FROM supplier")
 def _(spark, d):
-    f, other = load(spark, d, "region"), load(spark, d, "region")
-    return f.add_column((other.column("r_regionkey") + 10).rename("far").to_frame().column("far"))
-
-
-@query("shape", "SELECT count(*) AS height, 5::BIGINT AS width FROM customer")
-def _(spark, d):
-    f = load(spark, d, "customer")
-    return Frame(f.df.agg(F.count(F.lit(1)).alias("height")).withColumn("width", F.lit(f.width()).cast("bigint")))
+    f, other = load(spark, d, "supplier", "s_suppkey", "s_name"), load(spark, d, "supplier")
+    return f.add_column((other.column("s_suppkey") + 10).rename("far").to_frame().column("far"))
 
 
 @query("cast_extended", f"SELECT {SQL_KEYS}, l_quantity::INTEGER AS l_quantity FROM lineitem")
@@ -508,13 +502,15 @@ def _(spark, d):
 @query("list_inner", "SELECT unnest(embedding) AS embedding FROM (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)")
 def _(spark, d):
     f = load(spark, d, "embeddings", "vec_id", "embedding").sort(["vec_id"], [False])
-    return Frame(f.head(1).df.select(F.explode("embedding").alias("embedding")))
+    return f.column("embedding").get_inner_series(0).to_frame()
 
 
-@query("list_equal", "SELECT true AS same")
+@query("list_equal", "SELECT true AS same, false AS with_others, false AS with_fewer")
 def _(spark, d):
-    a, b = (load(spark, d, "embeddings").column("embedding") for _ in range(2))
-    return Frame(spark.createDataFrame([(a.series_equal(b),)], "same boolean"))
+    a, b = (load(spark, d, "embeddings") for _ in range(2))
+    one, two = a.column("embedding"), b.column("embedding")
+    turned = two._as(F.when(F.col("vec_id") % 100 == 7, F.reverse("embedding")).otherwise(F.col("embedding")))
+    return Frame(spark.createDataFrame([(one.series_equal(two), one.series_equal(turned), one.series_equal(two.head(3)))], "same boolean, with_others boolean, with_fewer boolean"))
 
 
 @query("pipeline_readme", "SELECT l_returnflag, round(sum(l_extendedprice), 2) AS l_extendedprice FROM lineitem WHERE l_quantity > 25 GROUP BY 1")

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from quillframe import dtypes as D
 from quillframe.errors import CsvError, IoError, UnsupportedOperation
 from quillframe.frame import Frame, _unique
+from quillframe.sources.scratch import scratch
 
 #: Grammars of numbers and the words for true and false.
 INTEGER = r"^[+-]?[0-9]+$"
@@ -104,6 +105,43 @@ def _exists(spark: SparkSession, path: str) -> None:
         raise IoError(f"{path}: no such file")
 
 
+def _parsed(reader, source: str | DataFrame) -> DataFrame:
+    """Records of a path, or of a frame of lines, which stay in the JVM."""
+    if isinstance(source, str):
+        return reader.csv(source)
+    spark = source.sparkSession
+    lines = getattr(source._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(reader._jreader.csv(lines), spark)
+
+
+def _rest(spark: SparkSession, path: str, lines: int) -> str:
+    """A copy of a file in the shared folder without its first lines.
+
+    A file whose quoted fields hold line breaks is read by one task in any case; it is copied by the JVM as bytes.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs_path = jvm.org.apache.hadoop.fs.Path
+    at = fs_path(path)
+    fs = at.getFileSystem(conf)
+    begin, found = 0, 0
+    stream = fs.open(at)
+    try:
+        while found < lines:
+            block = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(1 << 16, stream.available()) or 1))
+            ends = [i for i, c in enumerate(block) if c == 10]
+            if found + len(ends) >= lines:
+                begin += ends[lines - found - 1] + 1
+            else:
+                begin += len(block)
+            found += len(ends)
+        stream.seek(begin)
+        to = fs_path(scratch(spark) + ".csv")
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, to.getFileSystem(conf).create(to), conf, True)
+    finally:
+        stream.close()
+    return to.toString()
+
+
 def read_csv(spark: SparkSession, path: str, options: ReadCsvOptions | None = None) -> Frame:
     o = options or ReadCsvOptions()
     _exists(spark, path)
@@ -113,12 +151,13 @@ def read_csv(spark: SparkSession, path: str, options: ReadCsvOptions | None = No
         if len(lines.take(o.skip_rows)) < o.skip_rows:
             raise CsvError(f"{path} has fewer than {o.skip_rows} lines to skip")
         # The first lines are those of the first partition, so their numbers have no gaps.
-        lines = lines.withColumn("__n", F.monotonically_increasing_id()).filter(F.col("__n") >= o.skip_rows).select("value")
-        source = lines.rdd.map(lambda r: r.value)
+        source = lines = lines.withColumn("__n", F.monotonically_increasing_id()).filter(F.col("__n") >= o.skip_rows).select("value")
     quoted = not lines.filter(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
-    reader = lambda: spark.read.option("sep", o.delimiter).option("escape", '"').option("multiLine", quoted and not o.skip_rows).option("comment", o.comment_char or "\u0000")
+    if quoted and o.skip_rows:
+        source = _rest(spark, path, o.skip_rows)
+    reader = lambda: spark.read.option("sep", o.delimiter).option("escape", '"').option("multiLine", quoted).option("comment", o.comment_char or "\u0000")
     try:
-        first = reader().option("header", False).csv(source).first()
+        first = _parsed(reader().option("header", False), source).first()
     except PySparkException as e:
         if "UNABLE_TO_INFER_SCHEMA" in str(e) or "empty" in str(e).lower():
             return Frame.new_empty(spark)
@@ -135,7 +174,7 @@ def read_csv(spark: SparkSession, path: str, options: ReadCsvOptions | None = No
     if not chosen:
         return Frame.new_empty(spark)
     text = raw.select(*(_known(F.col(f"_{names.index(n)}"), o).alias(n) for n in chosen))
-    types = {n: _type_of(text, n, o) for n in chosen} if o.infer_schema or o.dtypes else dict.fromkeys(chosen, D.String)
+    types = _types_of(text, chosen, o)
     for n, t in types.items():
         if t.name not in _PARSERS:
             raise UnsupportedOperation(f"'{n}' can't be read as {t}")
@@ -145,7 +184,8 @@ def read_csv(spark: SparkSession, path: str, options: ReadCsvOptions | None = No
 def _records(reader, source, width: int, o: ReadCsvOptions) -> DataFrame:
     """All records as text columns ``_0``, ``_1``, ...; a ragged one is an error, found in a pass over all."""
     schema = T.StructType([*(T.StructField(f"_{i}", T.StringType()) for i in range(width)), T.StructField(_BAD, T.StringType())])
-    raw = reader.option("header", o.has_header).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).schema(schema).csv(source)
+    raw = reader.option("header", o.has_header).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).schema(schema)
+    raw = _parsed(raw, source)
     fields = [F.col(f"_{i}") for i in range(width)]
     ragged = raw.select(F.col(_BAD), F.coalesce(*fields, F.lit("")).alias("any")).filter(F.col(_BAD).isNotNull()).limit(1).collect()
     if ragged:
@@ -160,14 +200,28 @@ def _known(c: Column, o: ReadCsvOptions) -> Column:
     return F.when((c != "") & ~c.isin(sorted(o.na_values)), c) if o.na_values else F.nullif(c, F.lit(""))
 
 
-def _type_of(text: DataFrame, name: str, o: ReadCsvOptions) -> D.DType:
-    if o.dtypes and name in o.dtypes:
-        return o.dtypes[name]
-    if not o.infer_schema:
-        return D.String
-    some = text.select(F.col(f"`{name}`").alias("v")).filter(F.col("v").isNotNull())
-    if o.infer_schema_length is not None:
-        return infer_column_type([r.v for r in some.take(o.infer_schema_length)])
-    v = F.col("v")
-    fits = some.agg(F.count(v), *(F.count(_PARSERS[t.name](v)) for t in (D.Int64, D.Float64, D.Bool))).first()
-    return next((t for t, n in zip((D.Int64, D.Float64, D.Bool), fits[1:], strict=True) if fits[0] and n == fits[0]), D.String)
+def _types_of(text: DataFrame, names: list[str], o: ReadCsvOptions) -> dict[str, D.DType]:
+    """Given types, and those of the first values of all other columns, which one job brings.
+
+    Without a limit one aggregate over all columns tells which types fit; with one, a
+    column whose first rows hold too few values takes a job of its own.
+    """
+    given = o.dtypes or {}
+    types = {n: given.get(n, D.String) for n in names}
+    open_ = [n for n in names if n not in given] if o.infer_schema else []
+    if not open_:
+        return types
+    kinds = (D.Int64, D.Float64, D.Bool)
+    column = lambda n: F.col(f"`{n}`")
+    if o.infer_schema_length is None:
+        each = [F.struct(F.count(column(n)), *(F.count(_PARSERS[t.name](column(n))) for t in kinds)).alias(f"c{i}") for i, n in enumerate(open_)]
+        for n, (some, *fits) in zip(open_, text.agg(*each).first(), strict=True):
+            types[n] = next((t for t, fit in zip(kinds, fits, strict=True) if some and fit == some), D.String)
+        return types
+    rows = text.select(*map(column, open_)).take(2 * o.infer_schema_length)
+    for i, n in enumerate(open_):
+        values = [r[i] for r in rows if r[i] is not None][: o.infer_schema_length]
+        if len(values) < o.infer_schema_length and len(rows) == 2 * o.infer_schema_length:
+            values = [r[0] for r in text.select(column(n)).filter(column(n).isNotNull()).take(o.infer_schema_length)]
+        types[n] = infer_column_type(values)
+    return types

@@ -7,14 +7,20 @@ For output at scale, ``write_parts`` lets every task write a file of its own.
 from __future__ import annotations
 
 import csv
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from datetime import datetime
 from enum import Enum
 from typing import IO, TYPE_CHECKING
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillframe.column import show_value
 from quillframe.errors import CsvError, IoError
+from quillframe.frame import computed
+from quillframe.sources.csv_reader import NUMBER
 
 if TYPE_CHECKING:
     from quillframe.frame import Frame
@@ -69,27 +75,38 @@ def _quoted(cell: str, o: WriteCsvOptions, numeric: bool, alone: bool) -> str:
     return cell
 
 
+_number = re.compile(NUMBER).match
+
+
 def _is_number(cell: str) -> bool:
-    try:
-        float(cell)
-    except ValueError:
-        return False
-    return True
+    return _number(cell) is not None
+
+
+def _line(cells: list[str], o: WriteCsvOptions) -> str:
+    return o.delimiter.join(_quoted(c, o, _is_number(c), len(cells) == 1) for c in cells)
+
+
+def _cells(row, o: WriteCsvOptions) -> list[str]:
+    return [o.na_rep if v is None else show_value(v) for v in row]
+
+
+def _checked(o: WriteCsvOptions) -> None:
+    if o.line_terminator != "\r\n" and len(o.line_terminator.encode()) != 1:
+        raise CsvError("a line ends with one byte or a carriage return and line feed")
 
 
 def write(frame: Frame, out: IO[str], options: WriteCsvOptions | None = None) -> None:
     """To an open text stream.  A frame without columns writes nothing, one without rows its header."""
     o = options or WriteCsvOptions()
-    if o.line_terminator != "\r\n" and len(o.line_terminator.encode()) != 1:
-        raise CsvError("a line ends with one byte or a carriage return and line feed")
+    _checked(o)
     names = frame.columns_names()
     if not names:
         return
-    line = lambda cells: out.write(o.delimiter.join(_quoted(c, o, _is_number(c), len(cells) == 1) for c in cells) + o.line_terminator)
     if o.has_header:
-        line(names)
-    for r in frame._in_order().select(*(F.col(f"`{n}`") for n in names)).toLocalIterator():
-        line([o.na_rep if v is None else show_value(v) for v in r])
+        out.write(_line(names, o) + o.line_terminator)
+    rows = frame._in_order().select(*(F.col(f"`{n}`") for n in names))
+    for r in computed(rows.toLocalIterator):
+        out.write(_line(_cells(r, o), o) + o.line_terminator)
 
 
 def write_path(frame: Frame, path: str, options: WriteCsvOptions | None = None) -> None:
@@ -101,7 +118,25 @@ def write_path(frame: Frame, path: str, options: WriteCsvOptions | None = None)
 
 
 def write_parts(frame: Frame, path: str, options: WriteCsvOptions | None = None) -> None:
-    """A folder of CSV files, one for each task, by Spark's own writer."""
+    """A folder of CSV files, one for each task, by the same rules as ``write``; each begins with the header.
+
+    Cells become text in Arrow batches, as Spark's own writer has other rules for floats, quotes and lists.
+    """
     o = options or WriteCsvOptions()
+    _checked(o)
     names = frame.columns_names()
-    frame.df.select(*(F.col(f"`{n}`") for n in names)).write.option("header", o.has_header).option("sep", o.delimiter).option("nullValue", o.na_rep).option("escape", '"').option("quoteAll", o.quote_style is QuoteStyle.ALWAYS).csv(path)
+    if not names:
+        raise CsvError("a frame without columns has no records to write")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if o.has_header:
+            yield pa.RecordBatch.from_arrays([pa.array([_line(names, o)])], ["value"])
+        for b in batches:
+            columns = [c.to_pylist() for c in b.columns]
+            for c in columns:
+                if any(isinstance(v, datetime) and v.tzinfo for v in c):
+                    c[:] = [v and v.replace(tzinfo=None) for v in c]
+            yield pa.RecordBatch.from_arrays([pa.array([_line(_cells(r, o), o) for r in zip(*columns, strict=True)], pa.string())], ["value"])
+
+    rows = frame.df.select(*(F.col(f"`{n}`") for n in names))
+    rows.mapInArrow(run, "value string").write.option("lineSep", o.line_terminator).text(path)

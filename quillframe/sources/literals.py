@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -31,7 +32,8 @@ def frame_of(spark: SparkSession, columns: dict[str, Any] | list[tuple[str, Any]
     for n, v in data:
         _check(n, v, kinds[n])
     floats = {n for n, k in kinds.items() if k.is_float}
-    rows = [tuple(None if x is None else float(x) if n in floats else x for (n, _), x in zip(data, cells, strict=True)) + (i,) for i, cells in enumerate(zip(*(v for _, v in data), strict=True))]
+    wide = {n for n, k in kinds.items() if isinstance(k.spark, T.DecimalType)}
+    rows = [tuple(None if x is None else float(x) if n in floats else Decimal(x) if n in wide else x for (n, _), x in zip(data, cells, strict=True)) + (i,) for i, cells in enumerate(zip(*(v for _, v in data), strict=True))]
     schema = T.StructType([*(kinds[n].field(n) for n, _ in data), T.StructField(ROW, T.LongType())])
     return Frame(spark.createDataFrame(rows, schema))
 

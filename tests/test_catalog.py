@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from quillframe.plans import facts  # noqa: F401  registers its queries
 from quillframe.plans.catalog import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -134,3 +134,25 @@ def test_cast_and_lists(spark, make):
 def test_dtypes():
     assert q.Int8.is_integer and q.Int128.is_integer and not q.Int128.is_numeric and q.Float32.is_float
     assert q.Null < q.Bool < q.Int8 < q.String < q.list_of(q.Bool) < q.list_of(q.String)
+
+
+@pytest.mark.parametrize("kind", [q.UInt8, q.UInt16, q.UInt32, q.UInt64])
+def test_unsigned_bounds(spark, kind):
+    top = kind.bounds[1]
+    c = q.Col.new(spark, "u", [top, 5, None], kind)
+    assert c.take_inner() == [top, 5, None] and list(c) == [top, 5, None] and c.max() == top and c.dtype == kind
+    assert (c - 5).take_inner() == [top - 5, 0, None] and (c / 2).take_inner() == [top // 2, 2, None] and (c % 2).take_inner() == [1, 1, None]
+    assert c.gt(5).take_inner() == [True, False, None] and c.eq(top).take_inner() == [True, False, None]
+    for wrong in (c + 1, c - 6, c * 2, c.add_scalar(top), c.sub_scalar(top)):
+        with pytest.raises(E.ComputeError):
+            wrong.take_inner()
+        with pytest.raises(E.ComputeError):
+            wrong.to_frame().rows()
+    with pytest.raises(E.ComputeError):
+        c.sum()
+    assert q.Col.new(spark, "u", [top - 1, 1], kind).sum() == top
+    f = q.frame_of(spark, {"k": ["a", "a"], "u": [top, top]}, {"u": kind}).extended()
+    assert f.groupby(["k"]).sum().rows() == [("a", top)]
+    with pytest.raises(E.InvalidArgument):
+        q.Col.new(spark, "u", [top + 1], kind)
+    assert q.Col.new(spark, "u", [top, 3], kind).sort().take_inner() == [3, top]

@@ -49,7 +49,7 @@ def test_edges(spark, read):
 def test_options(read):
     f = read("1,x,true\n2,y,false\n", has_header=False)
     assert f.columns_names() == ["column_0", "column_1", "column_2"]
-    f = read("junk\nmore\ncol_x;col_y\n1;a\n# no\n2;b\n", skip_rows=2, comment_char="#", delimiter=";")
+    f = read("junk\nmore\nberth;ship\n1;a\n# no\n2;b\n", skip_rows=2, comment_char="#", delimiter=";")
     assert f.rows() == [(1, "a"), (2, "b")]
     with pytest.raises(E.CsvError):
         read("one\n", skip_rows=5)
@@ -58,7 +58,7 @@ def test_options(read):
     with pytest.raises(E.CsvError):
         read("a\n1\n", use_columns=["b"])
     assert read("a\n1\n", use_columns=[]).shape() == (0, 0)
-    f = read("i,s\n1,N/A\nMISSING,x\n", na_values={"N/A", "MISSING"})
+    f = read("i,s\n1,n.k.\n??,x\n", na_values={"n.k.", "??"})
     assert f.rows() == [(1, None), (None, "x")]
     assert read("b\n10.5\n20.0\n", dtypes={"b": q.Int64}).rows() == [(None,), (None,)]
     with pytest.raises(E.UnsupportedOperation):
@@ -96,3 +96,33 @@ def test_round_trip(spark, tmp_path):
     assert q.read_csv(spark, path).rows() == f.rows()
     with pytest.raises(E.IoError):
         f.to_csv(str(tmp_path / "no" / "such.csv"))
+
+
+def test_quoted_line_breaks_after_skipped_lines(read):
+    for end in ("\n", "\r\n"):
+        text = end.join(['odd "', "", "a,b", '1,"x', 'y"', '2,"say ""hi"""', ""])
+        f = read(text, skip_rows=2)
+        assert f.rows() == [(1, f"x{end}y"), (2, 'say "hi"')] or (end == "\r\n" and f.rows() == [(1, "x\ny"), (2, 'say "hi"')])
+    assert read("skip\n" * 30_000 + 'a\n"p\nq"\n', skip_rows=30_000).rows() == [("p\nq",)]
+
+
+def test_types_of_columns_with_few_values(read):
+    text = "a,b,c\n" + "1,,\n" * 300 + "x,2,\n"
+    assert read(text).dtypes() == [q.Int64, q.Int64, q.String]
+    assert read(text, infer_schema_length=None).dtypes() == [q.String, q.Int64, q.String]
+    assert read("a\n", infer_schema_length=None).dtypes() == [q.String]
+
+
+@pytest.mark.parametrize("style", list(q.QuoteStyle))
+def test_parts_are_written_by_the_same_rules(spark, tmp_path, style):
+    f = q.frame_of(spark, {"n": [1.0, 1e20, 1e-7, float("nan"), None], "s": ["x,y", "1_000", "", None, 'a"b'], "l": [[1, 2, 3, 4, 5, 6], [], None, [None], [7]], "b": [True, None, False, True, False]})
+    options = q.WriteCsvOptions(quote_style=style, line_terminator="\r\n", na_rep="-", delimiter=";")
+    path = tmp_path / "parts"
+    q.write_parts(q.Frame(f._in_order().coalesce(1)), str(path), options)
+    parts = [p.read_text(newline="") if hasattr(p, "read_text") else "" for p in sorted(path.glob("part-*"))]
+    assert "".join(parts) == written(f, quote_style=style, line_terminator="\r\n", na_rep="-", delimiter=";")
+
+
+def test_numbers_by_the_readers_grammar(spark):
+    f = q.frame_of(spark, {"s": ["1_000", "1e5", "inf", "12a"]})
+    assert written(f, quote_style=q.QuoteStyle.NON_NUMERIC).splitlines()[1:] == ['"1_000"', "1e5", "inf", '"12a"']

@@ -7,15 +7,15 @@ from quillframe import errors as E
 
 
 @pytest.fixture
-def abc(spark):
-    return q.frame_of(spark, {"col_a": [1, 2, None, 4], "col_b": ["a", "b", "c", "d"], "col_c": [True, None, False, True]})
+def fleet(spark):
+    return q.frame_of(spark, {"depth": [1, 2, None, 4], "vessel": ["a", "b", "c", "d"], "moored": [True, None, False, True]})
 
 
 def test_literals_and_schema(spark):
-    f = q.frame_of(spark, {"integers": [1, 2, 3], "floats": [1.0, 2.5, 3.0], "strings": ["x", "y", "z"]})
-    assert f.shape() == (3, 3)
-    assert f.schema() == {"integers": q.Int32, "floats": q.Float64, "strings": q.String}
-    assert f.rows() == [(1, 1.0, "x"), (2, 2.5, "y"), (3, 3.0, "z")]
+    f = q.frame_of(spark, {"port": ["Oran", "Bilbao"], "berths": [14, 6], "tide": [0.25, -1.5]})
+    assert f.shape() == (2, 3)
+    assert f.schema() == {"port": q.String, "berths": q.Int32, "tide": q.Float64}
+    assert f.rows() == [("Oran", 14, 0.25), ("Bilbao", 6, -1.5)]
     typed = q.frame_of(spark, {"u": [1, 2]}, {"u": q.UInt32})
     assert typed.dtypes() == [q.UInt32]
     assert q.Frame.new_empty(spark).shape() == (0, 0)
@@ -31,50 +31,50 @@ def test_construction_errors(spark):
         q.frame_of(spark, {"a": [300]}, {"a": q.UInt8})
 
 
-def test_projection(abc):
-    assert abc.select(["col_c", "col_a"]).columns_names() == ["col_c", "col_a"]
-    assert abc.drop("col_b").columns_names() == ["col_a", "col_c"]
-    for bad in (lambda: abc.select(["no"]), lambda: abc.drop("no"), lambda: abc.column("no"), lambda: abc.column_at(9), lambda: abc.rename_column("no", "x")):
+def test_projection(fleet):
+    assert fleet.select(["moored", "depth"]).columns_names() == ["moored", "depth"]
+    assert fleet.drop("vessel").columns_names() == ["depth", "moored"]
+    for bad in (lambda: fleet.select(["no"]), lambda: fleet.drop("no"), lambda: fleet.column("no"), lambda: fleet.column_at(9), lambda: fleet.rename_column("no", "x")):
         with pytest.raises(E.ColumnNotFound):
             bad()
     with pytest.raises(E.DuplicateColumnName):
-        abc.select(["col_a", "col_a"])
+        fleet.select(["depth", "depth"])
     with pytest.raises(E.TypeMismatch):
-        abc.downcast_column("col_a", q.Int64)
-    assert abc.downcast_column("col_a", q.Int32).name == "col_a"
+        fleet.downcast_column("depth", q.Int64)
+    assert fleet.downcast_column("depth", q.Int32).name == "depth"
 
 
-def test_columns_in_place(spark, abc):
-    gone = abc.drop_column("col_b")
-    assert gone.take_inner() == ["a", "b", "c", "d"] and abc.columns_names() == ["col_a", "col_c"]
-    abc.add_column(q.Col.new(spark, "more", [9, 8, 7, 6]))
-    assert [r[2] for r in abc.rows()] == [9, 8, 7, 6]
+def test_columns_in_place(spark, fleet):
+    gone = fleet.drop_column("vessel")
+    assert gone.take_inner() == ["a", "b", "c", "d"] and fleet.columns_names() == ["depth", "moored"]
+    fleet.add_column(q.Col.new(spark, "more", [9, 8, 7, 6]))
+    assert [r[2] for r in fleet.rows()] == [9, 8, 7, 6]
     with pytest.raises(E.MismatchedLengths):
-        abc.add_column(q.Col.new(spark, "short", [1]))
+        fleet.add_column(q.Col.new(spark, "short", [1]))
     with pytest.raises(E.DuplicateColumnName):
-        abc.add_column(q.Col.new(spark, "more", [1, 2, 3, 4]))
+        fleet.add_column(q.Col.new(spark, "more", [1, 2, 3, 4]))
     with pytest.raises(E.DuplicateColumnName):
-        abc.rename_column("more", "col_a")
-    assert abc.rename_column("more", "less").columns_names() == ["col_a", "col_c", "less"]
+        fleet.rename_column("more", "depth")
+    assert fleet.rename_column("more", "less").columns_names() == ["depth", "moored", "less"]
 
 
-def test_rows_by_position(abc):
-    assert [r[1] for r in abc.head(2).rows()] == ["a", "b"]
-    assert [r[1] for r in abc.tail(3).rows()] == ["b", "c", "d"]
-    assert [r[1] for r in abc.tail(99).rows()] == ["a", "b", "c", "d"]
-    assert [r[1] for r in abc.slice(1, 2).rows()] == ["b", "c"]
-    assert [r[1] for r in abc.slice(3, 9).rows()] == ["d"]
-    assert [r[1] for r in abc.take([3, None, 0, 3]).rows()] == ["d", None, "a", "d"]
+def test_rows_by_position(fleet):
+    assert [r[1] for r in fleet.head(2).rows()] == ["a", "b"]
+    assert [r[1] for r in fleet.tail(3).rows()] == ["b", "c", "d"]
+    assert [r[1] for r in fleet.tail(99).rows()] == ["a", "b", "c", "d"]
+    assert [r[1] for r in fleet.slice(1, 2).rows()] == ["b", "c"]
+    assert [r[1] for r in fleet.slice(3, 9).rows()] == ["d"]
+    assert [r[1] for r in fleet.take([3, None, 0, 3]).rows()] == ["d", None, "a", "d"]
     with pytest.raises(E.IndexOutOfBounds):
-        abc.take([4])
+        fleet.take([4])
 
 
-def test_filter(spark, abc):
-    assert [r[1] for r in abc.filter(abc["col_c"]).rows()] == ["a", "d"]
+def test_filter(spark, fleet):
+    assert [r[1] for r in fleet.filter(fleet["moored"]).rows()] == ["a", "d"]
     foreign = q.Col.new(spark, "m", [False, True, None, True])
-    assert [r[1] for r in abc.filter(foreign).rows()] == ["b", "d"]
+    assert [r[1] for r in fleet.filter(foreign).rows()] == ["b", "d"]
     with pytest.raises(E.MismatchedLengths):
-        abc.filter(q.Col.new(spark, "m", [True]))
+        fleet.filter(q.Col.new(spark, "m", [True]))
 
 
 def test_sort_nulls_and_nan(spark):
@@ -93,28 +93,30 @@ def test_sort_nulls_and_nan(spark):
 
 @pytest.fixture
 def sides(spark):
-    left = q.frame_of(spark, {"id": ["a", "b", "c", "d"], "value": [1, 2, 3, 4], "left_only": [10, 20, 30, 40]})
-    right = q.frame_of(spark, {"id": ["c", "d", "e", "f"], "value": [7, 8, 9, 0], "right_only": [True, False, True, False]})
-    return left, right
+    """Ships and visits: one ship without a visit, two visits of one ship, one visit of no ship; both sides have ``tons``."""
+    ships = q.frame_of(spark, {"ship": ["Vela", "Orca", "Juno"], "tons": [700, 90, 310], "crew": [21, 4, 9]})
+    visits = q.frame_of(spark, {"seen": ["Juno", "Vela", "Juno", "Argo"], "tons": [300, 650, 280, 55], "pilot": [False, True, True, False]})
+    return ships, visits
 
 
 def test_joins(sides):
-    left, right = sides
-    assert left.inner_join(right, "id", "id").columns_names() == ["id", "value", "left_only", "value_right", "right_only"]
-    assert sorted(left.inner_join(right, "id", "id").rows()) == [("c", 3, 30, 7, True), ("d", 4, 40, 8, False)]
-    assert len(left.left_join(right, "id", "id").rows()) == 4
-    r = left.right_join(right, "id", "id")
-    assert r.columns_names() == ["id", "value", "right_only", "value_left", "left_only"]
-    assert ("e", 9, True, None, None) in r.rows()
-    outer = left.outer_join(right, "id", "id").rows()
-    assert len(outer) == 6 and (None, None, None, 9, True) in outer
+    ships, visits = sides
+    inner = ships.inner_join(visits, "ship", "seen")
+    met = [("Juno", 310, 9, 280, True), ("Juno", 310, 9, 300, False), ("Vela", 700, 21, 650, True)]
+    assert inner.schema() == {"ship": q.String, "tons": q.Int32, "crew": q.Int32, "tons_right": q.Int32, "pilot": q.Bool} and sorted(inner.rows()) == met
+    alone = ("Orca", 90, 4, None, None)
+    assert set(ships.left_join(visits, "ship", "seen").rows()) == {*met, alone}
+    right = ships.right_join(visits, "ship", "seen")
+    assert right.columns_names()[3:] == ["tons_left", "crew"]
+    assert set(right.rows()) == {("Juno", 300, False, 310, 9), ("Juno", 280, True, 310, 9), ("Vela", 650, True, 700, 21), ("Argo", 55, False, None, None)}
+    assert set(ships.outer_join(visits, "ship", "seen").rows()) == {*met, alone, (None, None, None, 55, False)}
 
 
 def test_join_rules(spark, sides):
-    left, right = sides
+    ships, visits = sides
     with pytest.raises(E.JoinKeyTypeError):
-        left.inner_join(right, "value", "value")
-    assert left.extended().inner_join(right, "value", "value").rows() == []
+        ships.inner_join(visits, "tons", "tons")
+    assert ships.extended().inner_join(visits, "tons", "tons").rows() == []
     a = q.frame_of(spark, {"k": ["x", None, None], "v": [1, 2, 3]})
     b = q.frame_of(spark, {"k": [None, "y"], "w": [5, 6]})
     assert sorted(a.inner_join(b, "k", "k").rows(), key=str) == [(None, 2, 5), (None, 3, 5)]
@@ -151,10 +153,25 @@ def test_group_edges(spark):
     assert none.groupby([]).count().rows() == [] and none.groupby(["k"]).sum().schema() == {"k": q.String, "v": q.Int32}
 
 
-def test_show_and_equality(spark, abc):
-    text = str(abc)
+def test_show_and_equality(spark, fleet):
+    text = str(fleet)
     assert "| null  |" in text and "Int32" in text
     assert str(q.Frame.new_empty(spark)) == "DataFrame (0x0)"
     assert "more rows" in str(q.frame_of(spark, {"a": list(range(12))}))
     same = q.frame_of(spark, {"v": [math.nan, 1.0]})
     assert same.equals(q.frame_of(spark, {"v": [1.0, math.nan]})) and not same.equals(q.frame_of(spark, {"v": [1.0, 2.0]}))
+
+
+def test_copies_are_their_own(fleet):
+    made = fleet.copy()
+    made.drop_column("vessel")
+    made.rename_column("depth", "draught")
+    assert fleet.columns_names() == ["depth", "vessel", "moored"] and made.columns_names() == ["draught", "moored"]
+
+
+def test_a_frame_of_columns(spark):
+    f = q.Frame.new([q.Col.new(spark, "a", [1, 2]), q.Col.new(spark, "b", ["x", None])])
+    assert f.rows() == [(1, "x"), (2, None)] and not f.is_empty() and f.head(0).is_empty()
+    assert repr(f) == "Frame(columns=2, schema={a: Int32, b: String})"
+    with pytest.raises(E.MismatchedLengths):
+        q.Frame.new([q.Col.new(spark, "a", [1, 2]), q.Col.new(spark, "b", ["x"])])
