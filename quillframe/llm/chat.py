@@ -13,8 +13,9 @@ exact.  Roles percent-encode ``%``, ``<`` and line feeds.
 
 Defined cases: a null text or role is empty; turns with equal numbers go by
 role and text; null turn numbers come first; rows with a null conv_id form one
-conversation; an empty table gives no rows.  A conversation has to fit one row,
-as the example of its last turn does.
+conversation; repeated rows are turns of their own; a very long text is written
+as a whole; an empty table gives no rows; other columns play no part.  A
+conversation has to fit one row, as the example of its last turn does.
 """
 
 from __future__ import annotations

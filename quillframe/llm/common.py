@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillframe.sources.scratch import scratch
+
 # Words are runs of bytes other than these six (space, \t, \n, \v, \f, \r).
 SPACES = b" \t\n\x0b\x0c\r"
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -33,19 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where the session has none (tests on one machine) a temporary folder is set once.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        set_by_api = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_by_api.isDefined():
-            root = set_by_api.get()
-        else:
-            root = "file://" + tempfile.mkdtemp(prefix="quillframe-")
-            spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/quillframe/{uuid.uuid4().hex}"
+    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    return scratch(spark)
 
 
 def materialise(df: DataFrame, *partition_by: str) -> DataFrame:

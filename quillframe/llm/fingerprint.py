@@ -8,19 +8,23 @@ distinct shingles.
 
 Defined cases: a null text is empty; two empty sketches resemble each other
 fully, and an empty one resembles no other; equal texts have equal
-fingerprints; a null doc_id comes last in descending order; rows with equal
-doc_ids follow each other by text; an empty table gives no rows.
+fingerprints; a very long text is hashed as a whole; a null doc_id comes last in
+descending order; rows with equal doc_ids follow each other by a hash of their
+texts, so many of them are dealt over many ranges (rows that repeat a doc_id
+and text share one); an empty table gives no rows; other columns than doc_id
+and text play no part.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import shingle_set, small, word_hashes
@@ -119,26 +123,38 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Each range ends with a guest, the row that follows it in the whole order
     (after the last row of all comes the first), so every row's successor is
-    the next one of its partition.  Only the ranges' ends, two numbers for each
-    partition, pass through the driver.
+    the next one of its partition.  Only the ranges' ends, a few numbers for
+    each partition, pass through the driver.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("key"))
-    cuts = sorted(set(keyed.select("key").approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    bounds = [int(c) for c in cuts]
-    bucket = F.lit(0)
-    if bounds:
-        limits = F.array(*map(F.lit, bounds))
-        bucket = F.size(F.filter(limits, lambda c: c < F.col("key")))
-    dealt = keyed.withColumn("bucket", bucket)
-    ends = dealt.groupBy("bucket").agg(F.max("key").alias("top")).orderBy("bucket").collect()
-    above = [(r.top, ends[(i + 1) % len(ends)].bucket) for i, r in enumerate(ends)]
-    guests = spark.createDataFrame(above, "key long, at int")  # one row for each range
-    # Of rows that share the key of a range's end, the smallest text is the guest; the sort below puts it first.
-    both = dealt.join(F.broadcast(guests), "key", "left").withColumn("to", F.explode(F.array_compact(F.array(
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("key"), F.xxhash64(text).alias("told"))
+    cuts = sorted(map(int, keyed.select("key").approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    # A key at which several ranges would end is split among them by the hash of the text.
+    limits = [(k, _LOWEST + (j + 1) * (1 << 64) // n - 1) for k, n in sorted(Counter(cuts).items()) for j in range(n)]
+    dealt = keyed.withColumn("bucket", _before(limits, F.col("key"), F.col("told")))
+    ends = dealt.groupBy("bucket").agg(F.max(F.struct("key", "told")).alias("top")).orderBy("bucket").collect()
+    above = [(r.top.key, r.top.told, ends[(i + 1) % len(ends)].bucket) for i, r in enumerate(ends)]
+    guests = spark.createDataFrame(above, "key long, told long, at int")  # one row for each range
+    both = dealt.join(F.broadcast(guests), ["key", "told"], "left").withColumn("to", F.explode(F.array_compact(F.array(
         F.struct("bucket", F.lit(0).alias("guest")), F.when(F.col("at").isNotNull(), F.struct(F.col("at").alias("bucket"), F.lit(1).alias("guest")))))))
-    return both.select("doc_id", "text", "key", "to.bucket", "to.guest").repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "guest", F.desc("key"), "text")
+    return both.select("doc_id", "text", "key", "told", "to.bucket", "to.guest").repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "guest", F.desc("key"), F.desc("told"))
+
+
+def _before(limits: list[tuple[int, int]], key: Column, told: Column) -> Column:
+    """How many of the sorted pairs are less than (key, told): a binary search, as an expression."""
+    steps = [1 << k for k in range(len(limits).bit_length())][::-1]
+    if not steps:
+        return F.lit(0)
+    full = limits + [(2**63 - 1, 2**63 - 1)] * (2 * steps[0] - 1 - len(limits))
+    keys, hashes = (F.array(*(F.lit(x[k]) for x in full)) for k in (0, 1))
+
+    def further(at: Column, step: Column) -> Column:
+        k, t = F.element_at(keys, at + step), F.element_at(hashes, at + step)
+        return F.when((k < key) | ((k == key) & (t < told)), at + step).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
 
 
 def edited(docs: DataFrame) -> DataFrame:

@@ -10,12 +10,15 @@ first, into the fullest open sequence that still takes it.  A plan is a list
 of runs: pieces ``rank`` to ``rank + count - 1`` of a length go to consecutive
 sequences, at one offset.
 
-Pieces are ranked within their length through salted buckets and prefix sums
-over them, so a length that a third of all pieces share is still dealt over
-many tasks.
+Every piece gets a number when it is stored.  Pieces are ranked within their
+length through buckets of these numbers, as many as the length needs for
+``BUCKET`` pieces in each, and prefix sums over them.  So a length that most
+pieces share is dealt over many tasks, whatever their texts.
 
 Defined cases: a null text is the end token alone; repeated rows are packed as
-rows of their own; an empty table gives no rows.
+rows of their own; a very long text is cut into as many pieces as it needs;
+pieces of equal length may change places; an empty table gives no rows; other
+columns than doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +37,13 @@ from quillframe.llm.bpe import encoder_of, merges_by_rank, read_spec
 from quillframe.llm.common import materialise, small
 
 CAPACITY = 2048
-SALTS = 256
+BUCKET = 100_000
 
 
 def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
-    """Pieces of every document's ids and end token: doc_id, piece, start, length, ids_crc32.
+    """Pieces of every document's ids and end token: doc_id, piece, start, length, ids_crc32, and a number of their own.
 
-    Only a document longer than ``capacity`` is cut; its first piece takes the remainder.
+    The numbers are fixed once the pieces are stored.  Only a document longer than ``capacity`` is cut; its first piece takes the remainder.
     """
     text = read_spec(tokenizer_path)
     spec = docs.sparkSession.sparkContext.broadcast((text, merges_by_rank(text)))
@@ -47,6 +51,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder_of(*spec.value)
+        next_ = TaskContext.get().partitionId() << 40
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for k, x in enumerate(b.column("text")):
@@ -61,10 +66,11 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int
                     length.append(size)
                     crc.append(zlib.crc32(memoryview(ids)[4 * at : 4 * (at + size)]))
                     at, number = at + size, number + 1
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(np.arange(next_, next_ + len(row)))], ["doc_id", "piece", "start", "length", "ids_crc32", "number"])
+            next_ += len(row)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(small(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(small(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, number long")
 
 
 class Plan:
@@ -184,18 +190,19 @@ def plan(counts: np.ndarray) -> Plan:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Give every piece its sequence_id and offset.  ``pieces`` is read twice; give a stored table."""
     spark = pieces.sparkSession
-    keyed = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    per = keyed.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     histogram = np.zeros(capacity + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # at most `capacity` rows
         histogram[length] = n
     made = plan(histogram)
+    salts = spark.createDataFrame([(int(k), int(-(-histogram[k] // BUCKET))) for k in np.flatnonzero(histogram)], "length long, salts int")  # at most `capacity` rows
+    keyed = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("number"), F.col("salts")).cast("int"))
+    per = keyed.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     runs: dict[int, list[tuple[int, int, int, int]]] = {}
     for length, rank, count, first, offset in made.runs:
         runs.setdefault(length, []).append((rank, count, first, offset))
     shared = spark.sparkContext.broadcast({k: np.array(sorted(v), np.int64) for k, v in runs.items()})  # bounded by the lengths there can be
     before = per.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "salt", F.coalesce("before", F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("number")) - 1
     ranked = keyed.withColumn("within", within).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within")).drop("salt", "within", "before")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

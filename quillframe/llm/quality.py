@@ -8,7 +8,10 @@ are.  The posterior of a pattern is then the probability that its documents are
 good, and decides in place of an all-must-pass chain of filters.
 
 Defined cases: a null text has no words; an empty or wordless text fails the
-base rule; repeated rows are judged alike; an empty table gives no rows.
+base rule; a very long text is measured as a whole; equal vote patterns have one
+posterior, and one of just the threshold is kept; repeated rows are judged alike
+and count as often as they occur; a null doc_id plays no part in the verdict; an
+empty table gives no rows; columns of ``docs`` may have any name.
 """
 
 from __future__ import annotations
@@ -102,9 +105,9 @@ def fit(patterns: np.ndarray, n: np.ndarray, rounds: int = 200, prior: float = 0
 
     Starts from rules that are right ``accuracy`` of the time.  Returns each
     pattern's posterior of being good, the vote probabilities
-    [good or bad, rule, vote + 1], and the share of good documents.  A weak
-    prior of one document per cell, in the sense of the start, keeps estimates
-    defined and the two classes from changing places.
+    [good or bad, rule, vote + 1], and the share of good documents.  A prior
+    of 0.5 % of all documents per cell (three at least), in the sense of the
+    start, keeps estimates defined and the two classes from changing places.
     """
     k = patterns.shape[1]
     start = np.empty((2, k, 3))

@@ -8,8 +8,12 @@ shard is the start of its slot there plus its rank within the slot, so no task
 sees more than one slot's rows of four small numbers.
 
 Defined cases: a null text has 0 bytes and the checksum of no bytes; a null
-doc_id hashes to one fixed slot; repeated rows are records of their own, in the
-same slot; an empty table gives no rows.
+doc_id is hashed like any other value, together with the text's size and
+checksum, so many rows without one (or with the same) go to many slots; rows
+that repeat a doc_id and text are records of their own, in the same slot; a very
+long text weighs what it has bytes, and its shard gets less of others; records
+that tie within a slot take its places in either order; an empty table gives no
+rows; other columns than doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import materialise, scratch_dir
@@ -98,9 +102,9 @@ def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema(MAP_SCHEMA).parquet(path).filter(F.col("version") == version)
 
 
-def virtual_slot(slots: int = SLOTS):
-    """The slot of a record: a hash of its doc_id alone."""
-    return F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int")
+def virtual_slot(slots: int = SLOTS) -> Column:
+    """The slot of a record: a hash of its doc_id, size and checksum, which no other record has a part in."""
+    return F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(slots)).cast("int")
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
@@ -111,8 +115,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_p
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), virtual_slot(slots).alias("virtual_slot"))
-    sized = materialise(sized)
+    sized = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    sized = materialise(sized.withColumn("virtual_slot", virtual_slot(slots)))
     per_slot = sized.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
     weight, rows = np.zeros(slots), np.zeros(slots, np.int64)
     for r in per_slot:

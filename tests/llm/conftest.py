@@ -17,6 +17,8 @@ ROWS = [
     (10, "a<|endoftext|>b  c\n\n d <|im_end|>", "en", None, 3),
     (11, "1234 5678 !!! ???", "en", "d", 3),
     (None, "no id here at all", "en", "d", 3),
+    (None, f"Nor here, {SHARED} but other words.", "en", "d", 3),
+    (6, "Eine zweite Zeile mit derselben Nummer.", "de", "d", 3),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, key long"
 

@@ -189,3 +189,12 @@ def test_packing_edges(docs, no_docs):
     sequences(rows)
     assert packing.pack_documents(no_docs, PATH).collect() == []
     assert json.loads(bpe.read_spec(PATH))["model"]["type"] == "BPE"
+
+
+def test_a_length_that_most_pieces_share_is_dealt_over_buckets(spark, monkeypatch):
+    """Equal rows, all of one length: ranks within small buckets still give every piece a place of its own."""
+    monkeypatch.setattr(packing, "BUCKET", 10)
+    rows = [(1, "the same words in every row")] * 300 + [(i, "more " * (i % 5)) for i in range(100)]
+    packed = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), PATH).collect()
+    held = sequences(packed)
+    assert len(packed) == 400 and len(held) <= -(-sum(r.length for r in packed) // 2048) + 1

@@ -1,3 +1,4 @@
+import zlib
 import hashlib
 
 import duckdb
@@ -58,14 +59,42 @@ def check_shards(rows, shards=16):
 def test_sharding(spark, sf, table, docs, no_docs):
     rows = catalog.op10_sharding(spark, sf).collect()
     assert len(rows) == len(table) and {r.doc_id: r["size"] for r in rows} == {i: len(t.encode()) + 1 for i, t, _ in table}
+    assert {r.doc_id: r.text_crc32 for r in rows} == {i: zlib.crc32(t.encode()) for i, t, _ in table}
     load = check_shards(rows)
     assert load.max() - load.min() <= 0.02 * load.mean()
     odd = sharding.shard_documents(docs).collect()
     check_shards(odd)
-    assert len(odd) == 13 and next(r for r in odd if r.doc_id == 3)["size"] == 1
+    assert len(odd) == docs.count() and next(r for r in odd if r.doc_id == 3)["size"] == 1
     assert sharding.shard_documents(no_docs).collect() == []
 
 
+def test_a_hot_doc_id_is_dealt_over_slots(spark):
+    rows = [(None if i % 2 else 5, f"text {i} " * (i % 7)) for i in range(4000)]
+    placed = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    load = check_shards(placed)
+    assert len({r.virtual_slot for r in placed}) > 1500 and load.max() - load.min() <= 0.02 * load.mean()
+
+
+def test_growing_moves_slots_to_the_new_shard_alone(spark, sf, tmp_path):
+    """An edit of the stored map: records of slots that it doesn't name stay where they are."""
+    path = f"file://{tmp_path}/map"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    placed = sharding.shard_documents(docs, map_path=path).collect()
+    used = placed[0].map_version
+    weight = np.zeros(sharding.SLOTS)
+    for r in placed:
+        weight[r.virtual_slot] += r["size"]
+    shard = np.zeros(sharding.SLOTS, np.int64)
+    for r in sharding.load_map(spark, path, used).collect():
+        shard[r.virtual_slot] = r.shard
+    more = sharding.SlotMap(shard, 16, used).grown(weight)
+    more.save(spark, path, np.zeros(sharding.SLOTS, np.int64))
+    now = {r.virtual_slot: r.shard for r in sharding.load_map(spark, path, used + 1).collect()}
+    moved = [r for r in placed if now[r.virtual_slot] != r.shard]
+    assert moved and {now[r.virtual_slot] for r in moved} == {16}
+    assert sum(r["size"] for r in moved) == pytest.approx(weight.sum() / 17, rel=0.1)
+
+
 @given(st.lists(st.integers(0, 1000), min_size=16, max_size=200))
 @settings(max_examples=60, deadline=None)
 def test_slot_map_edits(weights):

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quillframe.llm import catalog, fingerprint, hmm, language, near_dup, quality, repeats
 
+from conftest import ROWS
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -47,11 +49,40 @@ def test_quality(spark, sf, table, docs, no_docs):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     judged = [(labels[i], rows[i].kept) for i in labels if not rows[i].base_failed]
     assert sum(bool(a) == b for a, b in judged) >= 0.97 * len(judged)
+    check_posteriors(list(rows.values()))
     odd = quality.judge(docs).collect()
-    assert len(odd) == 13 and all(r.base_failed and not r.kept for r in odd if r.doc_id in (3, 4, 5, 9))
+    assert len(odd) == len(ROWS) and all(r.base_failed and not r.kept for r in odd if r.doc_id in (3, 4, 5, 9))
     assert quality.judge(no_docs).collect() == []
     kept = quality.keep_good(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} <= {1, 2, 7, 8}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} <= {1, 2, 7, 8, None}
+
+
+def check_posteriors(rows):
+    """quality and kept, by expectation-maximisation over documents one at a time, from their votes."""
+    votes = [c for c in rows[0].asDict() if c.startswith("vote_")]
+    judged = [r for r in rows if not r.base_failed]
+    table = {c: {v: {1: (0.8, 0.5, 0.2)[1 - v] / 1.5, 0: (0.2, 0.5, 0.8)[1 - v] / 1.5} for v in (1, 0, -1)} for c in votes}
+    share, strength, before = 0.7, max(3.0, 0.005 * len(judged)), None
+    start = {c: {v: dict(table[c][v]) for v in table[c]} for c in votes}
+    for _ in range(200):
+        post = []
+        for r in judged:
+            good, bad = share * math.prod(table[c][r[c]][1] for c in votes), (1 - share) * math.prod(table[c][r[c]][0] for c in votes)
+            post.append(good / (good + bad))
+        done = before is not None and max(abs(a - b) for a, b in zip(post, before, strict=True)) < 1e-9
+        before = post
+        for k in (1, 0):
+            weight = [p if k else 1 - p for p in post]
+            for c in votes:
+                cell = {v: strength * start[c][v][k] + sum(w for w, r in zip(weight, judged, strict=True) if r[c] == v) for v in (1, 0, -1)}
+                for v in cell:
+                    table[c][v][k] = cell[v] / sum(cell.values())
+        share = min(0.98, max(0.02, (sum(post) + 14) / (len(judged) + 20)))
+        if done:
+            break
+    for r, p in zip(judged, post, strict=True):
+        assert r.quality == pytest.approx(p, abs=1e-6) and r.kept == (p >= 0.5)
+    assert all(r.quality is None and not r.kept for r in rows if r.base_failed)
 
 
 def test_em_finds_accuracies():
@@ -222,7 +253,7 @@ def test_score_by_brute_force(spark, sf, table, monkeypatch):
 
 def test_language_model_edges(spark, docs, no_docs):
     rows = hmm.score(docs).collect()
-    assert len(rows) == 13 and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
+    assert len(rows) == len(ROWS) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
     assert {r.n_tokens for r in rows if r.doc_id in (3, 4, 5)} == {1} and {r.held_out for r in rows if r.doc_id is None} == {False}
     assert hmm.score(no_docs).collect() == []
     untold = spark.createDataFrame([(i, "a b c") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
@@ -266,6 +297,32 @@ def test_fingerprints(spark, sf, table):
         assert by_text.setdefault(t, rows[i].fingerprint) == rows[i].fingerprint
 
 
+def test_fingerprints_where_ids_are_null_or_equal(spark):
+    """Every row's next one, in descending order of doc_id and then of a hash of the text."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, None if i == 5 else " ".join(f"t{i}-{k}" for k in range(i))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for parts in ("1", "3", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found = sorted((r.doc_id or 0, r.n_chars, r.edited_sha256) for r in fingerprint.edited(docs).collect())
+        dealt = fingerprint.with_next(docs).filter("guest = 0").groupBy("bucket").count().collect()
+        assert len(dealt) == int(parts) and max(r["count"] for r in dealt) <= 2.5 * len(rows) / len(dealt)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    down = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).orderBy(F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text"))).collect()
+    expected = []
+    for a, b in zip(down, [*down[1:], down[0]], strict=True):
+        n = len(a.text)
+        expected.append((a.doc_id or 0, n, hashlib.sha256((a.text[: n - n // 3] + b.text[: n // 3]).encode()).hexdigest()))
+    assert found == sorted(expected)
+
+
+def test_binary_search_counts_lesser_pairs(spark):
+    for n in (0, 1, 2, 3, 5, 8, 33):
+        limits = sorted((i // 3, i * 7 % 5) for i in range(n))
+        rows = spark.range(400).select((F.col("id") % 20 - 3).alias("k"), (F.col("id") % 9 - 2).alias("t")).distinct()
+        for r in rows.withColumn("b", fingerprint._before(limits, F.col("k"), F.col("t"))).collect():
+            assert r.b == sum(x < (r.k, r.t) for x in limits)
+
+
 def test_sketches(spark, docs, no_docs):
     a, b = (" ".join(f"w{i}" for i in range(s, s + 3000)) for s in (0, 1000))
     x, y, both = fingerprint.sketch(a), fingerprint.sketch(b), fingerprint.sketch(a + " " + b)
@@ -275,7 +332,7 @@ def test_sketches(spark, docs, no_docs):
     empty = fingerprint.sketch("")
     assert fingerprint.resemblance(empty, empty) == 1 and fingerprint.resemblance(empty, x) == 0
     rows = fingerprint.edited(docs).collect()
-    assert len(rows) == 13
+    assert len(rows) == len(ROWS)
     assert fingerprint.edited(no_docs).collect() == []
     merged = {r.source: r.fingerprint for r in fingerprint.merged(fingerprint.fingerprints(docs).join(docs.select("doc_id", "source"), "doc_id"), "source").collect()}
     c = [r.text for r in docs.filter("source = 'c'").collect()]
@@ -390,12 +447,13 @@ def test_near_duplicates_among_hubs_that_are_none(spark):
 
 def test_near_duplicate_edges(docs, no_docs):
     rows = near_dup.deduplicate(docs).collect()
-    assert len(rows) == 13
+    assert len(rows) == len(ROWS)
     of = {r.doc_id: r.class_id for r in rows}
     assert of[3] == of[4] == of[5] == 3 and of[7] == 1
+    assert sorted(r.kept for r in rows if r.doc_id in (6, None)) == [True] * 4
     assert near_dup.deduplicate(no_docs).collect() == []
     kept = near_dup.keep_one(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id or 99 for r in kept.collect()) == [1, 2, 3, 6, 8, 9, 10, 11, 99]
+    assert kept.columns == docs.columns and sorted(r.doc_id or 99 for r in kept.collect()) == [1, 2, 3, 6, 6, 8, 9, 10, 11, 99, 99]
 
 
 def test_one_of_each_class_stays_where_ids_are_null_or_equal(spark):
@@ -445,6 +503,38 @@ def test_training_reads_whole_texts(spark):
     assert sum(r.lang_pred == rows[r.doc_id][2] for r in found if r.held_out) >= 0.95 * sum(r.held_out for r in found)
 
 
+def test_predictions_by_one_step_at_a_time(spark, sf):
+    """lang_pred and score of whole texts, with the recurrence written out for one window and one byte at a time."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    net = language.fit(docs.filter(language.training_row()))
+    w, h = {k: v.astype(np.float64) for k, v in net.w.items()}, language.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(window, d):
+        state, out = np.zeros(h), []
+        for b in window if d == "f" else window[::-1]:
+            given = w["embed"][b] @ w[f"{d}_in"] + w[f"{d}_bias"]
+            z, r = np.split(sigmoid(given[: 2 * h] + state @ w[f"{d}_rec"][:, : 2 * h]), 2)
+            state = state + z * (np.tanh(given[2 * h :] + (r * state) @ w[f"{d}_rec"][:, 2 * h :]) - state)
+            out.append(state)
+        return out if d == "f" else out[::-1]
+
+    few = docs.filter("length(text) < 900").limit(12)
+    found = {(r.doc_id, r.text): r for r in language.predict(few, net).collect()}
+    assert len(found) > 5
+    for (_, text), r in found.items():
+        raw, total = [256] * 8 + list(text.encode()) + [257] * 200, np.zeros(len(net.languages))
+        n = len(text.encode())
+        for at in range(0, n, 112):
+            window = raw[at : at + 128]
+            both = np.concatenate([states(window, "f"), states(window, "b")], axis=1)[8 : 8 + min(112, n - at)]
+            logit = both @ w["out"] + w["out_bias"]
+            total += (logit - np.log(np.exp(logit).sum(1, keepdims=True))).sum(0)
+        p = np.exp((total - total.max()) / np.sqrt(n))
+        p /= p.sum()
+        assert r.lang_pred == net.languages[int(p.argmax())] and r.score == pytest.approx(p.max(), abs=1e-3)
+
+
 def test_windows_cover_a_text_once_with_context():
     for n in (0, 1, 111, 112, 113, 500):
         text = bytes(np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8))
