@@ -325,9 +325,9 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = materialise(candidate_pairs(nodes))
     in_pairs = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     shingles = materialise(shingles_of(docs, nodes.join(in_pairs, "node").select("node", "best.doc_id", "best.told")))
-    # The hub that a node shares most bands with, stored as ties may be settled either way.
+    # The hub that a node shares most bands with; of several the largest number, so that nodes agree. Numbers stay below 2 ** 56.
     both = pairs.select(F.col("a").alias("node"), F.col("b").alias("hub"), "shared").union(pairs.select("b", "a", "shared"))
-    near = both.groupBy("node").agg(F.max_by("hub", "shared").alias("hub"))
+    near = both.groupBy("node").agg(F.max(F.shiftleft("shared", 56).bitwiseOR(F.col("hub"))).alias("hub")).withColumn("hub", F.col("hub").bitwiseAND((1 << 56) - 1))
     best = materialise(near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
     first = materialise(verified(best, shingles))
     labels = components(first)
