@@ -46,11 +46,11 @@ from pyspark.sql import functions as F
 from quillframe.llm.common import materialise, small
 
 FREQUENT, SYMBOLS = 150_000, 30_000
-STATES, PASSES, LEAST_GAIN = 8, 5, 0.02
+STATES, PASSES, LEAST_GAIN = 8, 4, 0.02
 #: Words seen less often have no symbol of their own, so that classes tell how likely words are that were never seen;
 #: tokens that are added to each symbol, dealt over states as all tokens are.
 LEAST_SEEN, SMOOTH = 3, 0.5
-STRETCH = 1024
+STRETCH = 1 << 15
 END = b"\n"  # no word holds a line feed
 #: Classes of words without a symbol of their own, by form.
 CLASSES = 8
@@ -193,10 +193,11 @@ def _transfers(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, n
         now, scale = np.broadcast_to(np.eye(s), (len(group), s, s)).copy(), np.zeros(len(group))
         for t in range(1, len(x)):
             n = rows[t]
-            step = (now[:n].reshape(-1, s) @ model.move).reshape(n, s, s) * model.emit[x[t, :n]][:, None, :]
-            total = step.sum((1, 2))
-            now[:n] = step / total[:, None, None]
-            scale[:n] += np.log10(total)
+            now[:n] = (now[:n].reshape(-1, s) @ model.move).reshape(n, s, s) * model.emit[x[t, :n]][:, None, :]
+            if t % 8 == 0 or t == len(x) - 1:  # the ends of shorter ones are scaled by the next step that is
+                total = now.sum((1, 2))
+                now /= total[:, None, None]
+                scale += np.log10(total)
         for row, i in enumerate(order):
             out[group[i]], log[group[i]] = now[row], scale[row]
     return out, log
