@@ -76,9 +76,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_language_id": op9_language_id,
         "op10_sharding": op10_sharding,
+        **_parts().QUERIES,
     }
 
 
+def _parts():
+    from quillframe.llm import parts
+
+    return parts
+
+
 _CHAT_SQL = r"""
 WITH rows AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -133,4 +140,4 @@ SELECT a AS doc_id, min(b) AS class_id, a = min(b) AS kept FROM reached GROUP BY
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _REPEATS_SQL, "op6_minhash_near_dedup": _NEAR_SQL, "op7_chat_formatting": _CHAT_SQL}
+    return {"op3_substring_dedup": _REPEATS_SQL, "op6_minhash_near_dedup": _NEAR_SQL, "op7_chat_formatting": _CHAT_SQL, **_parts().ORACLE}
