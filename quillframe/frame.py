@@ -223,7 +223,7 @@ class Frame:
         return rows._with(rows.df.orderBy(F.desc(ROW)).limit(n).orderBy(ROW))
 
     def slice(self, offset: int, length: int) -> Frame:
-        """``length`` rows from ``offset`` on, as far as there are any."""
+        """``length`` rows from ``offset`` on, as far as there are any.  They end in one task: for pages, not for shares of a table."""
         if self._keys:
             return self._with(self.df.offset(offset).limit(length))
         rows = self.with_rows()
