@@ -26,3 +26,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return labels.select("node", "label")
         labels = labels.select("node", "label")
     raise RuntimeError("components did not settle")
+
+
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after further ``edges`` (a, b): the components of components.
+
+    However many edges lead from one component to another, they count once.
+    """
+    of = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}"))
+    told = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    top = components(materialise(told.filter("a != b").distinct()))
+    every = labels.unionByName(top.select("node", F.col("node").alias("label"))).distinct()
+    up = top.select(F.col("node").alias("label"), F.col("label").alias("above"))
+    return materialise(every.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label")))

@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 
 from quillframe.llm.bitmap import bitmap, maybe_in
 from quillframe.llm.common import fmix, gram_hashes, materialise, small, unwrap, word_hashes, wrap
-from quillframe.llm.components import components
+from quillframe.llm.components import components, joined
 
 COORDINATES, BANDS = 128, 32
 SIMILARITY = 0.8
@@ -334,13 +334,12 @@ def classes(docs: DataFrame) -> DataFrame:
     of = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
     second = materialise(verified(apart.join(best, ["a", "b"], "left_anti"), shingles))
-    edges = first.union(second)
     if not second.isEmpty():
-        labels = components(edges)
+        labels = joined(labels, second)
     sets = materialise(shingles.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "shingles"))
     third = materialise(verified(materialise(missed_pairs(sets)), shingles))
     if not third.isEmpty():
-        labels = components(edges.union(third))
+        labels = joined(labels, third)
     labelled = materialise(nodes.select("n1", "n2", "node", "best").join(labels, "node", "left").select("n1", "n2", "best", F.coalesce("label", "node").alias("label")))
     # Stored, so that the join below reads plain exchanges and a class of any size can be split.
     least = materialise(labelled.groupBy("label").agg(F.min("best").alias("best")))

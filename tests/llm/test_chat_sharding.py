@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from quillframe.llm import catalog, chat, sharding
 from quillframe.llm.bitmap import Bitmap, bitmap
-from quillframe.llm.components import components
+from quillframe.llm.components import components, joined
 
 
 def test_chat_against_sql(spark, sf):
@@ -135,3 +135,12 @@ def test_components(spark, edges):
         for a, b in edges:
             of[a] = of[b] = min(of[a], of[b])
     assert found == of
+
+
+@pytest.mark.parametrize("cut", [0, 3, 20, 60])
+def test_joined_components(spark, cut):
+    edges = [tuple(map(int, e)) for e in np.random.default_rng(cut).integers(0, 50, (60, 2))]
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    whole = {r.node: r.label for r in components(frame(edges)).collect()}
+    found = {r.node: r.label for r in joined(components(frame(edges[:cut])), frame(edges[cut:])).collect()}
+    assert {k: found.get(k, k) for k in whole} == whole
