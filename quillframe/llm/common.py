@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACES)] = True
 
 BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
+PAUSE = 10.0
+_collected = 0.0  # when this driver last did
 
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -41,15 +44,18 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, cutting its lineage.
 
     The files outlive executors.  Shuffle files of the finished plan are then
-    unreachable; the collections let Spark's cleaner free them.
+    unreachable; collections, ``PAUSE`` seconds apart at least, let Spark's cleaner free them.
     """
+    global _collected
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.partitionBy(*partition_by).parquet(path)
     schema = df.schema
     del df
-    gc.collect()
-    spark._jvm.System.gc()
+    if time.monotonic() - _collected > PAUSE:
+        gc.collect()
+        spark._jvm.System.gc()
+        _collected = time.monotonic()
     return spark.read.schema(schema).parquet(path)
 
 

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from quillframe.llm.common import materialise, small
 
 FREQUENT, SYMBOLS = 150_000, 30_000
-STATES, PASSES, LEAST_GAIN = 8, 4, 0.02
+STATES, PASSES, LEAST_GAIN = 8, 3, 0.02
 #: Words seen less often have no symbol of their own, so that classes tell how likely words are that were never seen;
 #: tokens that are added to each symbol, dealt over states as all tokens are.
 LEAST_SEEN, SMOOTH = 3, 0.5
@@ -161,11 +161,11 @@ class Model:
         return cls(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
-def _stack(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences by falling length as [time, row]; how many rows each time has; their order."""
+def _stack(sequences: list[np.ndarray], none: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences by falling length as [time, row], with ``none`` behind their ends; how many rows each time has; their order."""
     size = np.array([len(s) for s in sequences])
     order = np.argsort(-size, kind="stable")
-    x = np.zeros((int(size.max(initial=0)), len(sequences)), np.int64)
+    x = np.full((int(size.max(initial=0)), len(sequences)), none, np.uint16)
     for row, i in enumerate(order):
         x[: size[i], row] = sequences[i]
     return x, len(sequences) - np.searchsorted(np.sort(size), np.arange(len(x)), "right"), order
@@ -285,16 +285,19 @@ def expected(model: Model, sequences: list[np.ndarray], stretch: int = 0) -> tup
     """
     s, single = len(model.start), np.float32
     move_, ones = model.move.astype(single), np.ones(s, single)
-    back, emit_ = np.ascontiguousarray(move_.T), model.emit.astype(single)
+    back = np.ascontiguousarray(move_.T)
+    none = len(model.emit)  # what stands behind a sequence's end; no state emits it
+    emit_ = np.concatenate([model.emit, np.zeros((1, s))]).astype(single)
     cut = _Stretches.of(model, sequences, stretch)
-    move, emit, likelihood = np.zeros((s, s)), np.zeros((len(model.emit), s)), 0.0
+    move, emit, likelihood = np.zeros((s, s)), np.zeros((s, none + 1)), 0.0
     starts = np.zeros(len(cut.parts), bool)
     starts[cut.first] = True
     start = np.zeros(s)
     for group in _groups(cut.parts):
-        x, rows, order = _stack([cut.parts[i] for i in group])
+        x, rows, order = _stack([cut.parts[i] for i in group], none)
         of = np.array(group)[order]
         steps, width = x.shape
+        size = np.array([len(cut.parts[i]) for i in of])
         given = emit_[x]
         alpha, beta = np.zeros((steps, width, s), single), np.zeros((steps, width, s), single)
         scale = np.ones((steps, width), single)
@@ -303,28 +306,26 @@ def expected(model: Model, sequences: list[np.ndarray], stretch: int = 0) -> tup
             n = rows[t]
             now = (now[:n] @ move_) * given[t, :n]
             scale[t, :n] = c = now @ ones
-            now = alpha[t, :n] = now / c[:, None]
+            now = np.divide(now, c[:, None], out=alpha[t, :n])
         # ``given`` becomes what a step passes back: emission, times what follows, over its scale.
         given /= scale[:, :, None]
-        live = np.arange(width)[None, :] < rows[:, None]
-        size = live.sum(0)
         beta[size - 1, np.arange(width)] = cut.beta[of]
         for t in range(steps - 2, -1, -1):
             m = rows[t + 1]
             given[t + 1, :m] *= beta[t + 1, :m]
-            beta[t, :m] = given[t + 1, :m] @ back
-        follows = live[1:]
+            np.matmul(given[t + 1, :m], back, out=beta[t, :m])
         if steps > 1:
-            move += alpha[:-1][follows].T.astype(np.float64) @ given[1:][follows].astype(np.float64) * model.move
+            move += (alpha[:-1].reshape(-1, s).T @ given[1:].reshape(-1, s)).astype(np.float64) * model.move
+        alpha *= beta
+        start += alpha[0][starts[of]].sum(0, dtype=np.float64)
         # A border token counts in the stretch that it begins.
-        live[size - 1, np.arange(width)] = cut.ends[of]
-        gamma = (alpha * beta)[live]
-        symbol = x[live]
-        emit += np.stack([np.bincount(symbol, gamma[:, k], len(model.emit)) for k in range(s)], axis=1)
-        start += (alpha[0] * beta[0])[starts[of]].sum(0, dtype=np.float64)
+        alpha[size - 1, np.arange(width)] *= cut.ends[of][:, None]
+        symbol = x.ravel().astype(np.int64)
+        for k, gamma in enumerate(np.ascontiguousarray(alpha.reshape(-1, s).T)):
+            emit[k] += np.bincount(symbol, gamma, none + 1)
         likelihood += float(np.log10(scale).sum(dtype=np.float64))
     likelihood += float(np.log10((model.start * model.emit[[q[0] for q in sequences]]).sum(1)).sum())
-    return start, move, emit, likelihood
+    return start, move, emit[:, :none].T.copy(), likelihood
 
 
 class _Numbers(dict):
@@ -383,7 +384,7 @@ def train(rows: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int
 
 
 def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """Each text as symbols, with what frequent words add to its scores; and a row for each of its other words."""
+    """Each text as symbols, with what frequent words add to its scores; and a row for each place of another word."""
     words = docs.sparkSession.sparkContext.broadcast(vocab)  # FREQUENT words at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,31 +394,35 @@ def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
         log_count, share = np.log10(v.count + 1), v.share
         row = TaskContext.get().partitionId() << 33  # tells rows apart where doc_ids repeat
         for b in batches:
-            symbols, base, known, n, extra, rare = [], [], [], [], [], []
+            symbols, base, known, n, extra = [], [], [], [], []
+            of, word, kind_ = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
             for i, x in enumerate(b.column("text")):
                 told = tokens(x.as_py())
-                number = np.array(list(map(get, told)), np.int64)
+                number = np.fromiter(map(get, told), np.int64, len(told))
                 often = number[number >= 0]
                 symbols.append(_symbols(v, number).astype("<u2").tobytes())
                 n.append(len(told))
                 known.append(len(often))
                 base.append(float(log_count[often].sum() - len(told) * floor))
                 extra.append(float(share[often].sum()))
-                others = np.flatnonzero(number < 0).tolist()
-                if others:
-                    rare += [(i, w, c) for w, c in Counter(map(told.__getitem__, others)).items()]
-            rows = np.arange(row, row + b.num_rows)
+                if len(often) < len(told):
+                    others = np.flatnonzero(number < 0)
+                    word += [told[j] for j in others.tolist()]
+                    kind_.append(-1 - number[others])
+                    of.append(np.full(len(others), i))
+            rows, at = np.arange(row, row + b.num_rows), np.concatenate(of)
             row += b.num_rows
-            nothing = [None] * len(rare)
-            at = np.array([r[0] for r in rare], np.int64)
+            doc_id = b.column("doc_id")
+            with_none = lambda c, t: pa.concat_arrays([pa.array(c, t), pa.nulls(len(word), t)])
+            after_none = lambda c, t: pa.concat_arrays([pa.nulls(b.num_rows, t), pa.array(c, t)])
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([rows, rows[at]])), pa.array([*symbols, *nothing], pa.binary()), pa.concat_arrays([b.column("doc_id"), pa.nulls(len(rare), b.column("doc_id").type)]),
-                *(pa.array([*c, *nothing], t) for c, t in ((n, pa.int64()), (known, pa.int64()), (base, pa.float64()), (extra, pa.float64()))),
-                pa.array([*([None] * b.num_rows), *(r[1] for r in rare)], pa.binary()), pa.array([*([None] * b.num_rows), *(form(r[1]) for r in rare)], pa.int32()), pa.array([*([None] * b.num_rows), *(r[2] for r in rare)], pa.int64()),
-            ], ["row", "symbols", "doc_id", "n_tokens", "n_known", "base", "extra", "word", "form", "times"])
+                pa.array(np.concatenate([rows, rows[at]])), with_none(symbols, pa.binary()), pa.concat_arrays([doc_id, pa.nulls(len(word), doc_id.type)]),
+                *(with_none(c, t) for c, t in ((n, pa.int64()), (known, pa.int64()), (base, pa.float64()), (extra, pa.float64()))),
+                after_none(word, pa.binary()), after_none(np.concatenate(kind_).astype(np.int32), pa.int32()),
+            ], ["row", "symbols", "doc_id", "n_tokens", "n_known", "base", "extra", "word", "form"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(small(run), f"row long, symbols binary, doc_id {kind}, n_tokens long, n_known long, base double, extra double, word binary, form int, times long")
+    return docs.select("doc_id", "text").mapInArrow(small(run), f"row long, symbols binary, doc_id {kind}, n_tokens long, n_known long, base double, extra double, word binary, form int")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -437,13 +442,13 @@ def score(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     valued = texts.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "extra", "symbols").mapInArrow(small(run), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, extra double, value double")
-    rare = parts.filter(F.col("word").isNotNull()).select("row", "word", "form", "times").join(counts.select("word", F.col("n").alias("c")), "word", "left")
+    rare = parts.filter(F.col("word").isNotNull()).select("row", "word", "form").join(counts.select("word", F.col("n").alias("c")), "word", "left")
     whole = F.lit(0.0)
     for k in range(CLASSES):
         whole = F.when(F.col("form") == k, F.lit(float(np.log10(vocab.class_tokens[k] + vocab.class_words[k] + 1)))).otherwise(whole)
     c = F.coalesce("c", F.lit(0))
     adds = rare.groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(c + 1)).alias("add_base"), F.sum(F.col("times") * (F.log10(c + 1) - whole)).alias("add_value"))
+        F.sum((c > 0).cast("long")).alias("more"), F.sum(F.log10(c + 1)).alias("add_base"), F.sum(F.log10(c + 1) - whole).alias("add_value"))
     zero = F.lit(0.0)
     return valued.join(adds, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"),

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quillframe.llm import catalog
+from quillframe.llm import parts
 
 
 def plain(v):
@@ -20,10 +20,10 @@ def duck(sf):
     return c
 
 
-@pytest.mark.parametrize("name", catalog.oracle_sql())
+@pytest.mark.parametrize("name", parts.ORACLE)
 def test_query(spark, duck, sf, name):
-    found = catalog.queries()[name](spark, sf)
-    told = duck.execute(catalog.oracle_sql()[name])
+    found = parts.QUERIES[name](spark, sf)
+    told = duck.execute(parts.ORACLE[name])
     names = [c[0] for c in told.description]
     assert sorted(names) == sorted(found.columns)
     expected = sorted(tuple(map(plain, r)) for r in told.fetchall())
