@@ -171,7 +171,11 @@ class Frame:
         return self.df.orderBy(ROW) if ROW in self.df.columns else self.df
 
     def dense(self) -> Frame:
-        """With rows numbered from 0 without gaps.
+        """With rows numbered from 0 without gaps."""
+        return self._dense()[0]
+
+    def _dense(self) -> tuple[Frame, int]:
+        """With rows numbered from 0 without gaps, and how many there are.
 
         The rows are checkpointed, so that they lie the same in both passes;
         the first counts those of each partition, which gives every partition
@@ -186,7 +190,7 @@ class Frame:
             n += counts[p]
         offsets = self.spark.createDataFrame(starts, "__p long, __start long")
         out = df.withColumn("__p", part).join(F.broadcast(offsets), "__p").withColumn(ROW, F.col("__start") + F.col("__at").bitwiseAND((1 << _PART_BITS) - 1))
-        return self._with(out.select(*(F.col(f"`{c}`") for c in self._types), ROW))
+        return self._with(out.select(*(F.col(f"`{c}`") for c in self._types), ROW)), n
 
     def _beside(self, a: Col, b: Col) -> tuple[Col, Col]:
         """Columns of two frames over one, matched by position."""
@@ -231,12 +235,12 @@ class Frame:
 
     def take(self, indices: list[int | None]) -> Frame:
         """Rows at the positions, in that order; None gives a row of nulls."""
-        n = self.height()
+        dense, n = self._dense()
         for i in indices:
             if i is not None and not 0 <= i < n:
                 raise IndexOutOfBounds(i, n)
         wanted = self.spark.createDataFrame(list(enumerate(indices)), "__out long, __want long")
-        joined = wanted.join(self.dense().df, F.col("__want") == F.col(ROW), "left")
+        joined = wanted.join(dense.df, F.col("__want") == F.col(ROW), "left")
         return self._with(joined.select(*(F.col(f"`{c}`") for c in self._types), F.col("__out").alias(ROW)))
 
     def _sorted(self, keys: list[Column]) -> Frame:
@@ -365,7 +369,7 @@ def _unique(names: list[str]) -> None:
 
 def _matched(left: Frame, right: Frame, name: str) -> tuple[DataFrame, DataFrame]:
     """Two frames with dense row numbers, after a check that they are equally long."""
-    expected, found = left.height(), right.height()
+    (mine, expected), (theirs, found) = left._dense(), right._dense()
     if expected != found:
         raise MismatchedLengths(expected, found, name)
-    return left.dense().df, right.dense().df
+    return mine.df, theirs.df
