@@ -20,7 +20,7 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACES)] = True
 
 BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
-PAUSE = 10.0
+PAUSE = 3.0
 _collected = 0.0  # when this driver last did
 
 _U64 = np.uint64
