@@ -183,7 +183,8 @@ def _windows(texts: _Texts, shared, window: int) -> DataFrame:
                     continue
                 h, a, n, start, who = *map(np.concatenate, (h, a, n, start)), np.repeat(who, size)
                 # Documents come in order, so the first place of a window is that of its first document.
-                by = np.lexsort((np.arange(len(h)), a, h))
+                # Windows that share the first hash alone may come more than once; Spark's sum puts them together.
+                by = np.argsort(h, kind="stable")
                 new = np.ones(len(h), bool)
                 new[1:] = (h[by][1:] != h[by][:-1]) | (a[by][1:] != a[by][:-1])
                 one = by[new]
